@@ -50,7 +50,8 @@ def to_double(c, dtype: str | None = None) -> Column:
 def safe_div(n, d, default: float = 0.0) -> Column:
     """B2: n/d, ``default`` when d is 0 or NULL."""
     n, d = col_(n), col_(d)
-    return F.when(d.isNull() | (d == 0), F.lit(float(default))).otherwise(n.cast("double") / d)
+    dflt = F.lit(None).cast("double") if default is None else F.lit(float(default))
+    return F.when(d.isNull() | (d == 0), dflt).otherwise(n.cast("double") / d)
 
 
 def profit_margin(profit, sales) -> Column:
