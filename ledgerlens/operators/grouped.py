@@ -133,3 +133,36 @@ def combo_performance(df: DataFrame, roles: Roles, dim_a: str, dim_b: str) -> Da
         F.count(F.lit(1)).alias("row_count"))
     return g.withColumn("profit_margin_percent", profit_margin("profit", "sales")) \
             .orderBy(F.col("profit").desc(), F.col(dim_a), F.col(dim_b))
+
+
+def dim_perf(df: DataFrame, roles: Roles, dims: list[str], *, customers: bool = False, cost: bool = True) -> DataFrame:
+    """One pass for many dimensions (the GROUPING SETS shape): every row is
+    expanded to one ``(dimension, dimension_value)`` pair per dimension, then a
+    single aggregate runs with map-side partial aggregation.  Per-dimension
+    totals are a small (one row per dimension) broadcast join."""
+    cols = {}
+    for d in dims:
+        df, key = with_synthetic(df, roles, d) if d not in ("month", "quarter", "year") else _period_col(df, roles, d)
+        cols[d] = key
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(k).cast("string").alias("dimension_value"))
+                                for d, k in cols.items()])).alias("_p")
+    ex = df.select("*", pairs).select("*", "_p.dimension", "_p.dimension_value").drop("_p")
+    g = ex.groupBy("dimension", "dimension_value").agg(*metric_aggs(df, roles, customers=customers, cost=cost))
+    g = g.withColumn("profit_margin_percent", profit_margin("profit", "sales")) \
+         .withColumn("loss_amount", F.when(F.col("profit") < 0, F.col("profit")).otherwise(F.lit(0.0)))
+    tot = g.groupBy("dimension").agg(F.sum("sales").alias("_ts"), F.sum("profit").alias("_tp"),
+                                     F.abs(F.sum("loss_amount")).alias("_tl"))
+    share = lambda num, den: F.when(F.col(den) != 0, num / F.col(den) * F.lit(100.0)).otherwise(F.lit(0.0))
+    return (g.join(F.broadcast(tot), "dimension")
+             .withColumn("sales_contribution_percent", share(F.col("sales"), "_ts"))
+             .withColumn("profit_contribution_percent", share(F.col("profit"), "_tp"))
+             .withColumn("loss_contribution_percent", share(F.abs(F.col("loss_amount")), "_tl"))
+             .drop("_ts", "_tp", "_tl"))
+
+
+def _period_col(df: DataFrame, roles: Roles, dim: str) -> tuple[DataFrame, str]:
+    """Period key that stays NULL (instead of dropping the row) for undated rows,
+    so other dimensions in a multi-dimension pass keep every row."""
+    dt = _c(df, roles, "date")
+    key = {"month": month_key, "quarter": quarter_key, "year": year_key}[dim](dt)
+    return df.withColumn(f"__{dim}", key), f"__{dim}"

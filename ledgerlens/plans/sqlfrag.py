@@ -79,3 +79,48 @@ PERF_SELECT = """dimension_value, ROUND(sales, 4) AS sales, ROUND(profit, 4) AS
        ROUND(loss_amount, 4) AS loss_amount, ROUND(sales_contribution_percent, 4) AS sales_contribution_percent,
        ROUND(profit_contribution_percent, 4) AS profit_contribution_percent,
        ROUND(loss_contribution_percent, 4) AS loss_contribution_percent, order_count_basis"""
+
+
+SYN_SQL = {"discount_band": band("discount_pct"), "month": "strftime(order_date, '%Y-%m')",
+           "quarter": "CAST(year(order_date) AS VARCHAR) || 'Q' || CAST(quarter(order_date) AS VARCHAR)",
+           "year": "CAST(year(order_date) AS VARCHAR)"}
+
+
+def dim_expr(d: str) -> str:
+    return SYN_SQL.get(d, d)
+
+
+def dim_perf_sql(dims, source: str = "sf", customers: bool = False, name: str = "dp") -> str:
+    """Multi-dimension grouped table (cost always included) as CTE ``name``."""
+    cust = ", COUNT(DISTINCT customer_id) AS customer_count" if customers else ""
+    parts = [f"""SELECT '{d}' AS dimension, CAST({dim_expr(d)} AS VARCHAR) AS dimension_value,
+         SUM(COALESCE(sales, 0)) AS sales, SUM(COALESCE(profit, 0)) AS profit, SUM(COALESCE(quantity, 0)) AS quantity,
+         SUM(COALESCE(cost, 0)) AS cost, AVG(discount_pct) AS average_discount, COUNT(DISTINCT order_id) AS order_count,
+         COUNT(*) AS row_count, CAST(SUM(CASE WHEN sales IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unresolved_sales_rows,
+         CAST(SUM(CASE WHEN profit IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unresolved_profit_rows,
+         CAST(SUM(CASE WHEN profit < 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_rows{cust}
+  FROM {source} GROUP BY 2""" for d in dims]
+    return f"""
+{name}_g AS ({' UNION ALL '.join(parts)}),
+{name}_g2 AS (SELECT *, {margin('profit', 'sales')} AS profit_margin_percent,
+                 CASE WHEN profit < 0 THEN profit ELSE 0.0 END AS loss_amount FROM {name}_g),
+{name}_t AS (SELECT dimension, SUM(sales) AS ts, SUM(profit) AS tp, ABS(SUM(loss_amount)) AS tl FROM {name}_g2 GROUP BY dimension),
+{name} AS (SELECT {name}_g2.*,
+         CASE WHEN ts <> 0 THEN sales / ts * 100 ELSE 0.0 END AS sales_contribution_percent,
+         CASE WHEN tp <> 0 THEN profit / tp * 100 ELSE 0.0 END AS profit_contribution_percent,
+         CASE WHEN tl <> 0 THEN ABS(loss_amount) / tl * 100 ELSE 0.0 END AS loss_contribution_percent
+  FROM {name}_g2 JOIN {name}_t USING (dimension))"""
+
+
+def dp_select(customers: bool = False, prefix: str = "") -> str:
+    cols = ["dimension", "dimension_value", "sales", "profit", "quantity", "cost", "average_discount", "order_count",
+            "row_count", "unresolved_sales_rows", "unresolved_profit_rows", "loss_rows"] + (["customer_count"] if customers else []) + \
+           ["profit_margin_percent", "loss_amount", "sales_contribution_percent", "profit_contribution_percent",
+            "loss_contribution_percent"]
+    dbl = {"sales", "profit", "quantity", "cost", "average_discount", "profit_margin_percent", "loss_amount",
+           "sales_contribution_percent", "profit_contribution_percent", "loss_contribution_percent"}
+    return ", ".join(f"ROUND({prefix}{c}, 4) AS {c}" if c in dbl else f"{prefix}{c}" for c in cols)
+
+
+def priority_sql(col: str, mapping: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in mapping.items()) + " ELSE 99 END"
