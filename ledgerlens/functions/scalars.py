@@ -231,7 +231,20 @@ def dedupe_key(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(col_(c).cast("string")), r"[^a-z0-9]+", " "))
 
 
+def half_up(c, scale: int = 4) -> Column:
+    """Round half-up with plain IEEE steps (floor(x*10^s + 0.5) / 10^s), so every
+    engine given the same double returns the same double."""
+    x = col_(c)
+    k = float(10 ** scale)
+    return F.when(F.abs(x) < 1e14, F.floor(x * k + 0.5) / k).otherwise(x)
+
+
+def cents(c) -> Column:
+    """Snap a money amount (e.g. a sum of cent values) to exact cents."""
+    return half_up(c, 2)
+
+
 def round_doubles(df, scale: int = 4):
     """Round every double column (presentation / cross-engine comparison)."""
-    return df.select([F.round(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"
+    return df.select([half_up(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"
                       else F.col(f.name) for f in df.schema.fields])

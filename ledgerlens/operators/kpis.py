@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import profit_margin, safe_div
+from ledgerlens.functions.scalars import cents, profit_margin, safe_div
 from ledgerlens.operators.grouped import performance
 from ledgerlens.roles import Roles
 
@@ -41,7 +41,7 @@ def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
     zero = F.lit(0.0)
     aggs = [F.count(F.lit(1)).alias("total_orders")]
     if s is not None:
-        aggs += [F.coalesce(F.sum(s), zero).alias("total_sales"), F.avg(s).alias("average_order_value"),
+        aggs += [F.coalesce(F.sum(s), zero).alias("total_sales"), (cents(F.sum(s)) / F.count(s)).alias("average_order_value"),
                  _median(s, approx).alias("median_order_value"), F.sum(s.isNull().cast("long")).alias("unresolved_sales_rows")]
     if p is not None:
         aggs += [F.coalesce(F.sum(p), zero).alias("total_profit"),
@@ -63,7 +63,7 @@ def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
            .withColumn("order_count_basis", F.lit("row_count" if o is not None else "row_count_proxy_no_order_id"))
     if s is not None:
         out = out.withColumn("unique_order_average_value",
-                             F.when(F.col("unique_orders") > 0, F.col("total_sales") / F.col("unique_orders")))
+                             F.when(F.col("unique_orders") > 0, cents(F.col("total_sales")) / F.col("unique_orders")))
     if s is not None and p is not None:
         out = out.withColumn("profit_margin_percent",
                              F.when(F.col("total_sales") != 0, profit_margin("total_profit", "total_sales")))
@@ -71,7 +71,7 @@ def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
         for m in ("sales", "profit"):
             if f"total_{m}" in out.columns:
                 out = out.withColumn(f"{m}_per_customer", F.when(F.col("unique_customers") > 0,
-                                                                 F.col(f"total_{m}") / F.col("unique_customers")))
+                                                                 cents(F.col(f"total_{m}")) / F.col("unique_customers")))
     return out
 
 
@@ -110,7 +110,7 @@ def basic_stat(df: DataFrame, roles: Roles) -> DataFrame:
     aggs = []
     for m in metrics:
         x = _c(df, roles, m)
-        aggs += [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{m}__total"), F.avg(x).alias(f"{m}__average"),
+        aggs += [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{m}__total"), (cents(F.sum(x)) / F.count(x) if m in ("sales", "profit", "cost") else F.avg(x)).alias(f"{m}__average"),
                  F.min(x).cast("double").alias(f"{m}__minimum"), F.max(x).cast("double").alias(f"{m}__maximum"),
                  F.median(x).alias(f"{m}__median")]
     return _long(df.agg(*aggs), metrics, ["total", "average", "minimum", "maximum", "median"])
@@ -146,11 +146,11 @@ def unique_values(df: DataFrame, roles: Roles, dim: str) -> DataFrame:
 def aov(df: DataFrame, roles: Roles) -> DataFrame:
     """Mean and median line value, total/distinct orders."""
     s, o = _c(df, roles, "sales"), _c(df, roles, "order_id")
-    out = df.agg(F.avg(s).alias("mean_line_value"), F.median(s).alias("median_line_value"),
+    out = df.agg((cents(F.sum(s)) / F.count(s)).alias("mean_line_value"), F.median(s).alias("median_line_value"),
                  F.coalesce(F.sum(s), F.lit(0.0)).alias("total_sales"),
                  (F.count_distinct(o) if o is not None else F.count(F.lit(1))).alias("distinct_orders"),
                  F.count(s).alias("rows_used"))
-    return out.withColumn("sales_per_order", safe_div("total_sales", "distinct_orders", None))
+    return out.withColumn("sales_per_order", safe_div(cents(F.col("total_sales")), "distinct_orders", None))
 
 
 def date_range(df: DataFrame, roles: Roles) -> DataFrame:

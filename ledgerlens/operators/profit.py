@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import BAND_LABELS, ci_equals, discount_band, profit_margin
+from ledgerlens.functions.scalars import BAND_LABELS, cents, ci_equals, discount_band, profit_margin
 from ledgerlens.operators.grouped import dim_perf, performance, with_synthetic
 from ledgerlens.roles import Roles
 
@@ -187,7 +187,7 @@ def profit_summary(df: DataFrame, roles: Roles) -> DataFrame:
                   F.count(F.lit(1)).alias("rows"), F.sum((F.col(p) < 0).cast("long")).alias("loss_rows"),
                   F.coalesce(F.sum(F.when(F.col(p) < 0, F.col(p))), F.lit(0.0)).alias("total_loss_amount"))
     base = base.withColumn("profit_margin_percent", profit_margin("total_profit", "total_sales")) \
-               .withColumn("profit_per_row", F.col("total_profit") / F.col("rows"))
+               .withColumn("profit_per_row", cents(F.col("total_profit")) / F.col("rows"))
     top = top_leakage(df, roles).agg(F.first("dimension").alias("top_leakage_dimension"),  # always one row
                                      F.first("dimension_value").alias("top_leakage_value"),
                                      F.first("profit").alias("top_leakage_profit"))

@@ -57,7 +57,7 @@ def _fact_op(op, *a, **kw):
 
 
 add("kpis", _fact_op(K.kpis), with_fact("""
-SELECT COUNT(*) AS total_orders, ROUND(COALESCE(SUM(sales), 0), 4) AS total_sales, ROUND(AVG(sales), 4) AS average_order_value,
+SELECT COUNT(*) AS total_orders, ROUND(COALESCE(SUM(sales), 0), 4) AS total_sales, ROUND((FLOOR((SUM(sales)) * 100 + 0.5) / 100) / COUNT(sales), 4) AS average_order_value,
        ROUND(MEDIAN(sales), 4) AS median_order_value,
        CAST(SUM(CASE WHEN sales IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unresolved_sales_rows,
        ROUND(COALESCE(SUM(profit), 0), 4) AS total_profit,
@@ -70,10 +70,10 @@ SELECT COUNT(*) AS total_orders, ROUND(COALESCE(SUM(sales), 0), 4) AS total_sale
        ROUND(COALESCE(SUM(quantity), 0), 4) AS total_quantity, ROUND(AVG(discount_pct), 4) AS average_discount,
        COUNT(DISTINCT order_id) AS unique_orders, COUNT(DISTINCT customer_id) AS unique_customers,
        COUNT(*) AS order_rows, 'row_count' AS order_count_basis,
-       ROUND(COALESCE(SUM(sales), 0) / COUNT(DISTINCT order_id), 4) AS unique_order_average_value,
+       ROUND((FLOOR((COALESCE(SUM(sales), 0)) * 100 + 0.5) / 100) / COUNT(DISTINCT order_id), 4) AS unique_order_average_value,
        ROUND(CASE WHEN SUM(sales) <> 0 THEN SUM(profit) / SUM(sales) * 100 END, 4) AS profit_margin_percent,
-       ROUND(COALESCE(SUM(sales), 0) / COUNT(DISTINCT customer_id), 4) AS sales_per_customer,
-       ROUND(COALESCE(SUM(profit), 0) / COUNT(DISTINCT customer_id), 4) AS profit_per_customer
+       ROUND((FLOOR((COALESCE(SUM(sales), 0)) * 100 + 0.5) / 100) / COUNT(DISTINCT customer_id), 4) AS sales_per_customer,
+       ROUND((FLOOR((COALESCE(SUM(profit), 0)) * 100 + 0.5) / 100) / COUNT(DISTINCT customer_id), 4) AS profit_per_customer
 FROM sf"""))
 
 
@@ -94,8 +94,9 @@ SELECT (SELECT first(v ORDER BY sales DESC, v) FROM bc) AS best_category_by_sale
 # ---------------------------------------------------------------- E14-E23, E35
 _STAT_METRICS = [("sales", "sales"), ("profit", "profit"), ("quantity", "quantity"), ("discount", "discount_pct"), ("cost", "cost")]
 add("basic_stat", _fact_op(K.basic_stat), with_fact("\nUNION ALL\n".join(
-    f"SELECT '{m}' AS metric, ROUND(COALESCE(SUM({c}), 0), 4) AS total, ROUND(AVG({c}), 4) AS average, "
-    f"ROUND(MIN({c}), 4) AS minimum, ROUND(MAX({c}), 4) AS maximum, ROUND(MEDIAN({c}), 4) AS median FROM sf"
+    f"SELECT '{m}' AS metric, ROUND(COALESCE(SUM({c}), 0), 4) AS total, "
+    + (f"ROUND(FLOOR(SUM({c}) * 100 + 0.5) / 100 / COUNT({c}), 4) AS average, " if m in ("sales", "profit", "cost") else f"ROUND(AVG({c}), 4) AS average, ")
+    + f"ROUND(MIN({c}), 4) AS minimum, ROUND(MAX({c}), 4) AS maximum, ROUND(MEDIAN({c}), 4) AS median FROM sf"
     for m, c in _STAT_METRICS)))
 
 add("basic_aggregation", _fact_op(K.basic_aggregation), with_fact("""
@@ -116,9 +117,9 @@ for _dim in ("category", "subcategory", "product", "region", "state", "segment",
         f"WHERE value IS NOT NULL AND value <> '' ORDER BY value"))
 
 add("aov", _fact_op(K.aov), with_fact("""
-SELECT ROUND(AVG(sales), 4) AS mean_line_value, ROUND(MEDIAN(sales), 4) AS median_line_value,
+SELECT ROUND((FLOOR((SUM(sales)) * 100 + 0.5) / 100) / COUNT(sales), 4) AS mean_line_value, ROUND(MEDIAN(sales), 4) AS median_line_value,
        ROUND(COALESCE(SUM(sales), 0), 4) AS total_sales, COUNT(DISTINCT order_id) AS distinct_orders,
-       COUNT(sales) AS rows_used, ROUND(COALESCE(SUM(sales), 0) / COUNT(DISTINCT order_id), 4) AS sales_per_order
+       COUNT(sales) AS rows_used, ROUND((FLOOR((COALESCE(SUM(sales), 0)) * 100 + 0.5) / 100) / COUNT(DISTINCT order_id), 4) AS sales_per_order
 FROM sf"""))
 
 add("date_range", _fact_op(K.date_range), with_fact("""

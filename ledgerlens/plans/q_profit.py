@@ -103,7 +103,7 @@ SELECT ROUND(COALESCE(SUM(sales), 0), 4) AS total_sales, ROUND(COALESCE(SUM(prof
        CAST(SUM(CASE WHEN profit < 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_rows,
        ROUND(COALESCE(SUM(CASE WHEN profit < 0 THEN profit END), 0), 4) AS total_loss_amount,
        ROUND(CASE WHEN SUM(sales) = 0 THEN 0.0 ELSE SUM(profit) / SUM(sales) * 100 END, 4) AS profit_margin_percent,
-       ROUND(SUM(profit) / COUNT(*), 4) AS profit_per_row,
+       ROUND((FLOOR((SUM(profit)) * 100 + 0.5) / 100) / COUNT(*), 4) AS profit_per_row,
        (SELECT dimension FROM top) AS top_leakage_dimension, (SELECT dimension_value FROM top) AS top_leakage_value,
        ROUND((SELECT profit FROM top), 4) AS top_leakage_profit
 FROM sf"""))

@@ -24,9 +24,35 @@ fact0 AS (
 sf AS (SELECT *, sales - cost AS profit FROM fact0)"""
 
 
+def half_up_sql(sql: str, scale: int = 4) -> str:
+    """Rewrite ``ROUND(expr, 4)`` as the engine-neutral ``FLOOR(expr * 10^4 + 0.5) / 10^4``."""
+    out, i, key = [], 0, "ROUND("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        expr, _, sc = inner.rpartition(",")
+        if sc.strip() == str(scale) and expr:
+            m = 10 ** scale
+            out.append(sql[i:j] + f"(FLOOR(({half_up_sql(expr, scale)}) * {m} + 0.5) / {m})")
+        else:
+            out.append(sql[i:k])
+        i = k
+
+
+def cents_sql(x: str) -> str:
+    return f"(FLOOR(({x}) * 100 + 0.5) / 100)"
+
+
 def with_fact(body: str) -> str:
     """Prefix a query that starts with further CTEs (``x AS (...)``) or a SELECT."""
-    body = body.strip()
+    body = half_up_sql(body.strip())
     if body.upper().startswith("SELECT"):
         return f"WITH {FACT}\n{body}"
     return f"WITH {FACT},\n{body}"
