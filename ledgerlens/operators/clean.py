@@ -46,6 +46,29 @@ def numeric(df: DataFrame, c: str):
     return to_double(F.col(c), _dtype(df, c))
 
 
+def profile_for_prepare(df: DataFrame, roles: Roles) -> tuple[dict[str, float], dict[str, int]]:
+    """One aggregate deciding the B4 percent scale of the percent roles and
+    counting NULLs of every column as it will look after numeric coercion and
+    profit derivation (scaling never changes NULL-ness)."""
+    pcols = [c for c in (roles.present("discount", df.columns), roles.present("margin_percent", df.columns)) if c]
+    shaped, _ = derive_profit(_coerce_numeric_roles(df, roles), roles)
+    aggs = []
+    for i, c in enumerate(pcols):
+        v = numeric(df, c)
+        aggs.append(F.avg(F.when(v.isNotNull(), (F.abs(v) <= 1).cast("double"))).alias(f"r{i}"))
+    aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"n{i}") for i, c in enumerate(shaped.columns)]
+    row = shaped.agg(*aggs).first()
+    factors = {c: (100.0 if row[f"r{i}"] is not None and row[f"r{i}"] >= PERCENT_RATIO_SHARE else 1.0)
+               for i, c in enumerate(pcols)}
+    nulls = {c: int(row[f"n{i}"] or 0) for i, c in enumerate(shaped.columns)}
+    return factors, nulls
+
+
+def _coerce_numeric_roles(df: DataFrame, roles: Roles) -> DataFrame:
+    cols = {roles.present(k, df.columns) for k in CORE_NUMERIC_ROLES} - {None}
+    return df.select([numeric(df, c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def percent_scale_factors(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """One aggregate deciding, per column, whether to multiply by 100."""
     if not cols:
@@ -59,10 +82,10 @@ def percent_scale_factors(df: DataFrame, cols: list[str]) -> dict[str, float]:
             for i, c in enumerate(cols)}
 
 
-def normalize_percents(df: DataFrame, roles: Roles) -> DataFrame:
+def normalize_percents(df: DataFrame, roles: Roles, factors: dict[str, float] | None = None) -> DataFrame:
     """B4 applied once to the discount and margin-percent roles."""
     cols = [c for c in (roles.present("discount", df.columns), roles.present("margin_percent", df.columns)) if c]
-    factors = percent_scale_factors(df, cols)
+    factors = percent_scale_factors(df, cols) if factors is None else factors
     out = df
     for c, k in factors.items():
         v = numeric(df, c)
@@ -96,7 +119,7 @@ def _median(df: DataFrame, c: str):
     return df.agg(F.median(F.col(c)).alias("m")).first()["m"]
 
 
-def treat_missing(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[dict]]:
+def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = None) -> tuple[DataFrame, list[dict]]:
     """I2-I9 on a frame whose percent roles are already normalised.
 
     Returns the repaired frame and the treatment log rows (I10).
@@ -109,8 +132,7 @@ def treat_missing(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[dict]]:
     label_cols = {roles.present(k, cols): lab for k, lab in CATEGORICAL_ROLE_LABELS.items() if roles.present(k, cols)}
     date_cols = [roles.present(k, cols) for k in DATE_ROLES if roles.present(k, cols)]
     protected = {c for c in (roles.get(k) for k in CORE_NUMERIC_ROLES + ID_ROLES + DATE_ROLES) if c} | set(label_cols)
-    nulls = _null_counts(df, cols)
-    total_rows = None
+    nulls = _null_counts(df, cols) if nulls is None else nulls
     log: list[dict] = []
     if not any(nulls.values()):
         return df, log
@@ -218,10 +240,13 @@ def treat_missing(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[dict]]:
 def prepare_sales(df: DataFrame, roles: Roles, treat: bool = True) -> tuple[DataFrame, Roles]:
     """Normalise percents once, derive profit, repair gaps.  Idempotent:
     running it on its own output changes nothing (2.13 #1)."""
-    df = normalize_percents(df, roles) if not any("prepared" in n for n in roles.notes) else df
+    if any("prepared" in n for n in roles.notes):
+        return df, roles
+    factors, nulls = profile_for_prepare(df, roles)
+    df = normalize_percents(_coerce_numeric_roles(df, roles), roles, factors)
     df, roles = derive_profit(df, roles)
     if treat:
-        df, log = treat_missing(df, roles)
+        df, log = treat_missing(df, roles, nulls)
     else:
         log = []
     return df, roles.with_roles(notes=roles.notes + ("prepared",) + tuple(f"treated:{e['column']}" for e in log))
