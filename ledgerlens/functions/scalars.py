@@ -244,6 +244,13 @@ def cents(c) -> Column:
     return half_up(c, 2)
 
 
+def msum(c) -> Column:
+    """Money total: SUM snapped to exact cents.  Summation order (partitioning,
+    shuffle arrival) then never changes the result, so a table recomputed in
+    two branches of a plan -- or by another engine -- agrees bit for bit."""
+    return cents(F.sum(col_(c)))
+
+
 def round_doubles(df, scale: int = 4):
     """Round every double column (presentation / cross-engine comparison)."""
     return df.select([half_up(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import profit_margin, severity_from_pct_drop
+from ledgerlens.functions.scalars import msum, profit_margin, severity_from_pct_drop
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -98,7 +98,7 @@ def period_anomalies(df: DataFrame, roles: Roles) -> DataFrame:
     """Monthly sales/profit drops below -25 % and mean-discount rises above 25 %."""
     d = roles.present("date", df.columns)
     specs = [(m, roles.present(m, df.columns)) for m in ("sales", "profit", "discount") if roles.present(m, df.columns)]
-    aggs = [(F.avg(c) if m == "discount" else F.sum(c)).alias(m) for m, c in specs]
+    aggs = [(F.avg(c) if m == "discount" else msum(c)).alias(m) for m, c in specs]
     g = df.where(F.col(d).isNotNull()).groupBy(F.date_format(F.col(d), "yyyy-MM").alias("period")).agg(*aggs)
     w = Window.orderBy("period")
     parts = []

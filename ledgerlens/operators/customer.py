@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import cents, churn_flag, month_key, normalize_0_100, profit_margin, risk_level
+from ledgerlens.functions.scalars import cents, churn_flag, msum, month_key, normalize_0_100, profit_margin, risk_level
 from ledgerlens.operators.kpis import customer_column
 from ledgerlens.roles import Roles
 
@@ -27,7 +27,7 @@ CHURN_RISK_TOP = 15
 
 
 def _sum0(c):
-    return F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0))
+    return F.coalesce(msum(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0))
 
 
 def customer_table(df: DataFrame, roles: Roles) -> DataFrame:

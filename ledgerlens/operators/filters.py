@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import bi_discount_band, ci_equals, month_key, profit_margin, quarter_key
+from ledgerlens.functions.scalars import bi_discount_band, ci_equals, msum, month_key, profit_margin, quarter_key
 from ledgerlens.operators.grouped import performance
 from ledgerlens.roles import Roles
 
@@ -73,10 +73,10 @@ def multi_condition_loss(df: DataFrame, roles: Roles, entities: list[tuple[str,
     """Entity equalities AND loss -> (summary row, top-10 loss products)."""
     p, s = roles.present("profit", df.columns), roles.present("sales", df.columns)
     sub = loss_rows(entity_filter(df, entities), roles)
-    summary = sub.agg(F.count(F.lit(1)).alias("loss_rows"), F.coalesce(F.sum(p), F.lit(0.0)).alias("loss_amount"),
-                      F.coalesce(F.sum(s), F.lit(0.0)).alias("sales"))
+    summary = sub.agg(F.count(F.lit(1)).alias("loss_rows"), F.coalesce(msum(p), F.lit(0.0)).alias("loss_amount"),
+                      F.coalesce(msum(s), F.lit(0.0)).alias("sales"))
     prod = roles.present("product", df.columns)
-    top = sub.groupBy(F.col(prod).alias("product")).agg(F.sum(p).alias("loss_amount"), F.count(F.lit(1)).alias("loss_rows")) \
+    top = sub.groupBy(F.col(prod).alias("product")).agg(msum(p).alias("loss_amount"), F.count(F.lit(1)).alias("loss_rows")) \
              .orderBy(F.col("loss_amount").asc(), "product").limit(10)
     return summary, top
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import discount_band, month_key, profit_margin, quarter_key, year_key
+from ledgerlens.functions.scalars import discount_band, month_key, msum, profit_margin, quarter_key, year_key
 from ledgerlens.roles import Roles
 
 
@@ -49,17 +49,17 @@ def metric_aggs(df: DataFrame, roles: Roles, *, customers: bool = False, cost: b
     o = _c(df, roles, "order_id")
     aggs: list[Column] = []
     if s is not None:
-        aggs.append(F.coalesce(F.sum(F.coalesce(s, F.lit(0.0))), F.lit(0.0)).alias("sales"))
+        aggs.append(F.coalesce(msum(F.coalesce(s, F.lit(0.0))), F.lit(0.0)).alias("sales"))
     if p is not None:
-        aggs.append(F.coalesce(F.sum(F.coalesce(p, F.lit(0.0))), F.lit(0.0)).alias("profit"))
+        aggs.append(F.coalesce(msum(F.coalesce(p, F.lit(0.0))), F.lit(0.0)).alias("profit"))
     if q is not None:
         aggs.append(F.coalesce(F.sum(F.coalesce(q, F.lit(0.0))), F.lit(0.0)).alias("quantity"))
     if cost:
         c = _c(df, roles, "cost")
         if c is not None:
-            aggs.append(F.coalesce(F.sum(F.coalesce(c, F.lit(0.0))), F.lit(0.0)).alias("cost"))
+            aggs.append(F.coalesce(msum(F.coalesce(c, F.lit(0.0))), F.lit(0.0)).alias("cost"))
         elif s is not None and p is not None:
-            aggs.append(F.coalesce(F.sum(F.coalesce(s, F.lit(0.0)) - F.coalesce(p, F.lit(0.0))), F.lit(0.0)).alias("cost"))
+            aggs.append(F.coalesce(msum(F.coalesce(s, F.lit(0.0)) - F.coalesce(p, F.lit(0.0))), F.lit(0.0)).alias("cost"))
     if d is not None:
         aggs.append(F.avg(d).alias("average_discount"))
     aggs.append((F.count_distinct(o) if o is not None else F.count(F.lit(1))).alias("order_count"))
@@ -82,8 +82,8 @@ def add_shares(g: DataFrame) -> DataFrame:
         return g
     g = g.withColumn("profit_margin_percent", profit_margin("profit", "sales")) \
          .withColumn("loss_amount", F.when(F.col("profit") < 0, F.col("profit")).otherwise(F.lit(0.0)))
-    tot = g.agg(F.sum("sales").alias("_ts"), F.sum("profit").alias("_tp"),
-                F.abs(F.sum("loss_amount")).alias("_tl"))
+    tot = g.agg(msum("sales").alias("_ts"), msum("profit").alias("_tp"),
+                F.abs(msum("loss_amount")).alias("_tl"))
     g = g.crossJoin(F.broadcast(tot))
     share = lambda num, den: F.when(F.col(den) != 0, num / F.col(den) * F.lit(100.0)).otherwise(F.lit(0.0))
     return (g.withColumn("sales_contribution_percent", share(F.col("sales"), "_ts"))
@@ -128,8 +128,8 @@ def combo_performance(df: DataFrame, roles: Roles, dim_a: str, dim_b: str) -> Da
     df, b = with_synthetic(df, roles, dim_b)
     s, p = _c(df, roles, "sales"), _c(df, roles, "profit")
     g = df.groupBy(F.col(a).alias(dim_a), F.col(b).alias(dim_b)).agg(
-        F.coalesce(F.sum(F.coalesce(s, F.lit(0.0))), F.lit(0.0)).alias("sales"),
-        F.coalesce(F.sum(F.coalesce(p, F.lit(0.0))), F.lit(0.0)).alias("profit"),
+        F.coalesce(msum(F.coalesce(s, F.lit(0.0))), F.lit(0.0)).alias("sales"),
+        F.coalesce(msum(F.coalesce(p, F.lit(0.0))), F.lit(0.0)).alias("profit"),
         F.count(F.lit(1)).alias("row_count"))
     return g.withColumn("profit_margin_percent", profit_margin("profit", "sales")) \
             .orderBy(F.col("profit").desc(), F.col(dim_a), F.col(dim_b))
@@ -150,8 +150,8 @@ def dim_perf(df: DataFrame, roles: Roles, dims: list[str], *, customers: bool =
     g = ex.groupBy("dimension", "dimension_value").agg(*metric_aggs(df, roles, customers=customers, cost=cost))
     g = g.withColumn("profit_margin_percent", profit_margin("profit", "sales")) \
          .withColumn("loss_amount", F.when(F.col("profit") < 0, F.col("profit")).otherwise(F.lit(0.0)))
-    tot = g.groupBy("dimension").agg(F.sum("sales").alias("_ts"), F.sum("profit").alias("_tp"),
-                                     F.abs(F.sum("loss_amount")).alias("_tl"))
+    tot = g.groupBy("dimension").agg(msum("sales").alias("_ts"), msum("profit").alias("_tp"),
+                                     F.abs(msum("loss_amount")).alias("_tl"))
     share = lambda num, den: F.when(F.col(den) != 0, num / F.col(den) * F.lit(100.0)).otherwise(F.lit(0.0))
     return (g.join(F.broadcast(tot), "dimension")
              .withColumn("sales_contribution_percent", share(F.col("sales"), "_ts"))

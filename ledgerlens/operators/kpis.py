@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import cents, profit_margin, safe_div
+from ledgerlens.functions.scalars import cents, msum, profit_margin, safe_div
 from ledgerlens.operators.grouped import performance
 from ledgerlens.roles import Roles
 
@@ -41,13 +41,13 @@ def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
     zero = F.lit(0.0)
     aggs = [F.count(F.lit(1)).alias("total_orders")]
     if s is not None:
-        aggs += [F.coalesce(F.sum(s), zero).alias("total_sales"), (cents(F.sum(s)) / F.count(s)).alias("average_order_value"),
+        aggs += [F.coalesce(msum(s), zero).alias("total_sales"), (cents(F.sum(s)) / F.count(s)).alias("average_order_value"),
                  _median(s, approx).alias("median_order_value"), F.sum(s.isNull().cast("long")).alias("unresolved_sales_rows")]
     if p is not None:
-        aggs += [F.coalesce(F.sum(p), zero).alias("total_profit"),
+        aggs += [F.coalesce(msum(p), zero).alias("total_profit"),
                  F.sum((p < 0).cast("long")).alias("loss_making_orders_count"),
                  (F.avg(F.when(p < 0, 1.0).otherwise(0.0)) * 100).alias("loss_making_orders_percent"),
-                 F.coalesce(F.sum(F.when(p < 0, p)), zero).alias("total_loss_amount"),
+                 F.coalesce(msum(F.when(p < 0, p)), zero).alias("total_loss_amount"),
                  F.sum((p > 0).cast("long")).alias("profitable_orders_count"),
                  (F.avg(F.when(p > 0, 1.0).otherwise(0.0)) * 100).alias("profitable_orders_percent"),
                  F.sum(p.isNull().cast("long")).alias("unresolved_profit_rows")]
@@ -87,8 +87,8 @@ def best_worst(df: DataFrame, roles: Roles) -> DataFrame:
         if not col:
             continue
         g = df.groupBy(F.col(col).cast("string").alias("v")).agg(
-            F.coalesce(F.sum(_c(df, roles, "sales")), F.lit(0.0)).alias("sales"),
-            F.coalesce(F.sum(_c(df, roles, "profit")), F.lit(0.0)).alias("profit"))
+            F.coalesce(msum(_c(df, roles, "sales")), F.lit(0.0)).alias("sales"),
+            F.coalesce(msum(_c(df, roles, "profit")), F.lit(0.0)).alias("profit"))
         picks = [(F.min_by("v", F.struct(-F.col(m), F.col("v"))) if best else F.min_by("v", F.struct(F.col(m), F.col("v")))).alias(name)
                  for name, d, m, best in specs if d == dim]
         parts.append(g.agg(*picks))
@@ -110,7 +110,7 @@ def basic_stat(df: DataFrame, roles: Roles) -> DataFrame:
     aggs = []
     for m in metrics:
         x = _c(df, roles, m)
-        aggs += [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{m}__total"), (cents(F.sum(x)) / F.count(x) if m in ("sales", "profit", "cost") else F.avg(x)).alias(f"{m}__average"),
+        aggs += [F.coalesce(msum(x) if m in ("sales", "profit", "cost") else F.sum(x), F.lit(0.0)).alias(f"{m}__total"), (cents(F.sum(x)) / F.count(x) if m in ("sales", "profit", "cost") else F.avg(x)).alias(f"{m}__average"),
                  F.min(x).cast("double").alias(f"{m}__minimum"), F.max(x).cast("double").alias(f"{m}__maximum"),
                  F.median(x).alias(f"{m}__median")]
     return _long(df.agg(*aggs), metrics, ["total", "average", "minimum", "maximum", "median"])
@@ -118,7 +118,7 @@ def basic_stat(df: DataFrame, roles: Roles) -> DataFrame:
 
 def basic_aggregation(df: DataFrame, roles: Roles) -> DataFrame:
     """Total sales, profit, cost, quantity; mean discount."""
-    specs = [("total_sales", "sales", F.sum), ("total_profit", "profit", F.sum), ("total_cost", "cost", F.sum),
+    specs = [("total_sales", "sales", msum), ("total_profit", "profit", msum), ("total_cost", "cost", msum),
              ("total_quantity", "quantity", F.sum), ("average_discount", "discount", F.avg)]
     aggs, names = [], []
     for name, role, fn in specs:
@@ -147,7 +147,7 @@ def aov(df: DataFrame, roles: Roles) -> DataFrame:
     """Mean and median line value, total/distinct orders."""
     s, o = _c(df, roles, "sales"), _c(df, roles, "order_id")
     out = df.agg((cents(F.sum(s)) / F.count(s)).alias("mean_line_value"), F.median(s).alias("median_line_value"),
-                 F.coalesce(F.sum(s), F.lit(0.0)).alias("total_sales"),
+                 F.coalesce(msum(s), F.lit(0.0)).alias("total_sales"),
                  (F.count_distinct(o) if o is not None else F.count(F.lit(1))).alias("distinct_orders"),
                  F.count(s).alias("rows_used"))
     return out.withColumn("sales_per_order", safe_div(cents(F.col("total_sales")), "distinct_orders", None))
@@ -202,7 +202,7 @@ def dataset_profile(df: DataFrame, roles: Roles) -> DataFrame:
     base = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"),
                   sum((F.sum(F.col(c).isNull().cast("long")) for c in df.columns), F.lit(0)).alias("missing_cells"),
                   F.min(d).alias("min_date"), F.max(d).alias("max_date"),
-                  F.coalesce(F.sum(s), F.lit(0.0)).alias("total_sales"), F.coalesce(F.sum(p), F.lit(0.0)).alias("total_profit"),
+                  F.coalesce(msum(s), F.lit(0.0)).alias("total_sales"), F.coalesce(msum(p), F.lit(0.0)).alias("total_profit"),
                   F.count_distinct(o).alias("unique_orders"), F.count_distinct(F.col(cust)).alias("unique_customers"))
     out = base.crossJoin(duplicate_rows(df).select("duplicate_rows"))
     for role in ("category", "region", "segment"):
@@ -213,7 +213,7 @@ def dataset_profile(df: DataFrame, roles: Roles) -> DataFrame:
 def health_metrics(df: DataFrame, roles: Roles) -> DataFrame:
     """Sales, profit, loss rows/%, margin, distinct orders, shared rows."""
     s, p, o = (_c(df, roles, r) for r in ("sales", "profit", "order_id"))
-    out = df.agg(F.coalesce(F.sum(s), F.lit(0.0)).alias("sales"), F.coalesce(F.sum(p), F.lit(0.0)).alias("profit"),
+    out = df.agg(F.coalesce(msum(s), F.lit(0.0)).alias("sales"), F.coalesce(msum(p), F.lit(0.0)).alias("profit"),
                  F.sum((p < 0).cast("long")).alias("loss_rows"), F.count(F.lit(1)).alias("rows"),
                  F.count_distinct(o).alias("distinct_orders"))
     return out.withColumn("loss_row_percent", safe_div(F.col("loss_rows") * 100.0, "rows")) \

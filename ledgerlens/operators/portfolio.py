@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import profit_margin
+from ledgerlens.functions.scalars import msum, profit_margin
 from ledgerlens.operators.grouped import performance
 from ledgerlens.operators.windows import percent_rank_average
 from ledgerlens.roles import Roles
@@ -93,7 +93,7 @@ def double_down_products(df: DataFrame, roles: Roles) -> DataFrame:
     sales, profit and margin (0.4 / 0.4 / 0.2)."""
     prod, s, p = (roles.present(r, df.columns) for r in ("product", "sales", "profit"))
     g = df.groupBy(F.col(prod).alias("dimension_value")).agg(
-        F.sum(F.coalesce(F.col(s), F.lit(0.0))).alias("sales"), F.sum(F.coalesce(F.col(p), F.lit(0.0))).alias("profit"),
+        msum(F.coalesce(F.col(s), F.lit(0.0))).alias("sales"), msum(F.coalesce(F.col(p), F.lit(0.0))).alias("profit"),
         F.count(F.lit(1)).alias("order_count"))
     g = g.withColumn("profit_margin_percent", profit_margin("profit", "sales")).where((F.col("profit") > 0) & (F.col("sales") > 0))
     for c in ("sales", "profit", "profit_margin_percent"):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import BAND_LABELS, cents, ci_equals, discount_band, profit_margin
+from ledgerlens.functions.scalars import BAND_LABELS, cents, msum, ci_equals, discount_band, profit_margin
 from ledgerlens.operators.grouped import dim_perf, performance, with_synthetic
 from ledgerlens.roles import Roles
 
@@ -43,7 +43,7 @@ def _avail(df, roles, dims):
 def loss_summary(df: DataFrame, roles: Roles) -> DataFrame:
     """E10 header: total loss amount and loss rows."""
     p = F.col(roles.present("profit", df.columns))
-    return df.where(p < 0).agg(F.coalesce(F.sum(p), F.lit(0.0)).alias("total_loss_amount"),
+    return df.where(p < 0).agg(F.coalesce(msum(p), F.lit(0.0)).alias("total_loss_amount"),
                                F.count(F.lit(1)).alias("total_loss_orders"))
 
 
@@ -65,7 +65,7 @@ def loss_combinations(df: DataFrame, roles: Roles, top: int = 10) -> DataFrame:
                                          *[(F.col(roles.get(d)).cast("string") if d in (a, b) else F.lit(None).cast("string")).alias(d)
                                            for d in dims]) for n, a, b in specs])).alias("_c")
     ex = loss.select(F.col(p).alias("_profit"), pairs).select("_profit", "_c.*")
-    g = ex.groupBy("combination_type", *dims).agg(F.sum("_profit").alias("loss"), F.count(F.lit(1)).alias("orders"))
+    g = ex.groupBy("combination_type", *dims).agg(msum("_profit").alias("loss"), F.count(F.lit(1)).alias("orders"))
     w = Window.partitionBy("combination_type").orderBy(F.col("loss").asc(), *[F.col(d).asc_nulls_first() for d in dims])
     g = g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).drop("_rn")
     for d in dims:
@@ -97,7 +97,7 @@ def high_sales_weak_margin(df: DataFrame, roles: Roles, dim: str = "product", n:
     when nothing qualifies, the 10 lowest margins."""
     g = performance(df, roles, dim, customers=True, cost=True, sort=False)
     th = g.agg(F.count(F.lit(1)).alias("_n"), F.percentile("sales", 0.5).alias("_p50"), F.percentile("sales", 0.7).alias("_p70"),
-               F.median("profit_margin_percent").alias("_med"), profit_margin(F.sum("profit"), F.sum("sales")).alias("_overall"))
+               F.median("profit_margin_percent").alias("_med"), profit_margin(msum("profit"), msum("sales")).alias("_overall"))
     t = g.crossJoin(F.broadcast(th))
     hit = (F.col("sales") >= F.when(F.col("_n") <= 5, F.col("_p50")).otherwise(F.col("_p70"))) & \
           (F.col("profit_margin_percent") <= F.greatest(F.col("_med"), F.col("_overall")))
@@ -143,14 +143,14 @@ def leakage_drivers(df: DataFrame, roles: Roles) -> DataFrame:
     p, s, d = (roles.present(r, df.columns) for r in ("profit", "sales", "discount"))
     parts = []
     if d:
-        b = sl.withColumn("_band", discount_band(F.col(d))).groupBy("_band").agg(F.sum(p).alias("profit"), F.sum(s).alias("sales"))
+        b = sl.withColumn("_band", discount_band(F.col(d))).groupBy("_band").agg(msum(p).alias("profit"), msum(s).alias("sales"))
         b = b.where(F.col("profit") < 0).orderBy("profit", "_band").limit(1)
         parts.append(b.select(F.lit("discount_band").alias("driver_dimension"), F.col("_band").alias("driver_value"),
                               "profit", F.lit(0).alias("_order")))
     dims = [x for x in CONTEXT_DRIVER_DIMS if roles.present(x, df.columns)]
     ex = sl.select("*", F.explode(F.array(*[F.struct(F.lit(x).alias("_d"), F.col(roles.get(x)).cast("string").alias("_v"),
                                                      F.lit(i + 1).alias("_o")) for i, x in enumerate(dims)])).alias("_e"))
-    g = ex.where(F.col("_e._d") != F.col("_ctx_dim")).groupBy("_e._d", "_e._v", "_e._o").agg(F.sum(p).alias("profit"))
+    g = ex.where(F.col("_e._d") != F.col("_ctx_dim")).groupBy("_e._d", "_e._v", "_e._o").agg(msum(p).alias("profit"))
     g = g.where(F.col("profit") < 0)
     w = Window.partitionBy("_d").orderBy("profit", "_v")
     worst = g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
@@ -183,9 +183,9 @@ def other_loss_areas(df: DataFrame, roles: Roles, limit: int = 8) -> DataFrame:
 def profit_summary(df: DataFrame, roles: Roles) -> DataFrame:
     """Overall profit facts plus the top leakage point."""
     s, p = roles.present("sales", df.columns), roles.present("profit", df.columns)
-    base = df.agg(F.coalesce(F.sum(s), F.lit(0.0)).alias("total_sales"), F.coalesce(F.sum(p), F.lit(0.0)).alias("total_profit"),
+    base = df.agg(F.coalesce(msum(s), F.lit(0.0)).alias("total_sales"), F.coalesce(msum(p), F.lit(0.0)).alias("total_profit"),
                   F.count(F.lit(1)).alias("rows"), F.sum((F.col(p) < 0).cast("long")).alias("loss_rows"),
-                  F.coalesce(F.sum(F.when(F.col(p) < 0, F.col(p))), F.lit(0.0)).alias("total_loss_amount"))
+                  F.coalesce(msum(F.when(F.col(p) < 0, F.col(p))), F.lit(0.0)).alias("total_loss_amount"))
     base = base.withColumn("profit_margin_percent", profit_margin("total_profit", "total_sales")) \
                .withColumn("profit_per_row", cents(F.col("total_profit")) / F.col("rows"))
     top = top_leakage(df, roles).agg(F.first("dimension").alias("top_leakage_dimension"),  # always one row
@@ -214,7 +214,7 @@ def profit_diagnostic_dims(df: DataFrame, roles: Roles) -> DataFrame:
     t = dim_perf(df, roles, _avail(df, roles, DIAGNOSTIC_DIMS)).where(F.col("dimension_value").isNotNull())
     return t.groupBy("dimension").agg(
         F.count(F.lit(1)).alias("groups_checked"), F.sum((F.col("profit") < 0).cast("long")).alias("loss_making_groups"),
-        F.coalesce(F.sum(F.when(F.col("profit") < 0, F.col("profit"))), F.lit(0.0)).alias("total_loss_amount"),
+        F.coalesce(msum(F.when(F.col("profit") < 0, F.col("profit"))), F.lit(0.0)).alias("total_loss_amount"),
         F.min_by("dimension_value", F.struct("profit", "dimension_value")).alias("lowest_profit_group"),
         F.min("profit").alias("lowest_profit"),
         F.min_by(F.when(F.col("sales") > 0, F.col("dimension_value")),
@@ -226,7 +226,7 @@ def profit_by_discount_band(df: DataFrame, roles: Roles) -> DataFrame:
     """Sales, profit, rows, margin per band; all six bands kept (empty ones as 0)."""
     s, p, d = (roles.present(r, df.columns) for r in ("sales", "profit", "discount"))
     g = df.withColumn("_band", discount_band(F.col(d))).groupBy("_band").agg(
-        F.sum(s).alias("sales"), F.sum(p).alias("profit"), F.count(F.lit(1)).alias("order_count"))
+        msum(s).alias("sales"), msum(p).alias("profit"), F.count(F.lit(1)).alias("order_count"))
     bands = df.sparkSession.createDataFrame([(b, i) for i, b in enumerate(BAND_LABELS, 1)], "discount_band string, band_order int")
     out = bands.join(F.broadcast(g), bands.discount_band == g._band, "left").select(
         "discount_band", "band_order", F.coalesce("sales", F.lit(0.0)).alias("sales"),
@@ -239,7 +239,7 @@ def discount_band_profile(df: DataFrame, roles: Roles) -> DataFrame:
     s, p, d = (roles.present(r, df.columns) for r in ("sales", "profit", "discount"))
     g = df.withColumn("dimension_value", discount_band(F.col(d))).groupBy("dimension_value").agg(
         F.avg(d).alias("average_discount"), F.count(F.lit(1)).alias("order_count"),
-        F.sum(s).alias("sales"), F.sum(p).alias("profit"))
+        msum(s).alias("sales"), msum(p).alias("profit"))
     return g.withColumn("profit_margin_percent", profit_margin("profit", "sales")).orderBy("average_discount", "dimension_value")
 
 
@@ -260,7 +260,7 @@ def monthly_profit(df: DataFrame, roles: Roles) -> DataFrame:
     """Profit per month (dated rows)."""
     d, p = roles.present("date", df.columns), roles.present("profit", df.columns)
     return df.where(F.col(d).isNotNull()).groupBy(F.date_format(F.col(d), "yyyy-MM").alias("period")) \
-             .agg(F.sum(F.coalesce(F.col(p), F.lit(0.0))).alias("profit")).orderBy("period")
+             .agg(msum(F.coalesce(F.col(p), F.lit(0.0))).alias("profit")).orderBy("period")
 
 
 def slice_root_cause(df: DataFrame, roles: Roles, dim: str, value: str) -> DataFrame:
@@ -268,8 +268,8 @@ def slice_root_cause(df: DataFrame, roles: Roles, dim: str, value: str) -> DataF
     c = roles.present(dim, df.columns) or dim
     s, p, d = (roles.present(r, df.columns) for r in ("sales", "profit", "discount"))
     f = df.where(ci_equals(c, value))
-    out = f.agg(F.sum(s).alias("sales"), F.sum(p).alias("profit"),
-                F.coalesce(F.sum(F.when(F.col(p) < 0, F.col(p))), F.lit(0.0)).alias("loss_amount"),
+    out = f.agg(msum(s).alias("sales"), msum(p).alias("profit"),
+                F.coalesce(msum(F.when(F.col(p) < 0, F.col(p))), F.lit(0.0)).alias("loss_amount"),
                 F.count(F.lit(1)).alias("order_count"), F.avg(d).alias("average_discount"))
     out = out.where(F.col("order_count") > 0)
     return out.withColumn("margin", F.when(F.col("sales") != 0, profit_margin("profit", "sales"))) \

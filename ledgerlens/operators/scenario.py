@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import cents, profit_margin
+from ledgerlens.functions.scalars import cents, msum, profit_margin
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------

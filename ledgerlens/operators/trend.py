@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import concentration_risk, period_key, profit_margin, try_pct_change
+from ledgerlens.functions.scalars import concentration_risk, msum, period_key, profit_margin, try_pct_change
 from ledgerlens.operators.kpis import customer_column
 from ledgerlens.operators.windows import global_prefix
 from ledgerlens.roles import Roles
 
 
 def _sum0(c):
-    return F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0))
+    return F.coalesce(msum(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0))
 
 
 def period_table(df: DataFrame, roles: Roles, frequency: str = "M", extra: bool = False) -> DataFrame:
@@ -92,7 +92,7 @@ def customer_sales_share(df: DataFrame, roles: Roles) -> DataFrame:
         aggs.append(_sum0(p).alias("profit"))
     g = df.groupBy(F.col(cust).alias("customer")).agg(*aggs)
     pref = global_prefix(g, [F.col("sales").desc(), F.col("customer").asc()], {"_cum": F.col("sales")})
-    tot = g.agg(F.sum("sales").alias("_tot"))
+    tot = g.agg(msum("sales").alias("_tot"))
     share = lambda x: F.when(F.col("_tot") != 0, x / F.col("_tot") * 100).otherwise(F.lit(0.0))
     return pref.crossJoin(F.broadcast(tot)).select(
         "customer", "sales", "order_count", *(["profit"] if p else []),
@@ -108,8 +108,8 @@ def customer_concentration(df: DataFrame, roles: Roles) -> DataFrame:
     top = g.orderBy(F.col("sales").desc(), "customer").limit(10)
     w = Window.orderBy(F.col("sales").desc(), "customer")
     top = top.withColumn("_rn", F.row_number().over(w))
-    t = top.agg(F.sum(F.when(F.col("_rn") <= 5, F.col("sales")).otherwise(0.0)).alias("t5"), F.sum("sales").alias("t10"))
-    tot = g.agg(F.sum("sales").alias("_tot"))
+    t = top.agg(msum(F.when(F.col("_rn") <= 5, F.col("sales")).otherwise(0.0)).alias("t5"), msum("sales").alias("t10"))
+    tot = g.agg(msum("sales").alias("_tot"))
     out = t.crossJoin(tot).select(
         F.when(F.col("_tot") != 0, F.col("t5") / F.col("_tot") * 100).otherwise(0.0).alias("top_5_customer_sales_share_percent"),
         F.when(F.col("_tot") != 0, F.col("t10") / F.col("_tot") * 100).otherwise(0.0).alias("top_10_customer_sales_share_percent"))
@@ -119,7 +119,7 @@ def customer_concentration(df: DataFrame, roles: Roles) -> DataFrame:
 def metric_drop(df: DataFrame, roles: Roles, metric: str = "profit", grain: str = "M") -> DataFrame:
     """The last two periods: values, absolute and % change (NULL % when previous is 0)."""
     d, m = roles.present("date", df.columns), roles.present(metric, df.columns) or roles.present("profit", df.columns)
-    g = df.where(F.col(d).isNotNull()).groupBy(period_key(F.col(d), grain).alias("period")).agg(F.sum(m).alias("value"))
+    g = df.where(F.col(d).isNotNull()).groupBy(period_key(F.col(d), grain).alias("period")).agg(msum(m).alias("value"))
     last2 = g.orderBy(F.col("period").desc()).limit(2)
     w = Window.orderBy("period")
     t = last2.withColumn("previous_period", F.lag("period").over(w)).withColumn("previous_value", F.lag("value").over(w))

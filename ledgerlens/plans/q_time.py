@@ -74,8 +74,9 @@ add("category_yoy_decline", _op(T.category_yoy_decline), with_fact(
 add("customer_concentration_table", _op(T.customer_sales_share), with_fact("""
 g AS (SELECT customer, SUM(COALESCE(sales, 0)) AS sales, COUNT(*) AS order_count, SUM(COALESCE(profit, 0)) AS profit
       FROM sf GROUP BY customer),
-t AS (SELECT *, SUM(sales) OVER (ORDER BY sales DESC, customer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-             SUM(sales) OVER () AS tot FROM g)
+tt AS (SELECT SUM(sales) AS tot FROM g),
+t AS (SELECT *, SUM(sales) OVER (ORDER BY sales DESC, customer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+      FROM g, tt)
 SELECT customer, ROUND(sales, 4) AS sales, order_count, ROUND(profit, 4) AS profit,
        ROUND(CASE WHEN tot <> 0 THEN sales / tot * 100 ELSE 0.0 END, 4) AS sales_share_percent,
        ROUND(CASE WHEN tot <> 0 THEN cum / tot * 100 ELSE 0.0 END, 4) AS cumulative_sales_share_percent

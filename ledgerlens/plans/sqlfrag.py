@@ -46,13 +46,45 @@ def half_up_sql(sql: str, scale: int = 4) -> str:
         i = k
 
 
+_MONEY = __import__("re").compile(r"(?<![A-Za-z_])(sales|profit|cost|loss_amount|_profit)(?![A-Za-z_])")
+_AFTER_OVER = __import__("re").compile(r"\s*OVER\b", __import__("re").I)
+
+
+def money_sums(sql: str) -> str:
+    """Snap money ``SUM(...)`` to cents exactly where the Spark side uses ``msum``:
+    plain sums of sales/profit/cost amounts -- not window sums, not counts
+    (``THEN 1 ELSE 0``), not weighted sums (``*`` or ``/`` inside)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("SUM(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 4])
+            i = j + 4
+            continue
+        depth, k = 1, j + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        arg = sql[j + 4:k - 1]
+        money = (_MONEY.search(arg) and "THEN 1 ELSE 0" not in arg and "*" not in arg and "/" not in arg
+                 and not _AFTER_OVER.match(sql, k))
+        if money:
+            out.append(sql[i:j] + f"(FLOOR(SUM({money_sums(arg)}) * 100 + 0.5) / 100)")
+        else:
+            out.append(sql[i:j] + "SUM(" + money_sums(arg) + ")")
+        i = k
+
+
 def cents_sql(x: str) -> str:
     return f"(FLOOR(({x}) * 100 + 0.5) / 100)"
 
 
 def with_fact(body: str) -> str:
     """Prefix a query that starts with further CTEs (``x AS (...)``) or a SELECT."""
-    body = half_up_sql(body.strip())
+    body = half_up_sql(money_sums(body.strip()))
     if body.upper().startswith("SELECT"):
         return f"WITH {FACT}\n{body}"
     return f"WITH {FACT},\n{body}"
