@@ -253,14 +253,18 @@ def prepare_sales(df: DataFrame, roles: Roles, treat: bool = True) -> tuple[Data
 
 
 def treatment_log(spark, df: DataFrame, roles: Roles) -> DataFrame:
-    """I10 as a DataFrame (one row per treated column)."""
-    _, log = treat_missing(normalize_percents(df, roles), roles)
+    """I10 as a DataFrame (one row per treated column), from the same steps as prepare_sales."""
+    factors, nulls = profile_for_prepare(df, roles)
+    x = normalize_percents(_coerce_numeric_roles(df, roles), roles, factors)
+    x, r2 = derive_profit(x, roles)
+    _, log = treat_missing(x, r2, nulls)
     schema = ("column string, role string, missing_before long, treatment string, values_fixed long, "
               "values_derived long, values_filled long, values_still_missing long, method_value double")
-    return spark.createDataFrame([tuple(e[k] if k != "method_value" or e[k] is None else float(e[k])
-                                        for k in ("column", "role", "missing_before", "treatment", "values_fixed",
-                                                  "values_derived", "values_filled", "values_still_missing",
-                                                  "method_value")) for e in log], schema)
+    keys = ("column", "role", "missing_before", "treatment", "values_fixed", "values_derived", "values_filled",
+            "values_still_missing", "method_value")
+    # one row per treated column: bounded by the number of columns, never by the data
+    return spark.createDataFrame([tuple(float(e[k]) if k == "method_value" and e[k] is not None else e[k] for k in keys)
+                                  for e in log], schema)
 
 
 def safe_numeric_columns(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -111,5 +111,34 @@ def prepared_fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Roles]:
     return out
 
 
+def raw_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materialised star join before preparation."""
+    prepared_fact(spark, sf_dir)
+    base = shared_dir(spark)
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{_VERSION}".encode()).hexdigest()[:16]
+    return spark.read.parquet(f"{base}/ledgerlens/sales_fact_{key}")
+
+
+# NULLs injected by fixed expressions (the provided tables have none), used to
+# exercise cleaning and quality operators identically on Spark and in SQL.
+HOLES = {
+    "sales": "(order_id + line_no) % 11 = 0",
+    "cost": "(order_id + line_no) % 13 = 3",
+    "quantity": "(order_id * 7 + line_no) % 17 = 5",
+    "discount_pct": "(order_id + 3 * line_no) % 19 = 7",
+    "category": "(order_id + line_no) % 23 = 4",
+    "customer": "(order_id + line_no) % 29 = 6",
+    "order_date": "(order_id + line_no) % 31 = 8",
+}
+
+
+def holed_fact(spark: SparkSession, sf_dir: str, with_profit: bool = True) -> DataFrame:
+    """The raw fact with NULLs injected (and, optionally, profit = sales - cost)."""
+    df = raw_fact(spark, sf_dir)
+    df = df.select([F.when(F.expr(HOLES[c]), F.lit(None)).otherwise(F.col(c)).alias(c) if c in HOLES else F.col(c)
+                    for c in df.columns])
+    return df.withColumn("profit", F.col("sales") - F.col("cost")) if with_profit else df
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared_fact(spark, sf_dir)[0]
