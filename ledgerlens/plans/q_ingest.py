@@ -1 +1,116 @@
-"""Catalogue module."""
+"""Catalogue: CSV ingest, schema profiling and role inference.
+
+The CSV is derived from the provided tables: the NULL-injected sales fact
+written once (per input folder) to the shared folder with business-style
+headers, currency text ("$1,234.50"), percent text ("25.0%"), US dates and a
+pandas-style duplicate header ("Profit.1").  Ingest must undo all of it.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.dates import ensure_datetime
+from ledgerlens.functions.scalars import format_currency
+from ledgerlens.plans.registry import add
+from ledgerlens.plans.sqlfrag import HOLES_SQL, with_fact
+from ledgerlens.session import shared_dir
+from ledgerlens.sources import ingest as IN
+from ledgerlens.sources import roles_detect as RD
+from ledgerlens.sources.testview import _exists, holed_fact
+
+HEADERS = [("Order ID", "order_id"), ("Order Date", "order_date"), ("Ship Date", "ship_date"), ("Ship Mode", "ship_mode"),
+           ("Customer ID", "customer_id"), ("Customer Name", "customer"), ("Segment", "segment"), ("Region", "region"),
+           ("State", "state"), ("Category", "category"), ("Sub-Category", "subcategory"), ("Product Name", "product"),
+           ("Quantity", "quantity"), ("Unit Price", "unit_price"), ("Discount", "discount_pct"), ("Sales", "sales"),
+           ("Cost", "cost"), ("Return Flag", "return_flag"), ("Profit", "profit"), ("Profit.1", "profit")]
+DEDUPED = IN.dedupe_columns([h for h, _ in HEADERS])
+
+
+def csv_path(spark, sf_dir: str) -> str:
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|csv-v1".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/ledgerlens/sales_csv_{key}"
+    if not _exists(spark, path):
+        df = holed_fact(spark, sf_dir)
+        text = {"order_date": F.date_format("order_date", "MM/dd/yyyy"), "ship_date": F.date_format("ship_date", "MM/dd/yyyy"),
+                "discount_pct": F.concat(F.col("discount_pct").cast("string"), F.lit("%")),
+                "sales": F.when(F.col("sales").isNotNull(), format_currency(F.col("sales")))}
+        out = df.select(*[(text.get(src, F.col(src).cast("string"))).alias(f"c{i}") for i, (_, src) in enumerate(HEADERS)])
+        # header written as the first data line of each part? no: Spark writes the header per file
+        out.toDF(*[h for h, _ in HEADERS]).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def loaded(spark, sf_dir: str):
+    """A1-A5 then dates parsed for the detected date roles."""
+    df = IN.load(spark, csv_path(spark, sf_dir))
+    roles, _ = RD.detect(df)
+    for r in ("date", "ship_date"):
+        c = roles.present(r, df.columns)
+        if c:
+            df = df.withColumn(c, ensure_datetime(df, c))
+    return df, roles
+
+
+def _raw(spark, sf_dir):
+    return IN.drop_empty(IN.read_csv(spark, csv_path(spark, sf_dir)))
+
+
+_SRC = dict(HEADERS)
+_NUMERIC = {"order_id", "customer_id", "quantity", "unit_price", "discount_pct", "sales", "cost", "profit"}
+_DATES = {"order_date", "ship_date"}
+_H = f"""holed AS (SELECT * REPLACE ({', '.join(f"CASE WHEN {HOLES_SQL[c]} THEN NULL ELSE {c} END AS {c}" for c in HOLES_SQL)}) FROM fact0),
+hp AS (SELECT *, sales - cost AS profit FROM holed)"""
+
+
+def _csv_col(name, src):
+    if src in _DATES:
+        return f"CAST(CAST({src} AS DATE) AS TIMESTAMP) AS \"{name}\""
+    if src in _NUMERIC:
+        return f"ROUND(CAST({src} AS DOUBLE), 4) AS \"{name}\""
+    return f"CAST({src} AS VARCHAR) AS \"{name}\""
+
+
+add("csv_scan", lambda spark, d: loaded(spark, d)[0], with_fact(_H + "\nSELECT " + ", ".join(
+    _csv_col(n, s) for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + " FROM hp"))
+
+add("load_metadata", lambda spark, d: IN.load_metadata(IN.load(spark, csv_path(spark, d))), None)
+
+add("raw_profile", lambda spark, d: IN.raw_profile(_raw(spark, d)), with_fact(_H + ",\nm AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"column\", CAST(COUNT(*) - COUNT({s}) AS BIGINT) AS missing, COUNT(*) AS rows FROM hp"
+    for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + f"""),
+dup AS (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT COUNT(*) AS n FROM hp GROUP BY ALL_COLS))
+SELECT rows, "column", missing, (SELECT CAST(SUM(missing) AS BIGINT) FROM m) AS missing_cells_total, duplicate_rows FROM m, dup"""
+    .replace("GROUP BY ALL_COLS", "GROUP BY " + ", ".join(dict.fromkeys(s for _, s in HEADERS)))))
+
+add("numeric_coercion", lambda spark, d: IN.numeric_share_table(_raw(spark, d)), with_fact(_H + "\nSELECT * FROM (" + " UNION ALL ".join(
+    (f"SELECT '{n}' AS \"column\", ROUND(COUNT({s}) / COUNT(*), 4) AS numeric_share, TRUE AS converted FROM hp" if s in _NUMERIC
+     else f"SELECT '{n}' AS \"column\", 0.0 AS numeric_share, FALSE AS converted")
+    for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + ")"))
+
+add("dedupe_columns", lambda spark, d: spark.createDataFrame(
+    [(i, raw, new) for i, (raw, new) in enumerate(zip(IN.header_names(spark, csv_path(spark, d)), DEDUPED))],
+    "position int, raw_name string, column_name string"), None)
+
+
+def _meta(fn):
+    def q(spark, sf_dir):
+        df, roles = loaded(spark, sf_dir)
+        return fn(df, roles)
+    return q
+
+
+add("detect_roles", lambda spark, d: RD.detect_roles(IN.load(spark, csv_path(spark, d))), None)
+add("column_types", lambda spark, d: RD.column_types(IN.load(spark, csv_path(spark, d))), None)
+add("dataset_grain", _meta(RD.dataset_grain), None)
+add("semantic_model", _meta(RD.semantic_model), None)
+add("available_pages", _meta(RD.available_pages), None)
+add("role_listing", _meta(RD.role_listing), None)
+add("limitations", _meta(RD.limitations), None)
+add("preview_rows", lambda spark, d: IN.preview_rows(loaded(spark, d)[0], DEDUPED, 5), with_fact(_H + "\nSELECT " + ", ".join(
+    _csv_col(n, s) for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + " FROM hp ORDER BY " + ", ".join(
+    (f"CAST({s} AS DOUBLE)" if s in _NUMERIC else (f"CAST({s} AS DATE)" if s in _DATES else s)) + " NULLS FIRST"
+    for s in [s for _, s in HEADERS]) + " LIMIT 5"))

@@ -182,3 +182,6 @@ def dp_select(customers: bool = False, prefix: str = "") -> str:
 
 def priority_sql(col: str, mapping: dict) -> str:
     return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in mapping.items()) + " ELSE 99 END"
+
+
+from ledgerlens.sources.testview import HOLES as HOLES_SQL  # noqa: E402  (same text works in both engines)
