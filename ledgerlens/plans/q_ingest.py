@@ -44,10 +44,22 @@ def csv_path(spark, sf_dir: str) -> str:
     return path
 
 
+_DETECTED: dict = {}
+
+
+def detected(spark, sf_dir: str):
+    """Roles (and evidence rows) of the ingested CSV; driver-side metadata, memoised per file."""
+    path = csv_path(spark, sf_dir)
+    key = (id(spark.sparkContext), path)
+    if key not in _DETECTED:
+        _DETECTED[key] = RD.detect(IN.load(spark, path))
+    return _DETECTED[key]
+
+
 def loaded(spark, sf_dir: str):
     """A1-A5 then dates parsed for the detected date roles."""
     df = IN.load(spark, csv_path(spark, sf_dir))
-    roles, _ = RD.detect(df)
+    roles, _ = detected(spark, sf_dir)
     for r in ("date", "ship_date"):
         c = roles.present(r, df.columns)
         if c:
@@ -56,7 +68,7 @@ def loaded(spark, sf_dir: str):
 
 
 def _raw(spark, sf_dir):
-    return IN.drop_empty(IN.read_csv(spark, csv_path(spark, sf_dir)))
+    return IN.load_raw(spark, csv_path(spark, sf_dir))
 
 
 _SRC = dict(HEADERS)
@@ -103,7 +115,7 @@ def _meta(fn):
     return q
 
 
-add("detect_roles", lambda spark, d: RD.detect_roles(IN.load(spark, csv_path(spark, d))), None)
+add("detect_roles", lambda spark, d: spark.createDataFrame(detected(spark, d)[1], "role string, column string, confidence double, reason string"), None)
 add("column_types", lambda spark, d: RD.column_types(IN.load(spark, csv_path(spark, d))), None)
 add("dataset_grain", _meta(RD.dataset_grain), None)
 add("semantic_model", _meta(RD.semantic_model), None)
