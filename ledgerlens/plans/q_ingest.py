@@ -89,7 +89,11 @@ def _csv_col(name, src):
 add("csv_scan", lambda spark, d: loaded(spark, d)[0], with_fact(_H + "\nSELECT " + ", ".join(
     _csv_col(n, s) for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + " FROM hp"))
 
-add("load_metadata", lambda spark, d: IN.load_metadata(IN.load(spark, csv_path(spark, d))), None)
+_TYPES = [("double" if s in _NUMERIC else "string") for _, s in HEADERS]
+add("load_metadata", lambda spark, d: IN.load_metadata(IN.load(spark, csv_path(spark, d))), with_fact(
+    _H + f"""
+SELECT COUNT(*) AS rows, {len(HEADERS)} AS columns, '{", ".join(DEDUPED)}' AS column_names,
+       '{", ".join(f"{n}:{t}" for n, t in zip(DEDUPED, _TYPES))}' AS dtypes FROM hp"""))
 
 add("raw_profile", lambda spark, d: IN.raw_profile(_raw(spark, d)), with_fact(_H + ",\nm AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS \"column\", CAST(COUNT(*) - COUNT({s}) AS BIGINT) AS missing, COUNT(*) AS rows FROM hp"
