@@ -112,16 +112,17 @@ def fuzzy_hits(texts: DataFrame, values: DataFrame) -> DataFrame:
                         .select("dimension"), "dimension", "left_semi")
     words = texts.select("text_id", F.explode(F.regexp_extract_all("q", F.lit(r"([a-zA-Z0-9]+)"), 1)).alias("w")) \
                  .where(F.length("w") >= MIN_VALUE_LENGTH).distinct()
-    wg = words.select("text_id", "w", _bigrams("w").alias("bg"))
+    vocab = words.select("w").distinct()          # score each distinct word once, then join back to texts
+    wg = vocab.select("w", _bigrams("w").alias("bg"))
     vg = small.select("dim_order", "dimension", "column", "value", "lv", _bigrams("lv").alias("bg"))
-    pairs = wg.join(vg, "bg").select("text_id", "w", "dim_order", "dimension", "column", "value", "lv").distinct()
+    pairs = wg.join(vg, "bg").select("w", "dim_order", "dimension", "column", "value", "lv").distinct()
     la, lb = F.length("w"), F.length("lv")
     pairs = pairs.where(2 * F.least(la, lb) / (la + lb) >= FUZZY_CUTOFF)
     ratio = F.pandas_udf(_ratio_batch, "double")   # created here: module import must not need a session
     scored = pairs.withColumn("score", ratio(F.col("w"), F.col("lv"))).where(F.col("score") >= FUZZY_CUTOFF)
     # get_close_matches keeps the best candidate per word (score, then candidate text, highest first)
-    w = Window.partitionBy("text_id", "w", "dimension").orderBy(F.col("score").desc(), F.col("lv").desc(), F.col("value"))
-    best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    w = Window.partitionBy("w", "dimension").orderBy(F.col("score").desc(), F.col("lv").desc(), F.col("value"))
+    best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).join(words, "w")
     return best.select("text_id", "dim_order", "dimension", "column", "value", F.lit(CONF_FUZZY).alias("confidence"),
                        F.lit("fuzzy").alias("match_type"))
 

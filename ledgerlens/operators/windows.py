@@ -19,13 +19,21 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_dir
 
+# Below this many rows (counted first) one ordered window is cheaper than the
+# distributed path; the count is the size check that bounds the single task.
+SMALL_PREFIX_ROWS = 200_000
 
-def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+
+def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None,
+                  small_rows: int = SMALL_PREFIX_ROWS) -> DataFrame:
     """Add inclusive running sums ``sums`` over the total order ``order``."""
     spark = df.sparkSession
-    shared_dir(spark)
     names = list(sums)
     tmp = df.select("*", *[sums[n].alias(f"__v{i}") for i, n in enumerate(names)])
+    if small_rows and df.count() <= small_rows:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return tmp.select(*df.columns, *[F.sum(f"__v{i}").over(w).alias(n) for i, n in enumerate(names)])
+    shared_dir(spark)
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = tmp.repartitionByRange(nparts, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
     totals = ranged.groupBy("__pid").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])

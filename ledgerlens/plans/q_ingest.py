@@ -52,19 +52,27 @@ def detected(spark, sf_dir: str):
     path = csv_path(spark, sf_dir)
     key = (id(spark.sparkContext), path)
     if key not in _DETECTED:
-        _DETECTED[key] = RD.detect(IN.load(spark, path))
+        df = IN.load(spark, path)
+        ev = RD.column_evidence(df)
+        _DETECTED[key] = (*RD.detect(df, ev), ev)
     return _DETECTED[key]
 
 
+_LOADED: dict = {}
+
+
 def loaded(spark, sf_dir: str):
-    """A1-A5 then dates parsed for the detected date roles."""
-    df = IN.load(spark, csv_path(spark, sf_dir))
-    roles, _ = detected(spark, sf_dir)
-    for r in ("date", "ship_date"):
-        c = roles.present(r, df.columns)
-        if c:
-            df = df.withColumn(c, ensure_datetime(df, c))
-    return df, roles
+    """A1-A5 then dates parsed for the detected date roles (plan and day-first votes memoised)."""
+    key = (id(spark.sparkContext), csv_path(spark, sf_dir))
+    if key not in _LOADED:
+        df = IN.load(spark, key[1])
+        roles = detected(spark, sf_dir)[0]
+        for r in ("date", "ship_date"):
+            c = roles.present(r, df.columns)
+            if c:
+                df = df.withColumn(c, ensure_datetime(df, c))
+        _LOADED[key] = (df, roles)
+    return _LOADED[key]
 
 
 def _raw(spark, sf_dir):
@@ -120,7 +128,7 @@ def _meta(fn):
 
 
 add("detect_roles", lambda spark, d: spark.createDataFrame(detected(spark, d)[1], "role string, column string, confidence double, reason string"), None)
-add("column_types", lambda spark, d: RD.column_types(IN.load(spark, csv_path(spark, d))), None)
+add("column_types", lambda spark, d: RD.column_types(IN.load(spark, csv_path(spark, d)), detected(spark, d)[2]), None)
 add("dataset_grain", _meta(RD.dataset_grain), None)
 add("semantic_model", _meta(RD.semantic_model), None)
 add("available_pages", _meta(RD.available_pages), None)
