@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bi_discount_band, cents, date_key, msum, profit_margin, safe_text
-from ledgerlens.operators.windows import dense_code, row_number_global
+from ledgerlens.operators.windows import row_number_global
 from ledgerlens.roles import Roles
+from ledgerlens.session import shared_dir
 
 # --- fixed values --------------------------------------------------------
 VALUE_SEGMENTS = ((0.50, "Core"), (0.80, "High Value"), (1.00, "Strategic"))
@@ -39,17 +40,32 @@ def _key_roles(df: DataFrame, roles: Roles) -> dict[str, list]:
 _PREFIX = {"customer": "CUST", "product": "PROD", "geography": "GEO", "segment": "SEG"}
 
 
-def with_keys(df: DataFrame, roles: Roles) -> DataFrame:
-    """Add the four surrogate keys to every row."""
-    out = df
-    for name, cols in _key_roles(df, roles).items():
-        raw = _raw_key(df, cols)
-        if not [c for c in cols if c]:
+def with_keys(df: DataFrame, roles: Roles, names: tuple[str, ...] = tuple(_PREFIX)) -> DataFrame:
+    """Add the four surrogate keys to every row.
+
+    All four key tables are coded in ONE pass: the distinct (key name, raw key)
+    pairs are numbered in the total order (key name, raw key), and each key
+    name's starting position (a four-row table) is subtracted."""
+    specs = {name: _raw_key(df, cols) for name, cols in _key_roles(df, roles).items() if [c for c in cols if c] and name in names}
+    out = df.select("*", *[raw.alias(f"_raw_{name}") for name, raw in specs.items()])
+    for name in names:
+        if name not in specs:
             out = out.withColumn(f"{name}_key", F.lit(f"{_PREFIX[name]}-Unknown"))
-            continue
-        out = dense_code(out, raw, f"_{name}_code") \
-            .withColumn(f"{name}_key", F.concat(F.lit(_PREFIX[name] + "-"), F.col(f"_{name}_code").cast("string"))) \
-            .drop(f"_{name}_code")
+    if not specs:
+        return out
+    pairs = out.select(F.explode(F.array(*[F.struct(F.lit(n).alias("_kn"), F.col(f"_raw_{n}").alias("_raw")) for n in specs])).alias("_p")) \
+               .select("_p.*").where(F.col("_raw").isNotNull()).distinct()
+    ranked = row_number_global(pairs, [F.col("_kn").asc(), F.col("_raw").asc()], "_pos")
+    starts = ranked.groupBy("_kn").agg(F.min("_pos").alias("_start"))
+    shared_dir(df.sparkSession)
+    # reliable checkpoint: the code table is read by four joins, so compute it once and cut its lineage
+    coded = ranked.join(F.broadcast(starts), "_kn").select(
+        "_kn", "_raw", (F.col("_pos") - F.col("_start")).alias("_code")).checkpoint(eager=True)
+    for name in specs:
+        c = coded.where(F.col("_kn") == name).select(F.col("_raw").alias(f"_raw_{name}"), F.col("_code").alias(f"_code_{name}"))
+        out = out.join(c, f"_raw_{name}", "left") \
+                 .withColumn(f"{name}_key", F.concat(F.lit(_PREFIX[name] + "-"), F.col(f"_code_{name}").cast("string"))) \
+                 .drop(f"_raw_{name}", f"_code_{name}")
     return out
 
 
@@ -76,7 +92,7 @@ def fact_sales(df: DataFrame, roles: Roles, row_id: bool = True) -> DataFrame:
 
 
 def _dimension(df: DataFrame, roles: Roles, name: str, attrs: list[tuple[str, str]]) -> DataFrame:
-    k = with_keys(df, roles).select(f"{name}_key", *[safe_text(F.col(c)).alias(a) for c, a in attrs if c])
+    k = with_keys(df, roles, (name,)).select(f"{name}_key", *[safe_text(F.col(c)).alias(a) for c, a in attrs if c])
     return k.distinct().orderBy(f"{name}_key")
 
 
@@ -95,7 +111,7 @@ def dim_geography(df: DataFrame, roles: Roles) -> DataFrame:
 def dim_segment(df: DataFrame, roles: Roles) -> DataFrame:
     seg = roles.present("segment", df.columns)
     if not seg:
-        return with_keys(df, roles).select("segment_key", F.lit("All Segments").alias("segment")).distinct()
+        return with_keys(df, roles, ("segment",)).select("segment_key", F.lit("All Segments").alias("segment")).distinct()
     return _dimension(df, roles, "segment", [(seg, "segment")])
 
 
