@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 NULL_WORDS = ("nan", "None", "NONE", "null", "NULL", "NaN")
 # Currency / unit tokens stripped from numeric text, in this order.
 MONEY_TOKENS = (",", "₹", "$", "£", "€", "Rs.", "Rs", "INR", "USD", "%")
+MONEY_TOKEN_PATTERN = r"[,₹$£€%]|Rs\.?|INR|USD"
 # Discount band labels (right-closed bins on a 0-100 scale).
 BAND_LABELS = ("0%", "0-10%", "10-20%", "20-30%", "30-40%", "40%+")
 # Explicit churn / status words.
@@ -32,9 +33,7 @@ def safe_numeric(c) -> Column:
     s = F.trim(col_(c).cast("string"))
     s = F.when(s.isin(*NULL_WORDS), F.lit("")).otherwise(s)
     s = F.regexp_replace(s, r"^\((.*)\)$", "-$1")
-    for tok in MONEY_TOKENS:
-        s = F.replace(s, F.lit(tok), F.lit(""))
-    s = F.trim(s)
+    s = F.trim(F.regexp_replace(s, MONEY_TOKEN_PATTERN, ""))   # all tokens in one pass
     v = F.when(s.rlike(_NUMERIC_TEXT), s.try_cast("double"))
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
