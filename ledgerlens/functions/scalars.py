@@ -250,6 +250,12 @@ def msum(c) -> Column:
     return cents(F.sum(col_(c)))
 
 
+def quantile(c, q: float, approx: bool = False) -> Column:
+    """Exact (linear interpolation) by default; ``approx=True`` uses percentile_approx,
+    whose memory is bounded per task -- the switch for row-level quantiles at very large scale."""
+    return F.percentile_approx(col_(c), q, 10000) if approx else F.percentile(col_(c), q)
+
+
 def round_doubles(df, scale: int = 4):
     """Round every double column (presentation / cross-engine comparison)."""
     return df.select([half_up(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"

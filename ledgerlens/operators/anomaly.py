@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import msum, profit_margin, severity_from_pct_drop
+from ledgerlens.functions.scalars import msum, profit_margin, quantile, severity_from_pct_drop
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -28,10 +28,10 @@ def _metric_cols(df, roles):
     return [(m, roles.present(m, df.columns)) for m in ANOMALY_METRICS if roles.present(m, df.columns)]
 
 
-def _bounds(df: DataFrame, cols) -> DataFrame:
+def _bounds(df: DataFrame, cols, approx: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for m, c in cols:
-        aggs += [F.percentile(F.col(c), 0.25).alias(f"{m}_q1"), F.percentile(F.col(c), 0.75).alias(f"{m}_q3"),
+        aggs += [quantile(F.col(c).cast("double"), 0.25, approx).alias(f"{m}_q1"), quantile(F.col(c).cast("double"), 0.75, approx).alias(f"{m}_q3"),
                  F.count(F.col(c)).alias(f"{m}_n")]
     return df.agg(*aggs)
 
@@ -42,10 +42,10 @@ def _is_out(m, c):
     return F.coalesce((n >= 4) & (iqr != 0) & ((F.col(c) < q1 - 1.5 * iqr) | (F.col(c) > q3 + 1.5 * iqr)), F.lit(False))
 
 
-def metric_outliers(df: DataFrame, roles: Roles) -> DataFrame:
+def metric_outliers(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
     """IQR outlier count per metric with severity (metrics with no outlier omitted)."""
     cols = _metric_cols(df, roles)
-    t = df.crossJoin(F.broadcast(_bounds(df, cols)))
+    t = df.crossJoin(F.broadcast(_bounds(df, cols, approx)))
     aggs = [F.first("_rows").alias("_rows")]
     for m, c in cols:
         aggs.append(F.sum(_is_out(m, c).cast("long")).alias(f"{m}__count"))

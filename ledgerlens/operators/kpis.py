@@ -104,7 +104,7 @@ def _long(one_row: DataFrame, metrics: list[str], fields: list[str]) -> DataFram
     return one_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def basic_stat(df: DataFrame, roles: Roles) -> DataFrame:
+def basic_stat(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
     """total/average/min/max/median per metric."""
     metrics = [r for r in ("sales", "profit", "quantity", "discount", "cost") if roles.present(r, df.columns)]
     aggs = []
@@ -112,7 +112,7 @@ def basic_stat(df: DataFrame, roles: Roles) -> DataFrame:
         x = _c(df, roles, m)
         aggs += [F.coalesce(msum(x) if m in ("sales", "profit", "cost") else F.sum(x), F.lit(0.0)).alias(f"{m}__total"), (cents(F.sum(x)) / F.count(x) if m in ("sales", "profit", "cost") else F.avg(x)).alias(f"{m}__average"),
                  F.min(x).cast("double").alias(f"{m}__minimum"), F.max(x).cast("double").alias(f"{m}__maximum"),
-                 F.median(x).alias(f"{m}__median")]
+                 _median(x, approx).alias(f"{m}__median")]
     return _long(df.agg(*aggs), metrics, ["total", "average", "minimum", "maximum", "median"])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import has_date_name_hint
+from ledgerlens.functions.scalars import quantile
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -43,11 +44,11 @@ def datetime_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if _is_datetime(t)]
 
 
-def _iqr(df: DataFrame, cols: list[str]) -> DataFrame:
+def _iqr(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.percentile(x, 0.25).alias(f"q1_{i}"), F.percentile(x, 0.75).alias(f"q3_{i}"), F.count(x).alias(f"n_{i}")]
+        aggs += [quantile(x, 0.25, approx).alias(f"q1_{i}"), quantile(x, 0.75, approx).alias(f"q3_{i}"), F.count(x).alias(f"n_{i}")]
     return df.agg(*aggs)
 
 
@@ -57,11 +58,11 @@ def _out(c: str, i: int):
     return F.coalesce((n >= 4) & (iqr != 0) & ((x < q1 - 1.5 * iqr) | (x > q3 + 1.5 * iqr)), F.lit(False))
 
 
-def outlier_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+def outlier_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """(column, outlier_count) for numeric ``cols`` in two passes."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, outlier_count long")
-    t = df.select(*cols).crossJoin(F.broadcast(_iqr(df, cols)))
+    t = df.select(*cols).crossJoin(F.broadcast(_iqr(df, cols, approx)))
     one = t.agg(*[F.sum(_out(c, i).cast("long")).alias(f"o_{i}") for i, c in enumerate(cols)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o_{i}").alias("outlier_count"))
                                           for i, c in enumerate(cols)])).alias("r")).select("r.*")
