@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup
+from ledgerlens.llm import exact_dedup, simhash
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE = {
