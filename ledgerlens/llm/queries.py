@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, simhash
+from ledgerlens.llm import exact_dedup, quality, simhash
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
