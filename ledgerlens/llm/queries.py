@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, quality, simhash
+from ledgerlens.llm import decontaminate, exact_dedup, quality, simhash
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE = {
+    "op4_decontaminate": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
