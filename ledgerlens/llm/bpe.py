@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import slices, text_of
 from ledgerlens.llm.scan import BREAK, BREAK_CHAR, LETTER, NUMBER, OTHER, SPACE, codepoint_classes, codepoints, states_after
 
-#: Characters of text in a batch, and pieces in a worker's cache.
+#: Characters of text in a batch, and pieces in each of the two generations of a worker's cache.
 BATCH = 1 << 20
-CACHE = 300_000
+CACHE = 400_000
 
 # Symbols of the automaton: the five classes, and what contractions are made of.
 _BLANK, _APOSTROPHE, _ONE, _L, _V, _R, _E = range(5, 12)
@@ -99,7 +99,7 @@ class Encoder:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pre, self.cache = PreTokenizer(), {}
+        self.pre, self.cache, self.older = PreTokenizer(), {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the adjacent pair of lowest rank is merged, the leftmost first, until none is left."""
@@ -108,14 +108,21 @@ class Encoder:
             return [ranks[piece]]
         n = len(piece)
         if n <= 24:
+            none, get = 1 << 40, ranks.get
             parts = [piece[i:i + 1] for i in range(n)]
-            while True:
-                pairs = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
-                low = min(pairs, default=1 << 40)
-                if low == 1 << 40:
-                    return [ranks[p] for p in parts]
+            pairs = [get(piece[i:i + 2], none) for i in range(n - 1)]
+            while pairs:
+                low = min(pairs)
+                if low == none:
+                    break
                 i = pairs.index(low)
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                parts[i] += parts.pop(i + 1)
+                pairs.pop(i)
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+                if i < len(pairs):
+                    pairs[i] = get(parts[i] + parts[i + 1], none)
+            return [ranks[p] for p in parts]
         end, back = [i + 1 for i in range(n)], [i - 1 for i in range(n)]  # parts as a linked list over positions
         alive = bytearray(b"\x01" * n)
 
@@ -148,20 +155,20 @@ class Encoder:
         starts = self.pre.starts(joined)
         at = starts.tolist()
         pieces = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)])]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
+        if len(self.cache) > CACHE:  # the generation before serves pieces that come again
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
         cache[BREAK_CHAR] = b""
         found = list(map(cache.get, pieces))
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
                     p = pieces[i]
-                    x = cache.get(p)
+                    x = cache.get(p) or older.get(p)
                     if x is None:
                         x = np.array(self.merge(p.encode()), "<u4").tobytes()
-                        if len(p) <= 64:
-                            cache[p] = x
+                    if len(p) <= 64:
+                        cache[p] = x
                     found[i] = x
         edges = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
         edges[-1] = len(joined) + 1
