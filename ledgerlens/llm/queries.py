@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontaminate, exact_dedup, quality, simhash
+from ledgerlens.llm import bpe, decontaminate, exact_dedup, quality, simhash
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
