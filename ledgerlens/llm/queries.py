@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from ledgerlens.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_line_dedup": line_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
