@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash
+from ledgerlens.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
