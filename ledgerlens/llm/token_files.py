@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,9 @@ class WordEncoder:
     #: The fixed rule of tokenizers that drop white space and cut letters from other marks.
     CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    #: Letters and the marks after them are words of their own and case is folded, so such a word is asked for in two parts.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -109,41 +113,50 @@ class WordEncoder:
         self.by_word = first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed" and first.get("pattern", {}).get("Regex") == self.CUTS and self._alike()
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.older_parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _alike(self) -> bool:
         a, b, both = self._ids(["Two", "words.", " Two\n words. "])
-        return a + b == both
+        words = self._ids(["Éa", "éa", "*|", "ÉA*|"])
+        return a + b == both and words[0] == words[1] and words[1] + words[2] == words[3]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [np.array(x, "<u4").tobytes() for x in self._ids(texts)]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CACHE:  # the generation before serves words that come again
             self.cache, self.older = {"": b""}, self.cache
-        cache, older = self.cache, self.older
+        if len(self.parts) > CACHE:
+            self.parts, self.older_parts = {"": b""}, self.parts
+        cache, older, parts, older_parts = self.cache, self.older, self.parts, self.older_parts
         words = [t.replace("\n", " ").split(" ") for t in texts]
         missing = {w for ws in words for w in ws if w not in cache}
-        if missing:
-            ask = {}
-            for w in missing:
-                if (known := older.get(w)) is not None:
-                    cache[w] = known
-                elif w[-1] in ".,|" and w[:-1].isalpha():  # a mark after letters is a word of its own
-                    ask[w] = (w[:-1], w[-1])
-                else:
-                    ask[w] = (w,)
-            new = list({p for ps in ask.values() for p in ps if p not in cache})
-            for p, ids in zip(new, self._ids(new)):
-                cache[p] = np.array(ids, "<u4").tobytes()
-            for w, ps in ask.items():
-                if len(ps) > 1:
-                    cache[w] = cache[ps[0]] + cache[ps[1]]
+        ask, new = {}, set()
+        for w in missing:
+            if (known := older.get(w)) is not None:
+                cache[w] = known
+                continue
+            m = self.PLAIN.fullmatch(w)
+            ask[w] = pair = (m[1].lower(), m[2]) if m else (w, "")
+            for p in pair:
+                if p not in parts:
+                    if (known := older_parts.get(p)) is not None:
+                        parts[p] = known
+                    else:
+                        new.add(p)
+        asked = list(new)
+        for p, ids in zip(asked, self._ids(asked)):
+            parts[p] = np.array(ids, "<u4").tobytes()
+        for w, (p, q) in ask.items():
+            cache[w] = parts[p] + parts[q]
         out = [b"".join(map(cache.__getitem__, ws)) for ws in words]
         for w in [w for w in missing if len(w) > 64]:
-            del cache[w]
+            cache.pop(w)
+            parts.pop(w, None)
         return out
 
 
