@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, token_files
+from ledgerlens.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, token_count, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_token_count": token_count.op9_token_count,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
