@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, quality, simhash, token_count, token_files
+from ledgerlens.llm import bpe, chat, decontaminate, exact_dedup, html_extract, line_dedup, quality, simhash, token_count, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_byte_bpe": bpe.op8_byte_bpe,
