@@ -48,13 +48,15 @@ class DigestIndex:
         pairs = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text_of()).alias("digest"))
                             .groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
         groups = materialise(pairs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("copies").alias("group_size")), "groups")
+        # dealt like the index's buckets, so the joins below shuffle neither side
+        dealt = groups.repartition(self.buckets, "digest")
         batch = uuid.uuid4().hex
-        new = (groups.join(self.table().hint("merge"), "digest", "left_anti")
+        new = (dealt.join(self.table().hint("merge"), "digest", "left_anti")
                .select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
         (new.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path)
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
         self.spark.catalog.refreshTable(self.name)
-        known = groups.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size", (F.col("batch") == batch).alias("is_new"))
+        known = dealt.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size", (F.col("batch") == batch).alias("is_new"))
         rows = join_unique(pairs, materialise(known, "known"), ["digest"], "group_size", "inner")
         return (rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
                 .select("doc_id", "digest", "keep_id", "group_size",

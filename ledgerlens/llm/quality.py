@@ -78,7 +78,7 @@ def votes(view: View) -> str:
         bad if view.upper / letters > 0.5 and letters >= 20 else none,
         bad if raw.count(b"!") / n > 0.3 else none,
         bad if view.same / n > 0.3 and n >= 8 else none,
-        bad if 20 <= n <= 5000 and len(set(view.words)) / n < 0.3 else none,
+        bad if n >= 20 and len(set(zip(view.words, view.words[1:]))) / n < 0.3 else none,
         bad if raw.count(b"|") / n > 0.12 else none,
         bad if bare / n > 0.12 and n >= 6 else none,
         bad if per > 60 else good if 2 <= per <= 40 else none,

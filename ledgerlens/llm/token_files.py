@@ -4,6 +4,7 @@ Texts are encoded, each document gets an end id, and the ids of all documents fo
 order. The files are Parquet rows, one per segment of that sequence, so any storage that Spark reaches can hold them:
 
     part, seq        place of the segment: range partition, number within it
+    before           ids in the partition's segments before it
     n_docs, n_ids    documents and ids in it
     width            bytes per id (2 or 4)
     ids              the concatenated ids, little-endian
@@ -38,7 +39,7 @@ SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
 CACHE = 400_000
 HINT = 64
 
-SCHEMA = ("part int, seq int, n_docs int, n_ids bigint, width int, ids binary, "
+SCHEMA = ("part int, seq int, before bigint, n_docs int, n_ids bigint, width int, ids binary, "
           "ends_low binary, ends_bits int, ends_high binary, ends_hints binary, id_nulls int, id_first bigint, id_low binary, id_bits int, id_high binary, id_hints binary")
 
 
@@ -183,14 +184,14 @@ class _Segment:
     def full(self) -> bool:
         return self.n_ids >= SEGMENT_IDS or len(self.ids) >= SEGMENT_DOCS
 
-    def row(self, part: int, seq: int) -> tuple:
+    def row(self, part: int, seq: int, before: int) -> tuple:
         ids = np.frombuffer(b"".join(self.ids), "<u4")
         width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
         ends = EliasFano.of(np.cumsum([len(x) // 4 for x in self.ids]))
         known = [d for d in self.doc_ids if d is not None]
         first = known[0] if known else 0
         names = EliasFano.of(np.array([d - first for d in known], np.uint64))
-        return (part, seq, len(self.ids), self.n_ids, width, ids.astype(f"<u{width}").tobytes(), ends.low, ends.bits, ends.high, ends.hints,
+        return (part, seq, before, len(self.ids), self.n_ids, width, ids.astype(f"<u{width}").tobytes(), ends.low, ends.bits, ends.high, ends.hints,
                 len(self.doc_ids) - len(known), first, names.low, names.bits, names.high, names.hints)
 
 
@@ -202,18 +203,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq, names = TaskContext.get().partitionId(), 0, [c.split()[0] for c in SCHEMA.split(", ")]
+        part, seq, before, names = TaskContext.get().partitionId(), 0, 0, [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [{"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in SCHEMA.split(", ")]
         enc, segment = _encoder(tokenizer), _Segment()
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(segment.row(part, seq), kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(segment.row(part, seq, before), kinds)], names=names)
 
         for b in slices(batches, "text", 1 << 20):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 segment.add(doc_id, ids + end)
                 if segment.full():
                     yield flush()
+                    before += segment.n_ids
                     segment, seq = _Segment(), seq + 1
         if segment.ids:
             yield flush()
@@ -229,11 +231,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
     rows = spark.read.schema(SCHEMA).parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # one row per range partition
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = rows.select("part", "seq", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
-    starts = within.join(F.broadcast(before), "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    return rows.join(starts, ["part", "seq"])
+    # one row per range partition: the ids themselves are not shuffled
+    earlier = parts.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    return rows.join(F.broadcast(earlier), F.col("part") == F.col("p")).withColumn("start", F.col("earlier") + F.col("before")).drop("p", "earlier")
 
 
 def _documents(row: dict):
