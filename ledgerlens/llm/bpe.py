@@ -25,7 +25,7 @@ from ledgerlens.llm.scan import BREAK, BREAK_CHAR, LETTER, NUMBER, OTHER, SPACE,
 
 #: Characters of text in a batch, and pieces in each of the two generations of a worker's cache.
 BATCH = 1 << 20
-CACHE = 400_000
+CACHE = 250_000
 
 # Symbols of the automaton: the five classes, and what contractions are made of.
 _BLANK, _APOSTROPHE, _ONE, _L, _V, _R, _E = range(5, 12)
@@ -199,6 +199,9 @@ class Decoder:
         length = self.length[ids]
         return self.pool[np.repeat(self.begin[ids] - (ends - length), length) + np.arange(int(ends[-1]))].tobytes()
 
+    def decode_all(self, ids: list[bytes], ends: list[bytes]) -> list[bytes]:
+        return [self.decode(np.frombuffer(i, "<u4"), np.frombuffer(e, "<u4").astype(np.int64)) for i, e in zip(ids, ends)]
+
 
 _LOADED: dict = {}
 
@@ -210,8 +213,11 @@ def _load(kind, path: str):
     return _LOADED[kind, path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and ends (offsets of token ends in bytes), both as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, round_trip: bool = False) -> DataFrame:
+    """doc_id, ids and ends (offsets of token ends in bytes), both as little-endian unsigned 32-bit integers.
+
+    round_trip: also ``decoded``, the bytes that the ids and offsets give back, by the same worker.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -220,10 +226,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches, "text", BATCH):
             ids = enc.encode_batch(b.column(1).to_pylist())
             ends = [dec.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "ids", "ends"])
+            columns, names = [b.column(0), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], ["doc_id", "ids", "ends"]
+            if round_trip:
+                columns, names = [*columns, pa.array(dec.decode_all(ids, ends), pa.binary())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, ends binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, ends binary" + ", decoded binary" * round_trip)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -234,8 +243,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
         dec = _load(Decoder, path)
         for b in slices(batches, "ids", 4 * BATCH):
-            out = [dec.decode(np.frombuffer(i, "<u4"), np.frombuffer(e, "<u4").astype(np.int64)) for i, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
+            out = pa.array(dec.decode_all(b.column(1).to_pylist(), b.column(2).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
     return encoded.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id long, ids binary, ends binary, decoded binary")
 
@@ -249,7 +258,7 @@ def rank_file() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    out = decode(encode(docs, path), path)
+    out = encode(docs, path, round_trip=True)
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

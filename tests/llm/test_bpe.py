@@ -54,3 +54,5 @@ def test_query_columns(spark, own):
     want = sorted([(i, len(ids(t)), sha(ids(t).tobytes()), sha((t or "").encode())) for i, t in rows], key=repr)
     assert sorted(map(tuple, bpe.digests(d, PATH).collect()), key=repr) == want
     assert bpe.digests(d.limit(0), PATH).count() == 0
+    apart = bpe.decode(bpe.encode(d, PATH), PATH).selectExpr("doc_id", "cast(decoded as string)").collect()
+    assert sorted(map(tuple, apart), key=repr) == sorted([(i, t or "") for i, t in rows], key=repr)
