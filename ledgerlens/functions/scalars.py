@@ -107,12 +107,6 @@ def normalize_0_100(v, lo, hi, invert: bool = False) -> Column:
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(100.0))
 
 
-def iqr_bounds(c) -> list[Column]:
-    """B9 helper: aggregate expressions q1, q3 (exact, linear interpolation) and n."""
-    x = col_(c)
-    return [F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"), F.count(x).alias("n")]
-
-
 def iqr_outlier(c, q1, q3, n) -> Column:
     """Strict outside [q1-1.5iqr, q3+1.5iqr]; none when n<4 or iqr==0."""
     x = col_(c)
@@ -250,12 +244,6 @@ def msum(c) -> Column:
     return cents(F.sum(col_(c)))
 
 
-def quantile(c, q: float, approx: bool = False) -> Column:
-    """Exact (linear interpolation) by default; ``approx=True`` uses percentile_approx,
-    whose memory is bounded per task -- the switch for row-level quantiles at very large scale."""
-    return F.percentile_approx(col_(c), q, 10000) if approx else F.percentile(col_(c), q)
-
-
 def round_doubles(df, scale: int = 4):
     """Round every double column (presentation / cross-engine comparison)."""
     return df.select([half_up(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"

@@ -1,7 +1,7 @@
 """Anomalies.
 
-IQR bounds and row-level percentiles are global scalars computed by one
-aggregate and broadcast back as a one-row table.  "First 20 rows" needs a
+IQR bounds and row-level percentiles are exact global scalars
+(``quantiles.exact_quantiles``) broadcast back as a one-row table.  "First 20 rows" needs a
 total order: all columns, ascending.  Per-metric samples use
 ``row_number() <= 20`` over a window partitioned by metric (partial group
 limit before the shuffle).
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import msum, profit_margin, quantile, severity_from_pct_drop
+from ledgerlens.functions.scalars import msum, profit_margin, severity_from_pct_drop
+from ledgerlens.operators.quantiles import exact_quantiles, iqr_bounds, outside
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -28,24 +29,14 @@ def _metric_cols(df, roles):
     return [(m, roles.present(m, df.columns)) for m in ANOMALY_METRICS if roles.present(m, df.columns)]
 
 
-def _bounds(df: DataFrame, cols, approx: bool = False) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for m, c in cols:
-        aggs += [quantile(F.col(c).cast("double"), 0.25, approx).alias(f"{m}_q1"), quantile(F.col(c).cast("double"), 0.75, approx).alias(f"{m}_q3"),
-                 F.count(F.col(c)).alias(f"{m}_n")]
-    return df.agg(*aggs)
-
-
 def _is_out(m, c):
-    q1, q3, n = F.col(f"{m}_q1"), F.col(f"{m}_q3"), F.col(f"{m}_n")
-    iqr = q3 - q1
-    return F.coalesce((n >= 4) & (iqr != 0) & ((F.col(c) < q1 - 1.5 * iqr) | (F.col(c) > q3 + 1.5 * iqr)), F.lit(False))
+    return outside(m, F.col(c))
 
 
-def metric_outliers(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
+def metric_outliers(df: DataFrame, roles: Roles) -> DataFrame:
     """IQR outlier count per metric with severity (metrics with no outlier omitted)."""
     cols = _metric_cols(df, roles)
-    t = df.crossJoin(F.broadcast(_bounds(df, cols, approx)))
+    t = df.crossJoin(F.broadcast(iqr_bounds(df, cols)))
     aggs = [F.first("_rows").alias("_rows")]
     for m, c in cols:
         aggs.append(F.sum(_is_out(m, c).cast("long")).alias(f"{m}__count"))
@@ -65,7 +56,7 @@ def unusual_rows(df: DataFrame, roles: Roles, n: int = SAMPLE_ROWS) -> DataFrame
     high-sales low-margin rows, tagged with ``anomaly_metric``."""
     cols = _metric_cols(df, roles)
     base = df.columns
-    t = df.crossJoin(F.broadcast(_bounds(df, cols)))
+    t = df.crossJoin(F.broadcast(iqr_bounds(df, cols)))
     parts = [t.where(_is_out(m, c)).select(*base, F.lit(roles.get(m)).alias("anomaly_metric")) for m, c in cols]
     parts.append(high_sales_low_margin_rows(df, roles).select(*base, F.lit("high_sales_low_margin").alias("anomaly_metric")))
     u = parts[0]
@@ -80,7 +71,7 @@ def high_sales_low_margin_rows(df: DataFrame, roles: Roles) -> DataFrame:
     s, p = roles.present("sales", df.columns), roles.present("profit", df.columns)
     s0, p0 = F.coalesce(F.col(s), F.lit(0.0)), F.coalesce(F.col(p), F.lit(0.0))
     t = df.withColumn("_s", s0).withColumn("_m", profit_margin(p0, s0))
-    th = t.agg(F.percentile("_s", 0.75).alias("_q"), F.median("_m").alias("_med"))
+    th = exact_quantiles(t, {"_q": (F.col("_s"), 0.75), "_med": (F.col("_m"), 0.5)})
     return t.crossJoin(F.broadcast(th)).where((F.col("_s") >= F.col("_q")) & (F.col("_m") < F.col("_med"))) \
             .drop("_s", "_m", "_q", "_med")
 

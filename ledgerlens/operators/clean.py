@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import safe_numeric, to_double
+from ledgerlens.operators.quantiles import exact_quantiles, with_quantiles
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -116,7 +117,7 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
 
 
 def _median(df: DataFrame, c: str):
-    return df.agg(F.median(F.col(c)).alias("m")).first()["m"]
+    return exact_quantiles(df, {"m": (F.col(c), 0.5)}).first()["m"]
 
 
 def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = None) -> tuple[DataFrame, list[dict]]:
@@ -166,8 +167,8 @@ def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = No
     if c and nulls[c]:
         if s and p:
             df = df.withColumn(c, F.coalesce(F.col(c), F.col(s) - F.col(p)))
-        agg = df.agg(F.sum(F.col(c).isNull().cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"),
-                     F.median(F.col(c)).alias("med")).first()
+        agg = with_quantiles(df.agg(F.sum(F.col(c).isNull().cast("long")).alias("n"), F.count(F.lit(1)).alias("rows")),
+                             df, {"med": (F.col(c), 0.5)}).first()
         total_rows = agg["rows"]
         still, filled = int(agg["n"] or 0), 0
         if still and still / max(total_rows, 1) <= COST_MEDIAN_MAX_GAP and agg["med"] is not None:
@@ -190,8 +191,8 @@ def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = No
               derived=derived, filled=filled, still=still, value=med)
     # I6 discount: 0 when blanks likely mean "no discount", else median
     if d and nulls[d]:
-        st = df.agg(F.avg(F.when(F.col(d).isNotNull(), (F.col(d) == 0).cast("double"))).alias("zero"),
-                    F.median(F.col(d)).alias("med"), F.count(F.col(d)).alias("n")).first()
+        st = with_quantiles(df.agg(F.avg(F.when(F.col(d).isNotNull(), (F.col(d) == 0).cast("double"))).alias("zero"),
+                                   F.count(F.col(d)).alias("n")), df, {"med": (F.col(d), 0.5)}).first()
         if st["n"] and (st["zero"] >= DISCOUNT_ZERO_SHARE or st["med"] <= DISCOUNT_SMALL_MEDIAN):
             fill, how = 0.0, "filled with 0 (blank means no discount)"
         elif st["n"]:
@@ -219,8 +220,8 @@ def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = No
             continue
         if _dtype(df, col) not in ("string",) and not _dtype(df, col).startswith(("timestamp", "date", "bool")):
             v = F.col(col).cast("double")
-            st = df.agg(F.avg(v).alias("mean"), F.median(v).alias("med"), F.stddev_samp(v).alias("sd"),
-                        F.count(v).alias("n"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3")).first()
+            st = with_quantiles(df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")), df,
+                                {"med": (v, 0.5), "q1": (v, 0.25), "q3": (v, 0.75)}).first()
             if not st["n"]:
                 entry(col, "other", nulls[col], "left missing", still=nulls[col])
                 continue

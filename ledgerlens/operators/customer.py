@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import cents, churn_flag, msum, month_key, normalize_0_100, profit_margin, risk_level
 from ledgerlens.operators.kpis import customer_column
+from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -74,8 +75,8 @@ def customer_loyalty(df: DataFrame, roles: Roles) -> DataFrame:
 def customer_segments(df: DataFrame, roles: Roles) -> DataFrame:
     """Ordered segmentation rules with customer-level quantiles as broadcast scalars."""
     g = customer_loyalty(df, roles)
-    q = g.agg(F.percentile("days_since_last_order", 0.75).alias("_rec75"), F.median("average_order_value").alias("_aov_med"),
-              F.percentile("total_sales", 0.75).alias("_sales75"), F.median("order_count").alias("_orders_med"))
+    q = exact_quantiles(g, {"_rec75": (F.col("days_since_last_order"), 0.75), "_aov_med": (F.col("average_order_value"), 0.5),
+                            "_sales75": (F.col("total_sales"), 0.75), "_orders_med": (F.col("order_count"), 0.5)})
     g = g.crossJoin(F.broadcast(q))
     inactive = F.col("days_since_last_order") > F.greatest(F.lit(float(INACTIVE_MIN_DAYS)), F.col("_rec75"))
     seg = (F.when(F.col("total_profit") < 0, F.when(F.col("loyalty_score") < 70, F.lit(SEGMENT_LABELS[0])).otherwise(F.lit(SEGMENT_LABELS[1])))
@@ -137,8 +138,8 @@ def churn_risk(df: DataFrame, roles: Roles, top: int = CHURN_RISK_TOP) -> DataFr
     mx = d.agg(F.max(dt).alias("_max"))
     g = g.crossJoin(F.broadcast(mx)).withColumn("days_since_last_order", F.datediff("_max", "last_purchase_date")) \
          .withColumn("customer_lifespan_days", F.datediff("last_purchase_date", "first_purchase_date")).drop("_max")
-    th = g.agg(F.greatest(F.lit(float(CHURN_RISK_MIN_DAYS)), F.percentile("days_since_last_order", 0.75)).alias("_cut"),
-               F.median("total_sales").alias("_smed"))
+    th = exact_quantiles(g, {"_cut": (F.col("days_since_last_order"), 0.75), "_smed": (F.col("total_sales"), 0.5)}) \
+        .withColumn("_cut", F.greatest(F.lit(float(CHURN_RISK_MIN_DAYS)), F.col("_cut")))
     g = g.crossJoin(F.broadcast(th))
     score = (F.when(F.col("days_since_last_order") >= F.col("_cut"), 50).otherwise(0)
              + F.when(F.col("order_count") >= 2, 20).otherwise(0)

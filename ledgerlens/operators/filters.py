@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bi_discount_band, ci_equals, msum, month_key, profit_margin, quarter_key
 from ledgerlens.operators.grouped import performance
+from ledgerlens.operators.windows import row_number_global
 from ledgerlens.roles import Roles
 
 
@@ -27,15 +28,28 @@ def entity_filter(df: DataFrame, entities: list[tuple[str, str]]) -> DataFrame:
     return df.where(_and([ci_equals(c, v) for c, v in entities if c in df.columns]))
 
 
+def _covers(bits: Column):
+    return lambda b: b.bitwiseAND(bits) == bits
+
+
 def entity_filter_lenient(df: DataFrame, entities: list[tuple[str, str]]) -> DataFrame:
-    """As C1 but a predicate matching no row is skipped; no predicates -> all rows."""
-    preds = [ci_equals(c, v) for c, v in entities if c in df.columns]
+    """As C1, in order, but a predicate that would leave no row is skipped; no predicates -> all rows.
+
+    A row is known by which predicates it meets, so one aggregate over these at most 2^k patterns (partial sums per
+    task) says for each predicate in turn whether any row is left with those taken before it.
+    """
+    preds = [F.coalesce(ci_equals(c, v), F.lit(False)) for c, v in entities if c in df.columns]
     if not preds:
         return df
-    exists = df.agg(*[F.max(p.cast("int")).alias(f"_e{i}") for i, p in enumerate(preds)])
-    out = df.crossJoin(F.broadcast(exists))
-    cond = _and([(F.coalesce(F.col(f"_e{i}"), F.lit(0)) == 0) | p for i, p in enumerate(preds)])
-    return out.where(cond).drop(*[f"_e{i}" for i in range(len(preds))])
+    bits = reduce(lambda a, b: a + b, [F.when(p, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(preds)])
+    patterns = df.select(bits.cast("long").alias("_bits")).groupBy().agg(F.collect_set("_bits").alias("_met"))
+    taken = F.lit(0).cast("long")
+    for i in range(len(preds)):
+        more = taken.bitwiseOR(F.lit(1 << i))
+        taken = F.when(F.exists("_met", _covers(more)), more).otherwise(taken)
+    one = patterns.select(taken.alias("_taken"))
+    return (df.withColumn("_bits", bits.cast("long")).crossJoin(F.broadcast(one))
+            .where(F.col("_bits").bitwiseAND(F.col("_taken")) == F.col("_taken")).drop("_bits", "_taken"))
 
 
 def dashboard_filter(df: DataFrame, roles: Roles, date_from=None, date_to=None, in_lists: dict | None = None,
@@ -104,18 +118,22 @@ def values_not_found(df: DataFrame, roles: Roles, values: list[str], dims: list[
 
 
 def bi_projection(df: DataFrame, roles: Roles) -> DataFrame:
-    """C11: BI-ready columns."""
+    """C11: BI-ready columns.  Without an order id each row gets its own key ``ROW-<i>``, numbered in the
+    total order of all columns (a distributed prefix)."""
     def num(role):
         c = roles.present(role, df.columns)
         return F.col(c).cast("double") if c else F.lit(0.0)
     s, p, q, d = num("sales"), num("profit"), num("quantity"), num("discount")
     o, dt = roles.present("order_id", df.columns), roles.present("date", df.columns)
+    key = F.col(o).cast("string") if o else F.concat(F.lit("ROW-"), F.col("_row").cast("string"))
+    if not o:
+        df = row_number_global(df, [F.col(c).asc_nulls_first() for c in df.columns], "_row")
     out = df.select(
-        "*", s.alias("bi_sales"), p.alias("bi_profit"), q.alias("bi_quantity"), d.alias("bi_discount"),
+        *[c for c in df.columns if c != "_row"], s.alias("bi_sales"), p.alias("bi_profit"), q.alias("bi_quantity"), d.alias("bi_discount"),
         (s - p).alias("bi_cost"), profit_margin(p, s).alias("bi_margin_percent"),
         F.when(p < 0, p).otherwise(F.lit(0.0)).alias("bi_loss_amount"), F.coalesce(p < 0, F.lit(False)).alias("bi_is_loss"),
         bi_discount_band(d).alias("bi_discount_band"),
-        (F.col(o).cast("string") if o else F.lit(None).cast("string")).alias("bi_order_key"),
+        key.alias("bi_order_key"),
         (F.col(dt) if dt else F.lit(None).cast("timestamp")).alias("bi_date"))
     return out.withColumn("bi_year_month", F.coalesce(month_key("bi_date"), F.lit("Unknown"))) \
               .withColumn("bi_year", F.year("bi_date")) \

@@ -33,7 +33,9 @@ def bi_summary(df: DataFrame, roles: Roles) -> DataFrame:
     g = lambda r: roles.present(r, df.columns)
     s, p, q, d, o, dt = (F.col(g(r)) if g(r) else F.lit(0.0) for r in ("sales", "profit", "quantity", "discount", "order_id", "date"))
     base = df.agg(msum(s).alias("total_sales"), msum(p).alias("total_profit"), msum(s - p).alias("total_cost"),
-                  F.sum(q).alias("total_quantity"), F.count_distinct(o.cast("string")).alias("total_orders"),
+                  F.sum(q).alias("total_quantity"),
+                  # without an order id every row is an order
+                  (F.count_distinct(o.cast("string")) if g("order_id") else F.count(F.lit(1))).alias("total_orders"),
                   msum(F.when(p < 0, p).otherwise(0.0)).alias("loss_amount"), F.sum((p < 0).cast("long")).alias("loss_orders"),
                   F.avg(d).alias("average_discount"), F.count(F.lit(1)).alias("record_count"))
     base = base.withColumn("average_order_value", F.when(F.col("total_orders") > 0, cents(F.col("total_sales")) / F.col("total_orders")).otherwise(0.0)) \

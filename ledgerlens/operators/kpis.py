@@ -1,8 +1,8 @@
 """Whole-table KPIs and basic answers.
 
 Each is a single global aggregate (partial per partition, one tiny final
-stage) -- no shuffle of rows.  Exact medians use ``percentile``/``median``;
-pass ``approx=True`` to switch to ``percentile_approx`` on very large inputs.
+stage) -- no shuffle of rows.  Medians come from ``quantiles.exact_quantiles``,
+which is exact and never gathers the values in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import cents, msum, profit_margin, safe_div
-from ledgerlens.operators.grouped import performance
+from ledgerlens.operators.quantiles import with_quantiles
 from ledgerlens.roles import Roles
 
 
@@ -30,11 +30,7 @@ def customer_column(df: DataFrame, roles: Roles, prefer: str = "id") -> str | No
     return None
 
 
-def _median(x: Column, approx: bool) -> Column:
-    return F.percentile_approx(x, 0.5, 10000) if approx else F.median(x)
-
-
-def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
+def kpis(df: DataFrame, roles: Roles) -> DataFrame:
     """One-row KPI table."""
     s, p, q, d, o = (_c(df, roles, r) for r in ("sales", "profit", "quantity", "discount", "order_id"))
     cust = customer_column(df, roles)
@@ -42,7 +38,7 @@ def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total_orders")]
     if s is not None:
         aggs += [F.coalesce(msum(s), zero).alias("total_sales"), (cents(F.sum(s)) / F.count(s)).alias("average_order_value"),
-                 _median(s, approx).alias("median_order_value"), F.sum(s.isNull().cast("long")).alias("unresolved_sales_rows")]
+                 F.sum(s.isNull().cast("long")).alias("unresolved_sales_rows")]
     if p is not None:
         aggs += [F.coalesce(msum(p), zero).alias("total_profit"),
                  F.sum((p < 0).cast("long")).alias("loss_making_orders_count"),
@@ -58,7 +54,7 @@ def kpis(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
     aggs.append((F.count_distinct(o) if o is not None else F.count(F.lit(1))).alias("unique_orders"))
     if cust:
         aggs.append(F.count_distinct(F.col(cust)).alias("unique_customers"))
-    k = df.agg(*aggs)
+    k = with_quantiles(df.agg(*aggs), df, {"median_order_value": (s, 0.5)} if s is not None else {})
     out = k.withColumn("order_rows", F.col("total_orders")) \
            .withColumn("order_count_basis", F.lit("row_count" if o is not None else "row_count_proxy_no_order_id"))
     if s is not None:
@@ -104,16 +100,16 @@ def _long(one_row: DataFrame, metrics: list[str], fields: list[str]) -> DataFram
     return one_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def basic_stat(df: DataFrame, roles: Roles, approx: bool = False) -> DataFrame:
+def basic_stat(df: DataFrame, roles: Roles) -> DataFrame:
     """total/average/min/max/median per metric."""
     metrics = [r for r in ("sales", "profit", "quantity", "discount", "cost") if roles.present(r, df.columns)]
     aggs = []
     for m in metrics:
         x = _c(df, roles, m)
         aggs += [F.coalesce(msum(x) if m in ("sales", "profit", "cost") else F.sum(x), F.lit(0.0)).alias(f"{m}__total"), (cents(F.sum(x)) / F.count(x) if m in ("sales", "profit", "cost") else F.avg(x)).alias(f"{m}__average"),
-                 F.min(x).cast("double").alias(f"{m}__minimum"), F.max(x).cast("double").alias(f"{m}__maximum"),
-                 _median(x, approx).alias(f"{m}__median")]
-    return _long(df.agg(*aggs), metrics, ["total", "average", "minimum", "maximum", "median"])
+                 F.min(x).cast("double").alias(f"{m}__minimum"), F.max(x).cast("double").alias(f"{m}__maximum")]
+    one = with_quantiles(df.agg(*aggs), df, {f"{m}__median": (_c(df, roles, m), 0.5) for m in metrics})
+    return _long(one, metrics, ["total", "average", "minimum", "maximum", "median"])
 
 
 def basic_aggregation(df: DataFrame, roles: Roles) -> DataFrame:
@@ -146,10 +142,11 @@ def unique_values(df: DataFrame, roles: Roles, dim: str) -> DataFrame:
 def aov(df: DataFrame, roles: Roles) -> DataFrame:
     """Mean and median line value, total/distinct orders."""
     s, o = _c(df, roles, "sales"), _c(df, roles, "order_id")
-    out = df.agg((cents(F.sum(s)) / F.count(s)).alias("mean_line_value"), F.median(s).alias("median_line_value"),
+    out = df.agg((cents(F.sum(s)) / F.count(s)).alias("mean_line_value"),
                  F.coalesce(msum(s), F.lit(0.0)).alias("total_sales"),
                  (F.count_distinct(o) if o is not None else F.count(F.lit(1))).alias("distinct_orders"),
                  F.count(s).alias("rows_used"))
+    out = with_quantiles(out, df, {"median_line_value": (s, 0.5)})
     return out.withColumn("sales_per_order", safe_div(cents(F.col("total_sales")), "distinct_orders", None))
 
 
@@ -221,5 +218,3 @@ def health_metrics(df: DataFrame, roles: Roles) -> DataFrame:
               .withColumn("rows_sharing_an_order", F.col("rows") - F.col("distinct_orders"))
 
 
-def performance_with_best(df: DataFrame, roles: Roles, dim: str) -> DataFrame:
-    return performance(df, roles, dim)

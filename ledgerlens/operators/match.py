@@ -1,24 +1,23 @@
 """Dimension-value matching (C12): find dimension values mentioned in texts.
 
-Exact / partial hits.  Texts and values are split into a grid of
-(text chunk x value shard) cells; texts are copied once per value shard and
-values once per text chunk, so no cell holds more than one chunk of each and
-no all-pairs product is formed.  ``cogroup`` hands each cell to a pandas
-function that builds an Aho-Corasick automaton over its value shard and scans
-its texts once (linear in text length plus hits).
-
-Fuzzy hits (dimensions with at most 1000 values, words of 3+ characters)
-follow ``difflib.get_close_matches(word, values, n=1, cutoff=0.88)``.
-Candidate pairs come from an equi-join on shared character bigrams -- a
-lossless filter: ratio >= 0.88 implies at least one shared bigram -- then the
-exact length bound 2*min(la, lb)/(la + lb) >= 0.88, and only the surviving
-pairs reach the difflib ratio in a pandas UDF.
+Exact / partial hits.  Every value is represented by one substring (up to 8
+characters, the one fewest values share); texts are exploded into their
+substrings of those sizes and equi-joined.  A text that contains a value
+contains its substring, so nothing is lost, and only the joined pairs are
+verified with ``contains`` and a word-boundary pattern.  No task sees all
+texts or all values.
+
+Fuzzy hits (words of 3+ characters) follow
+``difflib.get_close_matches(word, values, n=1, cutoff=0.88)``.  Candidate pairs
+come from an equi-join on a shared character bigram and on a value length that
+the ratio allows -- lossless filters: ratio >= 0.88 implies a shared bigram and
+2*min(la, lb)/(la + lb) >= 0.88 -- and only those pairs reach the difflib ratio
+in a pandas UDF.  The value is the first sequence and the word the second, as
+there: the ratio isn't symmetric.
 """
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,12 +27,10 @@ from ledgerlens.roles import Roles
 # --- fixed values --------------------------------------------------------
 SEARCH_DIMENSIONS = ("category", "subcategory", "product", "region", "state", "city", "country", "customer", "segment")
 MIN_VALUE_LENGTH = 3
-FUZZY_MAX_VALUES = 1000
 FUZZY_CUTOFF = 0.88
 CONF_EXACT, CONF_PARTIAL, CONF_FUZZY = 1.0, 0.85, 0.75
 TOP_PER_TEXT = 5
-VALUES_PER_SHARD = 50_000
-TEXTS_PER_CHUNK = 20_000
+GRAM = 8                        # longest substring that values are looked up by
 # ------------------------------------------------------------------------
 
 
@@ -51,49 +48,31 @@ def dimension_values(df: DataFrame, roles: Roles, dims=SEARCH_DIMENSIONS) -> Dat
     return u.withColumn("lv", F.trim(F.lower("value"))).where(F.length("lv") >= MIN_VALUE_LENGTH)
 
 
-def _isword(ch: str) -> bool:
-    return ch.isalnum() or ch == "_"
-
-
-def _scan(key, texts: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-    """One grid cell: automaton over the value shard, scan every text of the chunk."""
-    import ahocorasick
-
-    cols = ["text_id", "dim_order", "dimension", "column", "value", "confidence", "match_type"]
-    if texts.empty or values.empty:
-        return pd.DataFrame(columns=cols)
-    auto = ahocorasick.Automaton()
-    for lv, grp in values.groupby("lv"):
-        auto.add_word(lv, (lv, grp[["dim_order", "dimension", "column", "value"]].to_records(index=False).tolist()))
-    auto.make_automaton()
-    out = []
-    for tid, text in zip(texts["text_id"], texts["q"]):
-        best: dict = {}
-        for end, (lv, owners) in auto.iter(text):
-            start = end - len(lv) + 1
-            before = text[start - 1] if start > 0 else " "
-            after = text[end + 1] if end + 1 < len(text) else " "
-            exact = (_isword(before) != _isword(lv[0])) and (_isword(lv[-1]) != _isword(after))
-            conf = CONF_EXACT if exact else CONF_PARTIAL
-            for o in owners:
-                if best.get(o, 0) < conf:
-                    best[o] = conf
-        for (dim_order, dimension, column, value), conf in best.items():
-            out.append((tid, int(dim_order), dimension, column, value, conf, "exact" if conf == CONF_EXACT else "partial"))
-    return pd.DataFrame(out, columns=cols)
+def _grams(col: str, size) -> F.Column:
+    """Distinct substrings of ``size`` characters (a literal or a column)."""
+    s = F.col(col)
+    k = F.lit(size) if isinstance(size, int) else size
+    return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, k))))
 
 
 def exact_partial_hits(texts: DataFrame, values: DataFrame) -> DataFrame:
     """Exact (word-boundary) and partial (substring) hits, one row per (text, value)."""
-    n_vals, n_txt = values.count(), texts.count()          # two scalars that size the grid
-    shards = max(1, math.ceil(n_vals / VALUES_PER_SHARD))
-    chunks = max(1, math.ceil(n_txt / TEXTS_PER_CHUNK))
-    t = texts.withColumn("chunk", F.pmod(F.xxhash64("text_id"), F.lit(chunks))) \
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    v = values.withColumn("shard", F.pmod(F.xxhash64("lv"), F.lit(shards))) \
-              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    schema = "text_id string, dim_order int, dimension string, column string, value string, confidence double, match_type string"
-    return t.groupBy("chunk", "shard").cogroup(v.groupBy("chunk", "shard")).applyInPandas(_scan, schema)
+    size = F.least(F.length("lv"), F.lit(GRAM))
+    grams = values.select("dim_order", "dimension", "column", "value", "lv", size.alias("k")) \
+                  .select("*", _grams("lv", F.col("k")).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("owners"))
+    # a value is looked up by the one of its grams that the fewest values share
+    anchors = grams.join(shared, "gram").groupBy("dim_order", "dimension", "column", "value", "lv") \
+                   .agg(F.min_by("gram", F.struct("owners", "gram")).alias("gram"))
+    long_enough = texts.where(F.length("q") >= MIN_VALUE_LENGTH)
+    sizes = F.sequence(F.lit(MIN_VALUE_LENGTH), F.least(F.length("q"), F.lit(GRAM)))
+    pieces = long_enough.select("text_id", "q", F.explode(sizes).alias("k")).select("text_id", _grams("q", F.col("k")).alias("gram"))
+    pairs = pieces.join(anchors, "gram").drop("gram").join(texts, "text_id").where(F.contains("q", "lv"))
+    quoted = F.concat(F.lit("(?U)\\b\\Q"), F.replace(F.col("lv"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b"))
+    exact = F.regexp_like("q", quoted)
+    return pairs.select("text_id", "dim_order", "dimension", "column", "value",
+                        F.when(exact, CONF_EXACT).otherwise(CONF_PARTIAL).alias("confidence"),
+                        F.when(exact, "exact").otherwise("partial").alias("match_type")).distinct()
 
 
 def _ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -101,25 +80,21 @@ def _ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def _bigrams(col: str):
-    s = F.col(col)
-    return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))))
-
-
 def fuzzy_hits(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """Words of 3+ alphanumerics vs values of dimensions with <= 1000 values."""
-    small = values.join(values.groupBy("dimension").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= FUZZY_MAX_VALUES)
-                        .select("dimension"), "dimension", "left_semi")
+    """Words of 3+ alphanumerics vs values, best value per word and dimension."""
     words = texts.select("text_id", F.explode(F.regexp_extract_all("q", F.lit(r"([a-zA-Z0-9]+)"), 1)).alias("w")) \
                  .where(F.length("w") >= MIN_VALUE_LENGTH).distinct()
     vocab = words.select("w").distinct()          # score each distinct word once, then join back to texts
-    wg = vocab.select("w", _bigrams("w").alias("bg"))
-    vg = small.select("dim_order", "dimension", "column", "value", "lv", _bigrams("lv").alias("bg"))
-    pairs = wg.join(vg, "bg").select("w", "dim_order", "dimension", "column", "value", "lv").distinct()
+    # the ratio bounds the lengths: 2 * min / (la + lb) >= cutoff; only lengths that can match are joined
+    short = F.ceil(F.length("w") * (FUZZY_CUTOFF / (2 - FUZZY_CUTOFF)) - 1e-9).cast("int")
+    far = F.floor(F.length("w") * ((2 - FUZZY_CUTOFF) / FUZZY_CUTOFF) + 1e-9).cast("int")
+    wg = vocab.select("w", F.explode(F.sequence(short, far)).alias("lb")).select("w", "lb", _grams("w", 2).alias("bg"))
+    vg = values.select("dim_order", "dimension", "column", "value", "lv", F.length("lv").alias("lb"), _grams("lv", 2).alias("bg"))
+    pairs = wg.join(vg, ["lb", "bg"]).select("w", "dim_order", "dimension", "column", "value", "lv").distinct()
     la, lb = F.length("w"), F.length("lv")
     pairs = pairs.where(2 * F.least(la, lb) / (la + lb) >= FUZZY_CUTOFF)
     ratio = F.pandas_udf(_ratio_batch, "double")   # created here: module import must not need a session
-    scored = pairs.withColumn("score", ratio(F.col("w"), F.col("lv"))).where(F.col("score") >= FUZZY_CUTOFF)
+    scored = pairs.withColumn("score", ratio(F.col("lv"), F.col("w"))).where(F.col("score") >= FUZZY_CUTOFF)
     # get_close_matches keeps the best candidate per word (score, then candidate text, highest first)
     w = Window.partitionBy("w", "dimension").orderBy(F.col("score").desc(), F.col("lv").desc(), F.col("value"))
     best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).join(words, "w")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.scalars import msum, profit_margin
 from ledgerlens.operators.grouped import performance
 from ledgerlens.operators.windows import percent_rank_average
+from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -26,7 +27,7 @@ DOUBLE_DOWN_WEIGHTS = (0.4, 0.4, 0.2)   # sales, profit, margin percentile ranks
 def product_portfolio(df: DataFrame, roles: Roles, discount_threshold: float = DISCOUNT_DAMAGE_THRESHOLD) -> DataFrame:
     """Product classes from group medians (ordered rules)."""
     g = performance(df, roles, "product", sort=False)
-    med = g.agg(F.median("sales").alias("_ms"), F.median("profit").alias("_mp"))
+    med = exact_quantiles(g, {"_ms": (F.col("sales"), 0.5), "_mp": (F.col("profit"), 0.5)})
     g = g.crossJoin(F.broadcast(med))
     s, p, m = F.col("sales"), F.col("profit"), F.col("profit_margin_percent")
     disc = F.coalesce(F.col("average_discount"), F.lit(0.0)) if "average_discount" in g.columns else F.lit(0.0)
@@ -54,7 +55,7 @@ def strong_regions(df: DataFrame, roles: Roles, dim: str = "region", n: int = 10
 def high_sales_low_margin_regions(df: DataFrame, roles: Roles, dim: str = "region") -> DataFrame:
     """Sales >= median and margin <= median of the groups."""
     g = performance(df, roles, dim, sort=False)
-    med = g.agg(F.median("sales").alias("_ms"), F.median("profit_margin_percent").alias("_mm"))
+    med = exact_quantiles(g, {"_ms": (F.col("sales"), 0.5), "_mm": (F.col("profit_margin_percent"), 0.5)})
     return g.crossJoin(F.broadcast(med)).where((F.col("sales") >= F.col("_ms")) & (F.col("profit_margin_percent") <= F.col("_mm"))) \
             .drop("_ms", "_mm").orderBy(F.col("profit").desc(), "dimension_value")
 
@@ -68,7 +69,7 @@ def bi_group(df: DataFrame, roles: Roles, dim: str) -> DataFrame:
 def bi_stars(df: DataFrame, roles: Roles) -> DataFrame:
     """Sales >= median, profit > 0 and margin >= median."""
     g = performance(df, roles, "product", sort=False)
-    med = g.agg(F.median("sales").alias("_ms"), F.median("profit_margin_percent").alias("_mm"))
+    med = exact_quantiles(g, {"_ms": (F.col("sales"), 0.5), "_mm": (F.col("profit_margin_percent"), 0.5)})
     return g.crossJoin(F.broadcast(med)).where((F.col("sales") >= F.col("_ms")) & (F.col("profit") > 0)
                                                & (F.col("profit_margin_percent") >= F.col("_mm"))) \
             .drop("_ms", "_mm").orderBy(F.col("profit").desc(), "dimension_value")
@@ -83,7 +84,7 @@ def bi_problems(df: DataFrame, roles: Roles) -> DataFrame:
 def bi_discount_damaged(df: DataFrame, roles: Roles) -> DataFrame:
     """Average discount above the median product discount and a loss."""
     g = performance(df, roles, "product", sort=False)
-    med = g.agg(F.median("average_discount").alias("_md"))
+    med = exact_quantiles(g, {"_md": (F.col("average_discount"), 0.5)})
     return g.crossJoin(F.broadcast(med)).where((F.col("average_discount") > F.col("_md")) & (F.col("profit") < 0)) \
             .drop("_md").orderBy("profit", "dimension_value")
 

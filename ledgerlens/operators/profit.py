@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import BAND_LABELS, cents, msum, ci_equals, discount_band, profit_margin
 from ledgerlens.operators.grouped import dim_perf, performance, with_synthetic
+from ledgerlens.operators.quantiles import exact_quantiles, with_quantiles
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -87,7 +88,7 @@ def leakage_points(df: DataFrame, roles: Roles) -> DataFrame:
 def high_sales_low_profit(df: DataFrame, roles: Roles, dim: str = "category") -> DataFrame:
     """Sales >= 60th percentile of groups and margin <= the median group margin."""
     g = performance(df, roles, dim, sort=False)
-    th = g.agg(F.percentile("sales", 0.6).alias("_s"), F.median("profit_margin_percent").alias("_m"))
+    th = exact_quantiles(g, {"_s": (F.col("sales"), 0.6), "_m": (F.col("profit_margin_percent"), 0.5)})
     return g.crossJoin(F.broadcast(th)).where((F.col("sales") >= F.col("_s")) & (F.col("profit_margin_percent") <= F.col("_m"))) \
             .drop("_s", "_m").orderBy(F.col("sales").desc(), F.col("profit_margin_percent").asc(), "dimension_value")
 
@@ -96,8 +97,8 @@ def high_sales_weak_margin(df: DataFrame, roles: Roles, dim: str = "product", n:
     """Sales >= p50 (<= 5 groups) else p70; margin <= max(median, overall);
     when nothing qualifies, the 10 lowest margins."""
     g = performance(df, roles, dim, customers=True, cost=True, sort=False)
-    th = g.agg(F.count(F.lit(1)).alias("_n"), F.percentile("sales", 0.5).alias("_p50"), F.percentile("sales", 0.7).alias("_p70"),
-               F.median("profit_margin_percent").alias("_med"), profit_margin(msum("profit"), msum("sales")).alias("_overall"))
+    th = with_quantiles(g.agg(F.count(F.lit(1)).alias("_n"), profit_margin(msum("profit"), msum("sales")).alias("_overall")), g, {
+        "_p50": (F.col("sales"), 0.5), "_p70": (F.col("sales"), 0.7), "_med": (F.col("profit_margin_percent"), 0.5)})
     t = g.crossJoin(F.broadcast(th))
     hit = (F.col("sales") >= F.when(F.col("_n") <= 5, F.col("_p50")).otherwise(F.col("_p70"))) & \
           (F.col("profit_margin_percent") <= F.greatest(F.col("_med"), F.col("_overall")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import has_date_name_hint
-from ledgerlens.functions.scalars import quantile
+from ledgerlens.operators.quantiles import iqr_bounds, outside, with_quantiles
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -44,26 +44,12 @@ def datetime_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if _is_datetime(t)]
 
 
-def _iqr(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [quantile(x, 0.25, approx).alias(f"q1_{i}"), quantile(x, 0.75, approx).alias(f"q3_{i}"), F.count(x).alias(f"n_{i}")]
-    return df.agg(*aggs)
-
-
-def _out(c: str, i: int):
-    x, q1, q3, n = F.col(c).cast("double"), F.col(f"q1_{i}"), F.col(f"q3_{i}"), F.col(f"n_{i}")
-    iqr = q3 - q1
-    return F.coalesce((n >= 4) & (iqr != 0) & ((x < q1 - 1.5 * iqr) | (x > q3 + 1.5 * iqr)), F.lit(False))
-
-
-def outlier_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
+def outlier_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, outlier_count) for numeric ``cols`` in two passes."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, outlier_count long")
-    t = df.select(*cols).crossJoin(F.broadcast(_iqr(df, cols, approx)))
-    one = t.agg(*[F.sum(_out(c, i).cast("long")).alias(f"o_{i}") for i, c in enumerate(cols)])
+    t = df.select(*cols).crossJoin(F.broadcast(iqr_bounds(df, [(f"_{i}", c) for i, c in enumerate(cols)])))
+    one = t.agg(*[F.sum(outside(f"_{i}", F.col(c).cast("double")).cast("long")).alias(f"o_{i}") for i, c in enumerate(cols)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o_{i}").alias("outlier_count"))
                                           for i, c in enumerate(cols)])).alias("r")).select("r.*")
 
@@ -113,8 +99,8 @@ def numeric_checks(df: DataFrame, roles: Roles) -> DataFrame:
     for m, c in specs:
         x = F.col(c).cast("double")
         aggs += [F.sum((x < 0).cast("long")).alias(f"{m}__negative_count"), F.sum((x == 0).cast("long")).alias(f"{m}__zero_count"),
-                 F.min(x).alias(f"{m}__min"), F.max(x).alias(f"{m}__max"), F.avg(x).alias(f"{m}__mean"), F.median(x).alias(f"{m}__median")]
-    one = df.agg(*aggs)
+                 F.min(x).alias(f"{m}__min"), F.max(x).alias(f"{m}__max"), F.avg(x).alias(f"{m}__mean")]
+    one = with_quantiles(df.agg(*aggs), df, {f"{m}__median": (F.col(c), 0.5) for m, c in specs})
     oc = outlier_counts(df, cols)
     rows = [F.struct(F.lit(m).alias("metric"), F.lit(c).alias("column"),
                      *[F.col(f"{m}__{k}").alias(k) for k in ("negative_count", "zero_count", "min", "max", "mean", "median")])
@@ -134,10 +120,10 @@ def date_checks(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def has_return_context(df: DataFrame) -> DataFrame:
-    """Return words in a column name, or a text value in (any of the first 20) text columns."""
+    """Return words in a column name, or a value in any text column."""
     if any(any(w in c.lower() for w in RETURN_WORDS) for c in df.columns):
         return df.sparkSession.range(1).select(F.lit(True).alias("has_return_context"))
-    text = [c for c, t in df.dtypes if t == "string"][:20]
+    text = [c for c, t in df.dtypes if t == "string"]
     if not text:
         return df.sparkSession.range(1).select(F.lit(False).alias("has_return_context"))
     hit = None
@@ -230,9 +216,8 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"), F.median(x).alias(f"md{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}")]
-    one = df.agg(*aggs)
+        aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}")]
+    one = with_quantiles(df.agg(*aggs), df, {f"md{i}": (F.col(c), 0.5) for i, c in enumerate(cols)})
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"),
                      F.col(f"av{i}").alias("mean"), F.col(f"md{i}").alias("median"), F.col(f"sd{i}").alias("std"))
             for i, c in enumerate(cols)]

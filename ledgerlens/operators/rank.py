@@ -18,7 +18,13 @@ from ledgerlens.roles import Roles
 METRIC_COLUMNS = {"sales": "sales", "profit": "profit", "loss": "profit", "margin": "profit_margin_percent",
                   "discount": "average_discount", "cost": "cost", "quantity": "quantity",
                   "orders": "order_count", "customers": "customer_count"}
-MAX_LIMIT = 100
+
+
+def _wanted(n: int) -> int:
+    """The asked number of rows, as it is."""
+    if int(n) < 1:
+        raise ValueError("n must be at least 1")
+    return int(n)
 
 
 def rank_by(df: DataFrame, roles: Roles, dim: str, metric: str = "sales", ascending: bool | None = None,
@@ -26,7 +32,7 @@ def rank_by(df: DataFrame, roles: Roles, dim: str, metric: str = "sales", ascend
     """G1: top/bottom ``n`` groups of ``dim`` by ``metric``; ``loss`` keeps loss groups, worst first."""
     if metric not in METRIC_COLUMNS:
         raise ValueError(f"metric must be one of {sorted(METRIC_COLUMNS)}")
-    n = max(1, min(int(n), MAX_LIMIT))
+    n = _wanted(n)
     g = performance(df, roles, dim, customers=True, cost=True, sort=False)
     col = METRIC_COLUMNS[metric]
     if metric == "loss":
@@ -47,8 +53,8 @@ def top_records(df: DataFrame, sort_col: str, n: int = 10, ascending: bool = Fal
 
 
 def drilldown(table: DataFrame, sort_col: str, n: int = 10, ascending: bool = False) -> DataFrame:
-    """Any table, any sort column, top 5..50."""
-    return top_records(table, sort_col, max(5, min(int(n), 50)), ascending)
+    """Any table, any sort column, top ``n``."""
+    return top_records(table, sort_col, _wanted(n), ascending)
 
 
 def loss_orders(df: DataFrame, roles: Roles, n: int = 250) -> DataFrame:

@@ -5,8 +5,9 @@ For tables that can be large (customers, products, distinct values) we instead:
 
 1. range-partition on the total order (ties broken by a key, so the range
    partitioner can split any hot value across tasks);
-2. ``checkpoint()`` that result into the shared checkpoint folder so partition
-   ids are fixed even if executors are lost and stages are recomputed;
+2. write that result to the shared checkpoint folder so partition ids are fixed
+   even if executors are lost and stages are recomputed; the partition count
+   follows the row count, so a partition never outgrows a task;
 3. sum each partition (one row per partition), turn those into offsets with a
    tiny window, broadcast them back (bounded by the partition count);
 4. finish with a window partitioned by the partition id.
@@ -17,33 +18,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.session import shared_dir
+from ledgerlens.session import materialise
 
-# Below this many rows (counted first) one ordered window is cheaper than the
-# distributed path; the count is the size check that bounds the single task.
-SMALL_PREFIX_ROWS = 200_000
+ROWS_PER_PARTITION = 1_000_000
 
 
-def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None,
-                  small_rows: int = SMALL_PREFIX_ROWS) -> DataFrame:
+def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
     """Add inclusive running sums ``sums`` over the total order ``order``."""
     spark = df.sparkSession
     names = list(sums)
-    tmp = df.select("*", *[sums[n].alias(f"__v{i}") for i, n in enumerate(names)])
-    if small_rows and df.count() <= small_rows:
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return tmp.select(*df.columns, *[F.sum(f"__v{i}").over(w).alias(n) for i, n in enumerate(names)])
-    shared_dir(spark)
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tmp.repartitionByRange(nparts, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    tmp = materialise(df.select("*", *[sums[n].alias(f"__v{i}") for i, n in enumerate(names)]), "prefix-in")
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tmp.count() // ROWS_PER_PARTITION))
+    ranged = materialise(tmp.repartitionByRange(parts, *order).withColumn("__pid", F.spark_partition_id()), "prefix")
     totals = ranged.groupBy("__pid").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__o{i}")
                                        for i in range(len(names))])
     local = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.join(F.broadcast(offsets), "__pid")
-    out = out.select(*df.columns, *[(F.sum(f"__v{i}").over(local) + F.col(f"__o{i}")).alias(n) for i, n in enumerate(names)])
-    return out
+    return out.select(*df.columns, *[(F.sum(f"__v{i}").over(local) + F.col(f"__o{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def row_number_global(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:

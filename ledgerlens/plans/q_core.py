@@ -226,6 +226,10 @@ add("entity_filter", lambda spark, d: C.entity_filter(prepared_fact(spark, d)[0]
 add("entity_filter_lenient",
     lambda spark, d: C.entity_filter_lenient(prepared_fact(spark, d)[0], _ENT + [("category", "no such category")]),
     with_fact(f"SELECT {_r4_cols()} FROM sf WHERE lower(region) = 'asia' AND lower(segment) = 'building'"))
+# each value exists, but not together: the second predicate would leave nothing and is skipped
+add("entity_filter_contradictory",
+    lambda spark, d: C.entity_filter_lenient(prepared_fact(spark, d)[0], [("region", "asia"), ("state", "germany"), ("segment", "building")]),
+    with_fact(f"SELECT {_r4_cols()} FROM sf WHERE lower(region) = 'asia' AND lower(segment) = 'building'"))
 
 
 def _dash(spark, sf_dir):

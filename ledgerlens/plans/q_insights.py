@@ -15,7 +15,14 @@ def _op(fn, *a, **kw):
     return q
 
 
-add("bi_summary", _op(I.bi_summary), with_fact("""
+def _no_order_id(fn):
+    def q(spark, sf_dir):
+        df, roles = prepared_fact(spark, sf_dir)
+        return fn(df.drop("order_id"), roles.with_roles(order_id=None))
+    return q
+
+
+_BI_SUMMARY = """
 b AS (SELECT SUM(sales) AS total_sales, SUM(profit) AS total_profit, SUM(sales - profit) AS total_cost, SUM(quantity) AS total_quantity,
              COUNT(DISTINCT CAST(order_id AS VARCHAR)) AS total_orders, SUM(CASE WHEN profit < 0 THEN profit ELSE 0.0 END) AS loss_amount,
              CAST(SUM(CASE WHEN profit < 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_orders, AVG(discount_pct) AS average_discount,
@@ -32,7 +39,9 @@ SELECT ROUND(total_sales, 4) AS total_sales, ROUND(total_profit, 4) AS total_pro
        ROUND(CASE WHEN total_sales = 0 THEN 0.0 ELSE total_profit / total_sales * 100 END, 4) AS profit_margin_percent,
        ROUND(CASE WHEN total_orders > 0 THEN loss_orders / total_orders * 100 ELSE 0.0 END, 4) AS loss_order_percent,
        latest_period, ROUND(sales_delta_vs_prev, 4) AS sales_delta_vs_prev, ROUND(profit_delta_vs_prev, 4) AS profit_delta_vs_prev
-FROM b, lt"""))
+FROM b, lt"""
+add("bi_summary", _op(I.bi_summary), with_fact(_BI_SUMMARY))
+add("bi_summary_no_order_id", _no_order_id(I.bi_summary), with_fact(_BI_SUMMARY.replace("COUNT(DISTINCT CAST(order_id AS VARCHAR))", "COUNT(*)")))
 
 _BAND = ("CASE WHEN discount_pct IS NULL THEN 'Unknown' WHEN discount_pct <= 0 THEN '0%' WHEN discount_pct <= 10 THEN '0-10%' "
          "WHEN discount_pct <= 20 THEN '10-20%' WHEN discount_pct <= 30 THEN '20-30%' WHEN discount_pct <= 40 THEN '30-40%' ELSE '40%+' END")

@@ -2,15 +2,16 @@
 
 On a cluster the session is created by the platform; we only *read*
 ``spark.checkpoint.dir`` there.  A machine-local folder is used only when the
-setting is absent (local tests, the bench).
+setting is absent and the master is local (tests, the bench).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
@@ -42,8 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     # make RDD/Dataset checkpoint() write to the same place
     if not (hasattr(sc, "getCheckpointDir") and sc.getCheckpointDir()):
         sc.setCheckpointDir(path)
     return str(path).rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: computed once, lineage cut, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 """The distributed prefix sum equals a single ordered window, including a hot tied value."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.windows import dense_code, global_prefix, percent_rank_average
@@ -14,10 +15,11 @@ def _data(spark):
 def test_distributed_matches_single_window(spark):
     df = _data(spark)
     order = [F.col("v").desc(), F.col("k").asc()]
-    dist = global_prefix(df, order, {"cum": F.col("v"), "rn": F.lit(1).cast("long")}, partitions=7, small_rows=0)
-    small = global_prefix(df, order, {"cum": F.col("v"), "rn": F.lit(1).cast("long")})
+    dist = global_prefix(df, order, {"cum": F.col("v"), "rn": F.lit(1).cast("long")}, partitions=7)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = df.select("k", F.sum("v").over(w).alias("cum"), F.sum(F.lit(1).cast("long")).over(w).alias("rn"))
     a = sorted((r["k"], r["rn"], r["cum"]) for r in dist.collect())
-    b = sorted((r["k"], r["rn"], r["cum"]) for r in small.collect())
+    b = sorted((r["k"], r["rn"], r["cum"]) for r in one.collect())
     assert a == b
     assert sorted(r[1] for r in a) == list(range(1, 3001))
 
