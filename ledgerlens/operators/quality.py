@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.dates import has_date_name_hint
+from ledgerlens.functions.dates import date_columns, ensure_datetime, invalid_dates
 from ledgerlens.operators.quantiles import iqr_bounds, outside, with_quantiles
 from ledgerlens.roles import Roles
 
@@ -22,6 +22,7 @@ RETURN_VALUE_PATTERN = "return|refund|credit|cancel|rma"
 SCORE_CAPS = {"missing": (35, 1.5), "duplicates": (20, 2.0), "empty": (15, 5.0), "constant": (10, 1.5),
               "outliers": (8, 0.4), "negatives": (10, 1.0), "dates": (15, 1.0)}
 TOP_VALUES = 5
+SAMPLE_VALUES = 5
 # ------------------------------------------------------------------------
 
 _NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint", "decimal")
@@ -40,8 +41,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def datetime_columns(df: DataFrame) -> list[str]:
-    """A17 for typed frames: timestamp/date columns (text columns go through ingest's detector)."""
-    return [c for c, t in df.dtypes if _is_datetime(t)]
+    """Typed date columns and text or compact-number columns that hold dates."""
+    return date_columns(df)
 
 
 def outlier_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -60,18 +61,24 @@ def _pairs(df: DataFrame, cols: list[str]) -> DataFrame:
                                          for c in cols])).alias("p")).select("p.*")
 
 
+def missing_counts(df: DataFrame) -> DataFrame:
+    """Per column: missing count, rows and whether it holds at most one value, in one pass without a shuffle of values."""
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[a for i, c in enumerate(df.columns) for a in (
+        F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"m{i}"), F.min(f"`{c}`").eqNullSafe(F.max(f"`{c}`")).alias(f"k{i}"))])
+    cells = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("missing_count"), F.col(f"k{i}").alias("constant"))
+             for i, c in enumerate(df.columns)]
+    return one.select("rows", F.explode(F.array(*cells)).alias("r")).select("r.*", "rows")
+
+
 def column_stats(df: DataFrame) -> DataFrame:
-    """Per column: missing and exact distinct counts in one shuffle."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    vc = _pairs(df, df.columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    st = vc.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
-                                  F.count("value").alias("unique_count"))
-    return st.crossJoin(F.broadcast(rows))
+    """Per column: missing and exact distinct counts."""
+    uniq = _pairs(df, df.columns).where(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.count("value").alias("unique_count"))
+    return missing_counts(df).join(uniq, "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long")))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Columns with missing values, most first."""
-    st = column_stats(df)
+    st = missing_counts(df)
     return st.where(F.col("missing_count") > 0).select(
         "column", "missing_count", (F.col("missing_count") / F.col("rows") * 100).alias("missing_percent")) \
         .orderBy(F.col("missing_count").desc(), "column")
@@ -83,12 +90,18 @@ def column_profile(df: DataFrame) -> DataFrame:
     st = column_stats(df).join(F.broadcast(dtypes), "column")
     oc = outlier_counts(df, numeric_columns(df))
     t = st.join(oc, "column", "left")
+    # five smallest distinct values, taken per column by rank before anything is gathered
+    vals = _pairs(df, df.columns).where(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("column").orderBy("value")
+    samples = vals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= SAMPLE_VALUES).groupBy("column") \
+                  .agg(F.array_join(F.sort_array(F.collect_list("value")), " | ").alias("sample_values"))
+    t = t.join(samples, "column", "left")
     issues = F.concat_ws("; ", F.when(F.col("missing_count") > 0, F.lit("missing values")),
                          F.when(F.col("unique_count") <= 1, F.lit("constant or near-empty column")),
                          F.when(F.col("outlier_count") > 0, F.concat(F.col("outlier_count").cast("string"), F.lit(" IQR outliers"))))
     return t.select("column", "dtype", "missing_count", (F.col("missing_count") / F.col("rows") * 100).alias("missing_percent"),
                     "unique_count", (F.col("unique_count") / F.col("rows") * 100).alias("unique_percent"), "outlier_count",
-                    issues.alias("detected_issues")).orderBy("column")
+                    issues.alias("detected_issues"), F.coalesce("sample_values", F.lit("")).alias("sample_values")).orderBy("column")
 
 
 def numeric_checks(df: DataFrame, roles: Roles) -> DataFrame:
@@ -109,10 +122,10 @@ def numeric_checks(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def date_checks(df: DataFrame, roles: Roles) -> DataFrame:
-    """Invalid dates, min, max and span in days (typed column: invalid = 0)."""
+    """Invalid dates (values that are there but no date), min, max and span in days."""
     d = roles.present("date", df.columns)
-    x = F.col(d)
-    out = df.agg(F.lit(0).cast("long").alias("invalid_dates"), F.date_format(F.min(x), "yyyy-MM-dd").alias("min_date"),
+    x = ensure_datetime(df, d)
+    out = df.agg(F.coalesce(invalid_dates(df, d), F.lit(0).cast("long")).alias("invalid_dates"), F.date_format(F.min(x), "yyyy-MM-dd").alias("min_date"),
                  F.date_format(F.max(x), "yyyy-MM-dd").alias("max_date"), F.count(x).alias("_n"),
                  F.datediff(F.max(x), F.min(x)).alias("_span"))
     return out.select("invalid_dates", "min_date", "max_date",
@@ -140,17 +153,17 @@ def _duplicates(df: DataFrame) -> DataFrame:
 
 def dq_basic(df: DataFrame) -> DataFrame:
     """I11 basic checks (one row)."""
-    st = column_stats(df)
+    st = missing_counts(df)
     n_cols = len(df.columns)
     num, dts = numeric_columns(df), datetime_columns(df)
     cat = [c for c in df.columns if c not in num and c not in dts]
     agg = st.agg(F.first("rows").alias("row_count"), F.sum("missing_count").alias("missing_cells_total"),
                  # one entry per column: bounded by the schema width, not by the data
                  F.array_join(F.sort_array(F.collect_list(F.when(F.col("missing_count") == F.col("rows"), F.col("column")))), ",").alias("empty_columns"),
-                 F.array_join(F.sort_array(F.collect_list(F.when(F.col("unique_count") <= 1, F.col("column")))), ",").alias("constant_columns"),
+                 F.array_join(F.sort_array(F.collect_list(F.when(F.col("constant"), F.col("column")))), ",").alias("constant_columns"),
                  F.array_join(F.sort_array(F.collect_list(F.when(F.col("missing_count") > 0, F.col("column")))), ",").alias("columns_with_missing_values"),
                  F.sum(F.when(F.col("missing_count") == F.col("rows"), 1).otherwise(0)).alias("_n_empty"),
-                 F.sum(F.when(F.col("unique_count") <= 1, 1).otherwise(0)).alias("_n_constant"))
+                 F.sum(F.col("constant").cast("int")).alias("_n_constant"))
     out = agg.crossJoin(_duplicates(df)).withColumn("column_count", F.lit(n_cols))
     return out.select(
         "row_count", "column_count", "duplicate_rows_count",
@@ -197,17 +210,21 @@ def dq_score(df: DataFrame, roles: Roles) -> DataFrame:
     tech = outlier_counts(df, [c for c in numeric_columns(df) if c not in business]).agg(
         F.coalesce(F.sum("outlier_count"), F.lit(0)).alias("tech_outliers"))
     sig = dq_signals(df, roles).where(F.col("kind") == "warning").agg(F.coalesce(F.sum("negative_count"), F.lit(0)).alias("bad_negatives"))
-    t = basic.crossJoin(tech).crossJoin(sig)
+    d = roles.present("date", df.columns)
+    bad_dates = df.agg(F.coalesce(invalid_dates(df, d), F.lit(0)).alias("bad_dates")) if d else df.sparkSession.range(1).select(F.lit(0).alias("bad_dates"))
+    t = basic.crossJoin(tech).crossJoin(sig).crossJoin(bad_dates)
     rows = F.greatest(F.col("row_count"), F.lit(1))
     pen = lambda k, basis: F.least(F.lit(float(SCORE_CAPS[k][0])), basis * SCORE_CAPS[k][1])
     score = (F.lit(100.0) - pen("missing", F.col("missing_cells_percent")) - pen("duplicates", F.col("duplicate_rows_percent"))
              - pen("empty", F.col("_n_empty").cast("double")) - pen("constant", F.col("_n_constant").cast("double"))
-             - pen("outliers", F.col("tech_outliers") / rows * 100) - pen("negatives", F.col("bad_negatives") / rows * 100))
+             - pen("outliers", F.col("tech_outliers") / rows * 100) - pen("negatives", F.col("bad_negatives") / rows * 100)
+             - pen("dates", F.col("bad_dates") / rows * 100))
     return t.select(F.least(F.greatest(F.bround(score, 2), F.lit(0.0)), F.lit(100.0)).alias("quality_score"),
                     F.col("missing_cells_percent").alias("missing_penalty_basis_percent"),
                     F.col("duplicate_rows_percent").alias("duplicate_penalty_basis_percent"),
                     (F.col("tech_outliers") / rows * 100).alias("technical_outlier_penalty_basis_percent"),
-                    (F.col("bad_negatives") / rows * 100).alias("suspicious_negative_penalty_basis_percent"))
+                    (F.col("bad_negatives") / rows * 100).alias("suspicious_negative_penalty_basis_percent"),
+                    (F.col("bad_dates") / rows * 100).alias("invalid_date_penalty_basis_percent"))
 
 
 def numeric_summary(df: DataFrame) -> DataFrame:
@@ -241,6 +258,3 @@ def top_values(df: DataFrame, col: str, n: int = 60) -> DataFrame:
     """Value counts of a column, top ``n`` (ties by value)."""
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")) \
              .agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "value").limit(n)
-
-
-__all__ = ["has_date_name_hint"] + [n for n in dir() if not n.startswith("_")]

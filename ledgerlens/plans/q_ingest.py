@@ -9,7 +9,6 @@ pandas-style duplicate header ("Profit.1").  Ingest must undo all of it.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import functions as F
 
@@ -17,10 +16,10 @@ from ledgerlens.functions.dates import ensure_datetime
 from ledgerlens.functions.scalars import format_currency
 from ledgerlens.plans.registry import add
 from ledgerlens.plans.sqlfrag import HOLES_SQL, with_fact
-from ledgerlens.session import shared_dir
+from ledgerlens.session import file_signature, shared_dir
 from ledgerlens.sources import ingest as IN
 from ledgerlens.sources import roles_detect as RD
-from ledgerlens.sources.testview import _exists, holed_fact
+from ledgerlens.sources.testview import _exists, _fact_path, holed_fact
 
 HEADERS = [("Order ID", "order_id"), ("Order Date", "order_date"), ("Ship Date", "ship_date"), ("Ship Mode", "ship_mode"),
            ("Customer ID", "customer_id"), ("Customer Name", "customer"), ("Segment", "segment"), ("Region", "region"),
@@ -30,49 +29,57 @@ HEADERS = [("Order ID", "order_id"), ("Order Date", "order_date"), ("Ship Date",
 DEDUPED = IN.dedupe_columns([h for h, _ in HEADERS])
 
 
+def messy(col, by, concat, newline, quote, comma):
+    """A text column with quoted quotes, commas and (every 50th key) a line break, as exports have them."""
+    c, k = F.col(col), F.pmod(F.col(by), F.lit(50))
+    return F.when(k == 1, concat(c, newline, F.lit("x"))).when(k == 2, concat(c, comma, quote, F.lit("y"), quote)).otherwise(c)
+
+
+MESSY_SQL = """CASE customer_id % 50 WHEN 1 THEN segment || chr(10) || 'x' WHEN 2 THEN segment || ', "y"' ELSE segment END"""
+
+
 def csv_path(spark, sf_dir: str) -> str:
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|csv-v1".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{_fact_path(spark, sf_dir)}|csv-v2".encode()).hexdigest()[:16]
     path = f"{shared_dir(spark)}/ledgerlens/sales_csv_{key}"
     if not _exists(spark, path):
         df = holed_fact(spark, sf_dir)
         text = {"order_date": F.date_format("order_date", "MM/dd/yyyy"), "ship_date": F.date_format("ship_date", "MM/dd/yyyy"),
                 "discount_pct": F.concat(F.col("discount_pct").cast("string"), F.lit("%")),
+                "segment": messy("segment", "customer_id", F.concat, F.lit("\n"), F.lit('"'), F.lit(", ")),
                 "sales": F.when(F.col("sales").isNotNull(), format_currency(F.col("sales")))}
         out = df.select(*[(text.get(src, F.col(src).cast("string"))).alias(f"c{i}") for i, (_, src) in enumerate(HEADERS)])
         # header written as the first data line of each part? no: Spark writes the header per file
-        out.toDF(*[h for h, _ in HEADERS]).write.mode("overwrite").option("header", True).csv(path)
+        out.toDF(*[h for h, _ in HEADERS]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
+def _state(spark, sf_dir: str) -> tuple:
+    return id(spark.sparkContext), file_signature(spark, csv_path(spark, sf_dir))
+
+
 _DETECTED: dict = {}
 
 
 def detected(spark, sf_dir: str):
-    """Roles (and evidence rows) of the ingested CSV; driver-side metadata, memoised per file."""
-    path = csv_path(spark, sf_dir)
-    key = (id(spark.sparkContext), path)
+    """Roles of the ingested CSV and its evidence table; driver-side metadata, kept per state of the files."""
+    key = _state(spark, sf_dir)
     if key not in _DETECTED:
-        df = IN.load(spark, path)
-        ev = RD.column_evidence(df)
+        df = IN.load(spark, csv_path(spark, sf_dir))
+        ev = IN.written_once(spark, f"evidence|{key[1]}", lambda: RD.column_evidence(df))
         _DETECTED[key] = (*RD.detect(df, ev), ev)
     return _DETECTED[key]
 
 
-_LOADED: dict = {}
+def loaded(spark, sf_dir: str):
+    """A1-A5 with dates parsed for the detected date roles: typed once, written once."""
+    roles = detected(spark, sf_dir)[0]
 
+    def make():
+        df = IN.load(spark, csv_path(spark, sf_dir))
+        dates = [c for c in (roles.present(r, df.columns) for r in ("date", "ship_date")) if c]
+        return df.withColumns({c: ensure_datetime(df, c) for c in dates})
 
-def loaded(spark, sf_dir: str):
-    """A1-A5 then dates parsed for the detected date roles (plan and day-first votes memoised)."""
-    key = (id(spark.sparkContext), csv_path(spark, sf_dir))
-    if key not in _LOADED:
-        df = IN.load(spark, key[1])
-        roles = detected(spark, sf_dir)[0]
-        for r in ("date", "ship_date"):
-            c = roles.present(r, df.columns)
-            if c:
-                df = df.withColumn(c, ensure_datetime(df, c))
-        _LOADED[key] = (df, roles)
-    return _LOADED[key]
+    return IN.written_once(spark, f"dated|{_state(spark, sf_dir)[1]}", make), roles
 
 
 def _raw(spark, sf_dir):
@@ -83,7 +90,7 @@ _SRC = dict(HEADERS)
 _NUMERIC = {"order_id", "customer_id", "quantity", "unit_price", "discount_pct", "sales", "cost", "profit"}
 _DATES = {"order_date", "ship_date"}
 _H = f"""holed AS (SELECT * REPLACE ({', '.join(f"CASE WHEN {HOLES_SQL[c]} THEN NULL ELSE {c} END AS {c}" for c in HOLES_SQL)}) FROM fact0),
-hp AS (SELECT *, sales - cost AS profit FROM holed)"""
+hp AS (SELECT * REPLACE ({MESSY_SQL} AS segment), sales - cost AS profit FROM holed)"""
 
 
 def _csv_col(name, src):
@@ -115,25 +122,11 @@ add("numeric_coercion", lambda spark, d: IN.numeric_share_table(_raw(spark, d)),
      else f"SELECT '{n}' AS \"column\", 0.0 AS numeric_share, FALSE AS converted")
     for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + ")"))
 
-add("dedupe_columns", lambda spark, d: spark.createDataFrame(
-    [(i, raw, new) for i, (raw, new) in enumerate(zip(IN.header_names(spark, csv_path(spark, d)), DEDUPED))],
-    "position int, raw_name string, column_name string"), None)
-
-
-def _meta(fn):
-    def q(spark, sf_dir):
-        df, roles = loaded(spark, sf_dir)
-        return fn(df, roles)
-    return q
-
-
-add("detect_roles", lambda spark, d: spark.createDataFrame(detected(spark, d)[1], "role string, column string, confidence double, reason string"), None)
-add("column_types", lambda spark, d: RD.column_types(IN.load(spark, csv_path(spark, d)), detected(spark, d)[2]), None)
-add("dataset_grain", _meta(RD.dataset_grain), None)
-add("semantic_model", _meta(RD.semantic_model), None)
-add("available_pages", _meta(RD.available_pages), None)
-add("role_listing", _meta(RD.role_listing), None)
-add("limitations", _meta(RD.limitations), None)
+add("detect_roles", lambda spark, d: RD.role_table(IN.load(spark, csv_path(spark, d)), detected(spark, d)[2]), None)
+add("column_types", lambda spark, d: RD.column_types(IN.load(spark, csv_path(spark, d)), detected(spark, d)[2]), with_fact(_H + "\nSELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"column\", '{'double' if s in _NUMERIC else 'string'}' AS dtype, CASE WHEN COUNT(TRY_CAST(CAST({s} AS VARCHAR) AS DOUBLE)) > 0 THEN 'numeric' "
+    f"WHEN COUNT(TRY_CAST(CAST({s} AS VARCHAR) AS TIMESTAMP)) >= 0.7 * COUNT({s}) THEN 'date' ELSE 'text' END AS kind FROM hp"
+    for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + ")"))
 add("preview_rows", lambda spark, d: IN.preview_rows(loaded(spark, d)[0], DEDUPED, 5), with_fact(_H + "\nSELECT " + ", ".join(
     _csv_col(n, s) for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + " FROM hp ORDER BY " + ", ".join(
     (f"CAST({s} AS DOUBLE)" if s in _NUMERIC else (f"CAST({s} AS DATE)" if s in _DATES else s)) + " NULLS FIRST"

@@ -59,13 +59,18 @@ _OC = "oc AS (" + " UNION ALL ".join(
     for c in NUMERIC) + ")"
 _DT = "dt AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{DTYPES.get(c, 'string')}')" for c in COLS) + ") t(\"column\", dtype))"
 
-add("column_profile", _h(Q.column_profile), with_fact(HOLED + ",\n" + _STATS + ",\n" + _IQR + ",\n" + _OC + ",\n" + _DT + """
+_SV = "sv AS (SELECT \"column\", string_agg(v, ' | ' ORDER BY v) AS sample_values FROM (" + " UNION ALL ".join(
+    f"SELECT * FROM (SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM holed WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)"
+    for c in COLS) + ") GROUP BY 1)"
+
+add("column_profile", _h(Q.column_profile), with_fact(HOLED + ",\n" + _STATS + ",\n" + _IQR + ",\n" + _OC + ",\n" + _DT + ",\n" + _SV + """
 SELECT cs."column", dtype, missing_count, ROUND(missing_count / rows * 100, 4) AS missing_percent, unique_count,
        ROUND(unique_count / rows * 100, 4) AS unique_percent, outlier_count,
        concat_ws('; ', CASE WHEN missing_count > 0 THEN 'missing values' END,
                  CASE WHEN unique_count <= 1 THEN 'constant or near-empty column' END,
-                 CASE WHEN outlier_count > 0 THEN CAST(outlier_count AS VARCHAR) || ' IQR outliers' END) AS detected_issues
-FROM cs JOIN dt USING ("column") LEFT JOIN oc USING ("column") ORDER BY "column" """))
+                 CASE WHEN outlier_count > 0 THEN CAST(outlier_count AS VARCHAR) || ' IQR outliers' END) AS detected_issues,
+       COALESCE(sample_values, '') AS sample_values
+FROM cs LEFT JOIN sv USING ("column") JOIN dt USING ("column") LEFT JOIN oc USING ("column") ORDER BY "column" """))
 
 _NC = [("sales", "sales"), ("profit", "profit"), ("quantity", "quantity"), ("discount", "discount_pct"), ("cost", "cost")]
 add("numeric_checks", _hr(Q.numeric_checks), with_fact(HOLED + ",\n" + _IQR + ",\n" + _OC + ",\nnc AS (" + " UNION ALL ".join(
@@ -75,10 +80,28 @@ add("numeric_checks", _hr(Q.numeric_checks), with_fact(HOLED + ",\n" + _IQR + ",
 SELECT "column", metric, negative_count, zero_count, ROUND(min, 4) AS min, ROUND(max, 4) AS max, ROUND(mean, 4) AS mean,
        ROUND(median, 4) AS median, outlier_count FROM nc LEFT JOIN oc USING ("column") ORDER BY metric"""))
 
-add("date_checks", _hr(Q.date_checks), with_fact(HOLED + """
-SELECT CAST(0 AS BIGINT) AS invalid_dates, strftime(MIN(order_date), '%Y-%m-%d') AS min_date, strftime(MAX(order_date), '%Y-%m-%d') AS max_date,
-       CASE WHEN COUNT(order_date) >= 2 THEN CAST(date_diff('day', MIN(order_date), MAX(order_date)) AS INTEGER) END AS date_range_days
-FROM holed"""))
+BAD_DATE = "(order_id + line_no) % 37 = 2"
+
+
+def _dirty(fn):
+    """The operator over a frame whose order date is text, some of it no date."""
+    def q(spark, d):
+        df = holed_fact(spark, d)
+        text = F.when(F.col("order_date").isNull(), None).when(F.expr(BAD_DATE), "soon").otherwise(F.date_format("order_date", "yyyy-MM-dd"))
+        return fn(df.withColumn("order_date", text), ROLES)
+    return q
+
+
+def _dates_sql(bad: str) -> str:
+    return f"""dc AS (SELECT *, CASE WHEN {bad} THEN 'soon' ELSE strftime(order_date, '%Y-%m-%d') END AS seen FROM holed),
+dd AS (SELECT CAST(COUNT(*) FILTER (WHERE seen IS NOT NULL AND order_date IS NOT NULL AND TRY_CAST(seen AS DATE) IS NULL) AS BIGINT) AS invalid_dates,
+              MIN(TRY_CAST(seen AS DATE)) AS lo, MAX(TRY_CAST(seen AS DATE)) AS hi, COUNT(TRY_CAST(seen AS DATE)) AS n FROM dc)"""
+
+
+for _name, _run, _bad in (("date_checks", _hr(Q.date_checks), "FALSE"), ("date_checks_dirty", _dirty(Q.date_checks), f"order_date IS NOT NULL AND {BAD_DATE}")):
+    add(_name, _run, with_fact(HOLED + ",\n" + _dates_sql(_bad) + """
+SELECT invalid_dates, strftime(lo, '%Y-%m-%d') AS min_date, strftime(hi, '%Y-%m-%d') AS max_date,
+       CASE WHEN n >= 2 THEN CAST(date_diff('day', lo, hi) AS INTEGER) END AS date_range_days FROM dd"""))
 
 _DUP = f"dup AS (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows_count FROM (SELECT COUNT(*) AS n FROM holed GROUP BY {', '.join(COLS)}))"
 _BASIC = HOLED + ",\n" + _STATS + ",\n" + _DUP + f""",
@@ -107,18 +130,21 @@ _SIG = ",\nsg AS (" + " UNION ALL ".join(
     for m, c in _NC) + ")"   # the fact has a return_flag column: return context, so negative sales/quantity are signals
 add("dq_signals", _hr(Q.dq_signals), with_fact(HOLED + _SIG + "\nSELECT * FROM sg WHERE negative_count > 0 ORDER BY metric"))
 
-add("dq_score", _hr(Q.dq_score), with_fact(_BASIC + ",\n" + _IQR + ",\n" + _OC + _SIG + f""",
+for _name, _run, _bad in (("dq_score", _hr(Q.dq_score), "FALSE"), ("dq_score_dirty", _dirty(Q.dq_score), f"order_date IS NOT NULL AND {BAD_DATE}")):
+    add(_name, _run, with_fact(_BASIC + ",\n" + _dates_sql(_bad) + ",\n" + _IQR + ",\n" + _OC + _SIG + f""",
 b2 AS (SELECT *, duplicate_rows_count / GREATEST(row_count, 1) * 100 AS dup_pct,
               missing_cells_total / GREATEST(row_count * column_count, 1) * 100 AS miss_pct FROM bs),
 tech AS (SELECT COALESCE(SUM(outlier_count), 0) AS t FROM oc WHERE "column" NOT IN ({', '.join(f"'{c}'" for c in _BUSINESS)})),
 neg AS (SELECT COALESCE(SUM(negative_count), 0) AS n FROM sg WHERE kind = 'warning'),
-sc AS (SELECT b2.*, t, n, 100.0 - LEAST(35.0, miss_pct * 1.5) - LEAST(20.0, dup_pct * 2.0) - LEAST(15.0, n_empty * 5.0)
+sc AS (SELECT b2.*, t, neg.n, invalid_dates, 100.0 - LEAST(35.0, miss_pct * 1.5) - LEAST(20.0, dup_pct * 2.0) - LEAST(15.0, n_empty * 5.0)
               - LEAST(10.0, n_constant * 1.5) - LEAST(8.0, t / GREATEST(row_count, 1) * 100 * 0.4)
-              - LEAST(10.0, n / GREATEST(row_count, 1) * 100 * 1.0) AS s FROM b2, tech, neg)
+              - LEAST(10.0, neg.n / GREATEST(row_count, 1) * 100 * 1.0)
+              - LEAST(15.0, invalid_dates / GREATEST(row_count, 1) * 100) AS s FROM b2, tech, neg, dd)
 SELECT LEAST(GREATEST(round_even(s, 2), 0.0), 100.0) AS quality_score, ROUND(miss_pct, 4) AS missing_penalty_basis_percent,
        ROUND(dup_pct, 4) AS duplicate_penalty_basis_percent,
        ROUND(t / GREATEST(row_count, 1) * 100, 4) AS technical_outlier_penalty_basis_percent,
-       ROUND(n / GREATEST(row_count, 1) * 100, 4) AS suspicious_negative_penalty_basis_percent FROM sc"""))
+       ROUND(n / GREATEST(row_count, 1) * 100, 4) AS suspicious_negative_penalty_basis_percent,
+       ROUND(invalid_dates / GREATEST(row_count, 1) * 100, 4) AS invalid_date_penalty_basis_percent FROM sc"""))
 
 add("numeric_summary", _h(Q.numeric_summary), with_fact(HOLED + ",\n" + _IQR + ",\n" + _OC + ",\nns AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", MIN(CAST({c} AS DOUBLE)) AS min, MAX(CAST({c} AS DOUBLE)) AS max, AVG(CAST({c} AS DOUBLE)) AS mean, "
@@ -139,8 +165,13 @@ add("top_values", lambda spark, d: Q.top_values(prepared_fact(spark, d)[0], "pro
 SELECT CAST(product AS VARCHAR) AS value, COUNT(*) AS count FROM sf WHERE product IS NOT NULL GROUP BY 1
 ORDER BY count DESC, value LIMIT 60"""))
 
-add("return_context", lambda spark, d: Q.has_return_context(prepared_fact(spark, d)[0]),
-    "SELECT TRUE AS has_return_context")
+# without the return_flag column only the values can tell; both outcomes of the same search
+_TEXT = ("ship_mode", "customer", "segment", "region", "state", "category", "subcategory", "product")
+add("return_context", lambda spark, d: Q.has_return_context(prepared_fact(spark, d)[0].drop("return_flag")),
+    with_fact("SELECT COALESCE(BOOL_OR(" + " OR ".join(f"regexp_matches(lower({c}), 'return|refund|credit|cancel|rma')" for c in _TEXT) + "), FALSE) AS has_return_context FROM sf"))
+add("return_context_in_values", lambda spark, d: Q.has_return_context(prepared_fact(spark, d)[0].drop("return_flag").withColumn(
+    "note", F.when(F.col("profit") < -1000, F.concat(F.lit("Refund to "), "customer")))),
+    with_fact("SELECT COALESCE(BOOL_OR(regexp_matches(lower('refund to ' || customer), 'refund')) FILTER (WHERE profit < -1000), FALSE) AS has_return_context FROM sf"))
 
 # ------------------------------------------------------------------ cleaning
 _RAW_ROLES = SALES_FACT_ROLES.with_roles(profit=None)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.roles import SALES_FACT_ROLES, Roles
-from ledgerlens.session import shared_dir
+from ledgerlens.session import file_signature, shared_dir
 
 _VERSION = "v4"
 
@@ -91,16 +91,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 _MEMO: dict = {}
+SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
+
+def _fact_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the fact of this state of the source files is kept."""
+    state = "|".join(file_signature(spark, f"{sf_dir}/{t}.parquet") for t in SOURCES)
+    key = hashlib.sha1(f"{state}|{_VERSION}".encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/ledgerlens/sales_fact_{key}"
 
 
 def prepared_fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Roles]:
     """The prepared sales fact (materialised once per input folder) and its roles."""
     from ledgerlens.operators.clean import prepare_sales
 
-    sf_dir = os.path.abspath(sf_dir)
-    base = shared_dir(spark)
-    key = hashlib.sha1(f"{sf_dir}|{_VERSION}".encode()).hexdigest()[:16]
-    path = f"{base}/ledgerlens/sales_fact_{key}"
+    path = _fact_path(spark, sf_dir)
     memo_key = (id(spark.sparkContext), path)
     if memo_key in _MEMO:
         return _MEMO[memo_key]
@@ -114,9 +119,7 @@ def prepared_fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Roles]:
 def raw_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The materialised star join before preparation."""
     prepared_fact(spark, sf_dir)
-    base = shared_dir(spark)
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{_VERSION}".encode()).hexdigest()[:16]
-    return spark.read.parquet(f"{base}/ledgerlens/sales_fact_{key}")
+    return spark.read.parquet(_fact_path(spark, sf_dir))
 
 
 # NULLs injected by fixed expressions (the provided tables have none), used to
