@@ -24,8 +24,8 @@ from ledgerlens.llm.common import slices, text_of
 from ledgerlens.llm.scan import BREAK, BREAK_CHAR, LETTER, NUMBER, OTHER, SPACE, codepoint_classes, codepoints, states_after
 
 #: Characters of text in a batch, and pieces in each of the two generations of a worker's cache.
-BATCH = 1 << 20
-CACHE = 250_000
+BATCH = 1 << 19
+CACHE = 120_000
 
 # Symbols of the automaton: the five classes, and what contractions are made of.
 _BLANK, _APOSTROPHE, _ONE, _L, _V, _R, _E = range(5, 12)

@@ -91,9 +91,11 @@ def keep_rows(docs: DataFrame, keys: dict[str, Column], keepers: DataFrame, ties
 def slices(batches: Iterator, column: str, most: int = 1 << 22) -> Iterator:
     """Cut Arrow record batches so that each slice holds about ``most`` characters of ``column`` (or one row)."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # what the batch before has left with the allocator
         n = batch.num_rows
         if not n:
             continue

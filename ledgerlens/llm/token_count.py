@@ -36,7 +36,7 @@ from ledgerlens.llm.scan import BREAK, BREAK_CHAR, LETTER, NUMBER, OTHER, SPACE,
 
 CHUNK = 1 << 16
 BATCH = 1 << 20
-CACHE = 400_000
+CACHE = 250_000
 LIMIT = 2048
 #: Stands for a special token inside a text; no valid text holds it.
 SPECIAL_CHAR = "\ud801"
