@@ -10,6 +10,7 @@ from ledgerlens.operators.grouped import performance
 from ledgerlens.operators.windows import percent_rank_average
 from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.roles import Roles
+from ledgerlens.session import materialise
 
 # --- fixed values --------------------------------------------------------
 PORTFOLIO_CLASSES = ("Problem Products", "Stars", "Volume Drivers", "Niche Winners", "Discount-Damaged Products",
@@ -97,8 +98,9 @@ def double_down_products(df: DataFrame, roles: Roles) -> DataFrame:
         msum(F.coalesce(F.col(s), F.lit(0.0))).alias("sales"), msum(F.coalesce(F.col(p), F.lit(0.0))).alias("profit"),
         F.count(F.lit(1)).alias("order_count"))
     g = g.withColumn("profit_margin_percent", profit_margin("profit", "sales")).where((F.col("profit") > 0) & (F.col("sales") > 0))
+    base = g = materialise(g, "profitable-products")   # aggregated once; the three ranks read it
     for c in ("sales", "profit", "profit_margin_percent"):
-        g = percent_rank_average(g, c, f"_r_{c}")
+        g = g.join(percent_rank_average(base, c, f"_r_{c}").select("dimension_value", f"_r_{c}"), "dimension_value")
     ws, wp, wm = DOUBLE_DOWN_WEIGHTS
     g = g.withColumn("score", F.col("_r_sales") * ws + F.col("_r_profit") * wp + F.col("_r_profit_margin_percent") * wm) \
          .drop("_r_sales", "_r_profit", "_r_profit_margin_percent")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.scalars import bi_discount_band, cents, date_key, msum, profit_margin, safe_text
 from ledgerlens.operators.windows import row_number_global
 from ledgerlens.roles import Roles
-from ledgerlens.session import shared_dir
+from ledgerlens.session import materialise
 
 # --- fixed values --------------------------------------------------------
 VALUE_SEGMENTS = ((0.50, "Core"), (0.80, "High Value"), (1.00, "Strategic"))
@@ -40,43 +40,48 @@ def _key_roles(df: DataFrame, roles: Roles) -> dict[str, list]:
 _PREFIX = {"customer": "CUST", "product": "PROD", "geography": "GEO", "segment": "SEG"}
 
 
-def with_keys(df: DataFrame, roles: Roles, names: tuple[str, ...] = tuple(_PREFIX)) -> DataFrame:
-    """Add the four surrogate keys to every row.
+def _raw_keys(df: DataFrame, roles: Roles) -> dict[str, F.Column]:
+    return {n: _raw_key(df, cols) for n, cols in _key_roles(df, roles).items() if [c for c in cols if c]}
+
+
+def key_table(df: DataFrame, roles: Roles) -> DataFrame:
+    """(_kn, _raw, _code): the codes of all surrogate keys, built once and written to the shared folder.
 
     All four key tables are coded in ONE pass: the distinct (key name, raw key)
     pairs are numbered in the total order (key name, raw key), and each key
     name's starting position (a four-row table) is subtracted."""
-    specs = {name: _raw_key(df, cols) for name, cols in _key_roles(df, roles).items() if [c for c in cols if c] and name in names}
-    out = df.select("*", *[raw.alias(f"_raw_{name}") for name, raw in specs.items()])
-    for name in names:
-        if name not in specs:
-            out = out.withColumn(f"{name}_key", F.lit(f"{_PREFIX[name]}-Unknown"))
-    if not specs:
-        return out
-    pairs = out.select(F.explode(F.array(*[F.struct(F.lit(n).alias("_kn"), F.col(f"_raw_{n}").alias("_raw")) for n in specs])).alias("_p")) \
-               .select("_p.*").where(F.col("_raw").isNotNull()).distinct()
+    specs = _raw_keys(df, roles)
+    cells = [F.struct(F.lit(n).alias("_kn"), raw.alias("_raw")) for n, raw in specs.items()]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "_kn string, _raw string, _code long")
+    pairs = df.select(F.explode(F.array(*cells)).alias("_p")).select("_p.*").where(F.col("_raw").isNotNull()).distinct()
     ranked = row_number_global(pairs, [F.col("_kn").asc(), F.col("_raw").asc()], "_pos")
     starts = ranked.groupBy("_kn").agg(F.min("_pos").alias("_start"))
-    shared_dir(df.sparkSession)
-    # reliable checkpoint: the code table is read by four joins, so compute it once and cut its lineage
-    coded = ranked.join(F.broadcast(starts), "_kn").select(
-        "_kn", "_raw", (F.col("_pos") - F.col("_start")).alias("_code")).checkpoint(eager=True)
+    return materialise(ranked.join(F.broadcast(starts), "_kn").select("_kn", "_raw", (F.col("_pos") - F.col("_start")).alias("_code")), "star-keys")
+
+
+def with_keys(df: DataFrame, roles: Roles, names: tuple[str, ...] = tuple(_PREFIX), keys: DataFrame | None = None) -> DataFrame:
+    """Add surrogate keys to every row; ``keys`` is the table of the whole fact (built here when not given)."""
+    specs = {n: raw for n, raw in _raw_keys(df, roles).items() if n in names}
+    keys = key_table(df, roles) if keys is None and specs else keys
+    out = df.select("*", *[raw.alias(f"_raw_{name}") for name, raw in specs.items()],
+                    *[F.lit(f"{_PREFIX[n]}-Unknown").alias(f"{n}_key") for n in names if n not in specs])
     for name in specs:
-        c = coded.where(F.col("_kn") == name).select(F.col("_raw").alias(f"_raw_{name}"), F.col("_code").alias(f"_code_{name}"))
+        c = keys.where(F.col("_kn") == name).select(F.col("_raw").alias(f"_raw_{name}"), F.col("_code").alias(f"_code_{name}"))
         out = out.join(c, f"_raw_{name}", "left") \
                  .withColumn(f"{name}_key", F.concat(F.lit(_PREFIX[name] + "-"), F.col(f"_code_{name}").cast("string"))) \
                  .drop(f"_raw_{name}", f"_code_{name}")
     return out
 
 
-def fact_sales(df: DataFrame, roles: Roles, row_id: bool = True) -> DataFrame:
+def fact_sales(df: DataFrame, roles: Roles, row_id: bool = True, keys: DataFrame | None = None) -> DataFrame:
     """K1: one row per input row with keys, measures, margin, loss flag/amount and band.
     ``row_id`` (a total order over all columns) is only computed when asked for."""
     g = lambda r: roles.present(r, df.columns)
     num = lambda r: F.col(g(r)).cast("double") if g(r) else F.lit(0.0)
     order = [F.col(c).asc_nulls_first() for c in df.columns]
     base = row_number_global(df, order, "row_id") if row_id else df.withColumn("row_id", F.lit(None).cast("long"))
-    k = with_keys(base, roles)
+    k = with_keys(base, roles, keys=key_table(df, roles) if keys is None else keys)
     s, p = num("sales"), num("profit")
     cost = num("cost") if g("cost") else s - p
     return k.select(
@@ -91,38 +96,40 @@ def fact_sales(df: DataFrame, roles: Roles, row_id: bool = True) -> DataFrame:
         F.when(p < 0, p).otherwise(F.lit(0.0)).alias("loss_amount"))
 
 
-def _dimension(df: DataFrame, roles: Roles, name: str, attrs: list[tuple[str, str]]) -> DataFrame:
-    k = with_keys(df, roles, (name,)).select(f"{name}_key", *[safe_text(F.col(c)).alias(a) for c, a in attrs if c])
-    return k.distinct().orderBy(f"{name}_key")
+def _dimension(df: DataFrame, roles: Roles, name: str, attrs: list[tuple[str, str]], keys: DataFrame | None = None) -> DataFrame:
+    """Distinct attributes first, then their keys: the fact is not joined."""
+    own = list(dict.fromkeys(c for c in [*_key_roles(df, roles)[name], *(c for c, _ in attrs)] if c))
+    k = with_keys(df.select(*own).distinct(), roles, (name,), keys)
+    return k.select(f"{name}_key", *[safe_text(F.col(c)).alias(a) for c, a in attrs if c]).distinct().orderBy(f"{name}_key")
 
 
-def dim_product(df: DataFrame, roles: Roles) -> DataFrame:
+def dim_product(df: DataFrame, roles: Roles, keys: DataFrame | None = None) -> DataFrame:
     g = lambda r: roles.present(r, df.columns)
-    return _dimension(df, roles, "product", [(g("product"), "product_name"), (g("category"), "category"),
-                                              (g("subcategory"), "subcategory")])
+    return _dimension(df, roles, "product", [(g("product"), "product_name"), (g("category"), "category"), (g("subcategory"), "subcategory")], keys)
 
 
-def dim_geography(df: DataFrame, roles: Roles) -> DataFrame:
+def dim_geography(df: DataFrame, roles: Roles, keys: DataFrame | None = None) -> DataFrame:
     g = lambda r: roles.present(r, df.columns)
-    return _dimension(df, roles, "geography", [(g("country"), "country"), (g("state"), "state"), (g("city"), "city"),
-                                                (g("region"), "region")])
+    return _dimension(df, roles, "geography", [(g(r), r) for r in ("country", "state", "city", "region")], keys)
 
 
-def dim_segment(df: DataFrame, roles: Roles) -> DataFrame:
+def dim_segment(df: DataFrame, roles: Roles, keys: DataFrame | None = None) -> DataFrame:
     seg = roles.present("segment", df.columns)
     if not seg:
-        return with_keys(df, roles, ("segment",)).select("segment_key", F.lit("All Segments").alias("segment")).distinct()
-    return _dimension(df, roles, "segment", [(seg, "segment")])
-
-
-def dim_customer(df: DataFrame, roles: Roles) -> DataFrame:
-    """K2: customers with totals and the value segment (percent rank, first ties)."""
-    cust = roles.present("customer", df.columns) or roles.present("customer_id", df.columns)
-    fact = fact_sales(df, roles, row_id=False)
-    dim = _dimension(df, roles, "customer", [(cust, "customer")])
-    m = fact.groupBy("customer_key").agg(msum("sales").alias("total_sales"), msum("profit").alias("total_profit"),
-                                         F.count_distinct("order_key").alias("order_count"))
-    d = dim.join(m, "customer_key", "left")
+        return df.select(F.lit("SEG-Unknown").alias("segment_key"), F.lit("All Segments").alias("segment")).distinct()
+    return _dimension(df, roles, "segment", [(seg, "segment")], keys)
+
+
+def dim_customer(df: DataFrame, roles: Roles, keys: DataFrame | None = None) -> DataFrame:
+    """K2: customers with totals and the value segment (percent rank, first ties).  Totals are taken by customer, so
+    the fact gets no keys."""
+    g = lambda r: roles.present(r, df.columns)
+    cust = g("customer") or g("customer_id")
+    num = lambda r: F.col(g(r)).cast("double") if g(r) else F.lit(0.0)
+    order = safe_text(F.col(g("order_id"))) if g("order_id") else F.lit(None).cast("string")
+    m = df.groupBy(cust).agg(msum(num("sales")).alias("total_sales"), msum(num("profit")).alias("total_profit"),
+                             (F.count_distinct(order) if g("order_id") else F.count(F.lit(1))).alias("order_count"))
+    d = with_keys(m, roles, ("customer",), keys).select("customer_key", safe_text(F.col(cust)).alias("customer"), "total_sales", "total_profit", "order_count")
     n = d.agg(F.count(F.lit(1)).alias("_n"))
     ranked = row_number_global(d, [F.col("total_sales").asc_nulls_first(), F.col("customer_key").asc()], "_rn")
     pct = F.col("_rn") / F.col("_n")
@@ -148,8 +155,9 @@ def dim_date(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def star_schema(df: DataFrame, roles: Roles) -> dict[str, DataFrame]:
-    return {"fact_sales": fact_sales(df, roles), "dim_date": dim_date(df, roles), "dim_customer": dim_customer(df, roles),
-            "dim_product": dim_product(df, roles), "dim_geography": dim_geography(df, roles), "dim_segment": dim_segment(df, roles)}
+    keys = key_table(df, roles)
+    return {"fact_sales": fact_sales(df, roles, keys=keys), "dim_date": dim_date(df, roles), "dim_customer": dim_customer(df, roles, keys),
+            "dim_product": dim_product(df, roles, keys), "dim_geography": dim_geography(df, roles, keys), "dim_segment": dim_segment(df, roles, keys)}
 
 
 def star_summary(df: DataFrame, roles: Roles) -> DataFrame:
@@ -169,13 +177,14 @@ def measures(df: DataFrame, roles: Roles, by: str) -> DataFrame:
 
     ``by`` is ``category``/``subcategory``/``product_name`` (DimProduct), ``region``/``state``
     (DimGeography), ``segment`` (DimSegment) or ``year_month`` (DimDate, adds month-on-month)."""
-    fact = fact_sales(df, roles, row_id=False)
+    keys = key_table(df, roles)
+    fact = fact_sales(df, roles, row_id=False, keys=keys)
     if by in ("category", "subcategory", "product_name"):
-        j = fact.join(dim_product(df, roles), "product_key", "left")
+        j = fact.join(dim_product(df, roles, keys), "product_key", "left")
     elif by in ("region", "state", "country", "city"):
-        j = fact.join(dim_geography(df, roles), "geography_key", "left")
+        j = fact.join(dim_geography(df, roles, keys), "geography_key", "left")
     elif by == "segment":
-        j = fact.join(dim_segment(df, roles), "segment_key", "left")
+        j = fact.join(dim_segment(df, roles, keys), "segment_key", "left")
     elif by == "year_month":
         j = fact.join(dim_date(df, roles).select(F.col("date_key").alias("order_date_key"), "year_month"), "order_date_key", "left")
     else:

@@ -18,5 +18,6 @@ def test_filedrop_applies_operator(spark, tmp_path):
                          str(tmp_path / "out"), str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
+    assert "batch_id" in out.columns
     tot = out.agg(F.sum("sales"), F.sum("profit")).first()
     assert tot[0] == 170 and tot[1] == 7
