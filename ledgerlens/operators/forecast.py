@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import cents
+from ledgerlens.functions.scalars import cents, period_key
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -32,14 +32,24 @@ METHOD = "ensemble: moving average + exponential smoothing + trend + seasonal na
 def history(df: DataFrame, roles: Roles, frequency: str = "M") -> DataFrame:
     """Per-period sales/profit with a 0-based index (dated rows; money snapped to cents)."""
     d, s, p = (roles.present(r, df.columns) for r in ("date", "sales", "profit"))
-    if frequency.upper()[0] != "M":
-        raise ValueError("monthly history only")
-    g = df.where(F.col(d).isNotNull()).groupBy(F.date_format(F.col(d), "yyyy-MM").alias("period")).agg(
+    g = df.where(F.col(d).isNotNull()).groupBy(period_key(F.col(d), frequency).alias("period")).agg(
         cents(F.sum(F.coalesce(F.col(s), F.lit(0.0)))).alias("sales"),
         cents(F.sum(F.coalesce(F.col(p), F.lit(0.0)))).alias("profit"))
     return g.withColumn("idx", F.row_number().over(Window.orderBy("period")) - 1)
 
 
+def _after(period, step, frequency: str):
+    """The key of the period ``step`` periods later."""
+    f = frequency.upper()[0]
+    if f == "M":
+        return F.date_format(F.add_months(F.to_date(F.concat(period, F.lit("-01"))), step), "yyyy-MM")
+    year = F.substring(period, 1, 4).cast("int")
+    if f == "Q":
+        at = year * 4 + F.substring(period, 6, 1).cast("int") - 1 + step
+        return F.concat(F.floor(at / 4).cast("string"), F.lit("Q"), (at % 4 + 1).cast("string"))
+    return (year + step).cast("string")
+
+
 def _series_stats(h: DataFrame, m: str) -> DataFrame:
     """One row: n, last, ma3, ewm, slope, intercept, mae, mape for metric ``m``."""
     n = h.agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last_idx"), F.max("period").alias("last_period"))
@@ -87,12 +97,12 @@ def variability(h: DataFrame) -> DataFrame:
 
 
 def forecast(df: DataFrame, roles: Roles, periods: int = 3, frequency: str = "M") -> DataFrame:
-    """Next ``periods`` months with bands and a confidence label (empty below 3 periods)."""
+    """Next ``periods`` months, quarters or years with bands and a confidence label (empty below 3 periods)."""
     h = history(df, roles, frequency)
     ps, pp = _predict(h, "sales", periods), _predict(h, "profit", periods).select("step", "predicted_profit",
                                                                                  "profit_mae", "profit_mape_percent")
     t = ps.join(pp, "step").crossJoin(F.broadcast(variability(h))).where(F.col("n") >= MIN_PERIODS)
-    nxt = F.date_format(F.add_months(F.to_date(F.concat(F.col("last_period"), F.lit("-01"))), F.col("step")), "yyyy-MM")
+    nxt = _after(F.col("last_period"), F.col("step"), frequency)
     v = F.col("variability")
     s, p = F.col("predicted_sales"), F.col("predicted_profit")
     conf = (F.when(F.col("sales_mape_percent").isNull(), "Medium").when(F.col("sales_mape_percent") <= 15, "High")

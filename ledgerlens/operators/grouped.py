@@ -17,6 +17,10 @@ from ledgerlens.functions.scalars import discount_band, month_key, msum, profit_
 from ledgerlens.roles import Roles
 
 
+# fixed values: what stands in for a dimension that the data lacks, first match wins
+STAND_INS = {"product": ("subcategory", "category"), "region": ("state", "city", "country")}
+
+
 def _c(df: DataFrame, roles: Roles, role: str) -> Column | None:
     c = roles.present(role, df.columns)
     return F.col(c) if c else None
@@ -38,6 +42,8 @@ def with_synthetic(df: DataFrame, roles: Roles, dim: str) -> tuple[DataFrame, st
         # 2.13 #10: rows without a valid date are dropped from period grouping
         return df.filter(dt.isNotNull()).withColumn(dim, key), dim
     col = roles.present(dim, df.columns) or (dim if dim in df.columns else None)
+    if col is None:   # G2: a coarser dimension stands in
+        col = next((c for r in STAND_INS.get(dim, ()) if (c := roles.present(r, df.columns))), None)
     if col is None:
         raise ValueError(f"dimension {dim!r} not available")
     return df, col

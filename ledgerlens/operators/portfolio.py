@@ -62,9 +62,19 @@ def high_sales_low_margin_regions(df: DataFrame, roles: Roles, dim: str = "regio
 
 
 def bi_group(df: DataFrame, roles: Roles, dim: str) -> DataFrame:
-    """E5: BI grouped table (ordered by profit ascending)."""
-    g = performance(df, roles, dim, sort=False)
-    return g.orderBy("profit", "dimension_value")
+    """E5: the BI shape: totals, distinct orders (rows without an order id), row-level loss amount, margin and shares
+    of the whole table, worst profit first."""
+    g = lambda r: roles.present(r, df.columns)
+    s, p, q, d = (F.coalesce(F.col(g(r)), F.lit(0.0)) if g(r) else F.lit(0.0) for r in ("sales", "profit", "quantity", "discount"))
+    orders = F.count_distinct(F.col(g("order_id")).cast("string")) if g("order_id") else F.count(F.lit(1))
+    t = df.groupBy(F.col(g(dim)).cast("string").alias("dimension_value")).agg(
+        msum(s).alias("sales"), msum(p).alias("profit"), F.sum(q).alias("quantity"), orders.alias("orders"),
+        F.avg(F.col(g("discount")) if g("discount") else d).alias("average_discount"), msum(F.when(p < 0, p).otherwise(0.0)).alias("loss_amount"))
+    tot = t.agg(msum("sales").alias("_s"), msum("profit").alias("_p"), msum("loss_amount").alias("_l"))
+    part = lambda x, whole: F.when(F.col(whole) != 0, F.col(x) / F.col(whole) * 100).otherwise(F.lit(0.0))
+    return (t.crossJoin(F.broadcast(tot)).withColumn("margin_percent", profit_margin("profit", "sales"))
+            .withColumn("sales_contribution_percent", part("sales", "_s")).withColumn("profit_contribution_percent", part("profit", "_p"))
+            .withColumn("loss_contribution_percent", part("loss_amount", "_l")).drop("_s", "_p", "_l").orderBy("profit", "dimension_value"))
 
 
 def bi_stars(df: DataFrame, roles: Roles) -> DataFrame:

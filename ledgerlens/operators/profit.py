@@ -8,6 +8,8 @@ limit before the shuffle, so only k rows per dimension per task move.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,10 @@ def loss_combinations(df: DataFrame, roles: Roles, top: int = 10) -> DataFrame:
     return g.select("combination_type", *dims, "loss", "orders").orderBy("loss", "combination_type", *dims)
 
 
+RELATED_DIMS = ("category", "subcategory", "product", "region", "segment", "customer")
+WEAK_DIMS = ("category", "subcategory", "product", "region")
+
+
 def low_margin(df: DataFrame, roles: Roles, dim: str) -> DataFrame:
     """Grouped table ordered by margin ascending."""
     return performance(df, roles, dim, sort=False).orderBy("profit_margin_percent", "dimension_value")
@@ -251,6 +257,31 @@ def worst_groups(df: DataFrame, roles: Roles, dims=("category", "subcategory", "
     return t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn").orderBy("dimension")
 
 
+def relationship_summary(df: DataFrame, roles: Roles, n: int = 8) -> DataFrame:
+    """The report's first ``n`` findings: the discount band with the largest loss, the worst group of each dimension,
+    and the strongest high-sales group of weak margin in the first dimension that has one."""
+    cols = ["dimension", "dimension_value", "profit", "profit_margin_percent"]
+    bands = profit_by_discount_band(df, roles).where(F.col("profit") < 0).orderBy("profit", "band_order").limit(1) \
+        .withColumn("_m", profit_margin("profit", "sales"))
+    parts = [bands.select(F.lit(0).alias("_at"), F.lit("discount_band").alias("dimension"), F.col("discount_band").alias("dimension_value"), "profit",
+                          F.col("_m").alias("profit_margin_percent"), F.lit("largest loss by discount").alias("finding"))]
+    dims = _avail(df, roles, RELATED_DIMS)
+    at = F.lit(99)
+    for i, d in enumerate(dims):
+        at = F.when(F.col("dimension") == d, F.lit(1 + i)).otherwise(at)
+    parts.append(worst_groups(df, roles, tuple(dims)).select(at.alias("_at"), *cols, F.lit("worst group").alias("finding")))
+    for i, d in enumerate(_avail(df, roles, WEAK_DIMS)):
+        top = high_sales_low_profit(df, roles, d).limit(1)
+        parts.append(top.select(F.lit(10 + i).alias("_at"), F.lit(d).alias("dimension"), F.col("dimension_value").cast("string").alias("dimension_value"),
+                                "profit", "profit_margin_percent", F.lit("high sales, weak margin").alias("finding")))
+    u = reduce(DataFrame.unionByName, parts)
+    # only the first dimension with a high-sales weak-margin group counts
+    first = u.where(F.col("_at") >= 10).agg(F.min("_at").alias("_first"))
+    kept = u.crossJoin(F.broadcast(first)).where((F.col("_at") < 10) | (F.col("_at") == F.col("_first"))).drop("_first")
+    w = Window.orderBy("_at")   # at most a dozen rows
+    return kept.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("_at").orderBy("position")
+
+
 def loss_concentration(df: DataFrame, roles: Roles) -> DataFrame:
     """Product table ordered by loss contribution (largest first)."""
     dim = "product" if roles.present("product", df.columns) else ("subcategory" if roles.present("subcategory", df.columns) else "category")

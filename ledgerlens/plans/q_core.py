@@ -219,6 +219,14 @@ def _drill(spark, sf_dir):
 add("drilldown", _drill, with_fact(perf_sql("subcategory") + f"""
 SELECT {PERF_SELECT} FROM perf ORDER BY loss_contribution_percent DESC, dimension_value, sales, profit LIMIT 15"""))
 
+def _stand_in(spark, sf_dir):
+    """No product column, so the sub-category stands in."""
+    df, roles = prepared_fact(spark, sf_dir)
+    return grouped.performance(df.drop("product"), roles.with_roles(product=None), "product").select(*grouped.PERF_COLUMNS)
+
+
+add("perf_by_product_stand_in", _stand_in, with_fact(perf_sql("subcategory") + f"\nSELECT {PERF_SELECT} FROM perf"))
+
 # ---------------------------------------------------------------- C filters
 _ENT = [("region", "asia"), ("segment", "Building")]
 add("entity_filter", lambda spark, d: C.entity_filter(prepared_fact(spark, d)[0], _ENT),

@@ -48,7 +48,7 @@ def _pred(m):
     return f"GREATEST(0.0, 0.35 * ma_{m} + 0.30 * ewm_{m} + 0.20 * {trend} + 0.15 * seas_{m})"
 
 
-add("forecast", _op(FC.forecast, 3), with_fact(_HIST + f""",
+_FORECAST = _HIST + f""",
 pc AS (SELECT CASE WHEN LAG(sales) OVER (ORDER BY idx) <> 0
                    THEN (sales - LAG(sales) OVER (ORDER BY idx)) / LAG(sales) OVER (ORDER BY idx) END AS pc FROM h),
 vv AS (SELECT LEAST(GREATEST(CASE WHEN stddev_samp(pc) IS NULL OR stddev_samp(pc) = 0 THEN 0.15 ELSE stddev_samp(pc) END, 0.10), 0.35)
@@ -65,7 +65,14 @@ SELECT step, strftime(CAST(last_period || '-01' AS DATE) + to_months(step), '%Y-
        '{FC.METHOD}' AS method_used,
        CASE WHEN mape_sales IS NULL THEN 'Medium' WHEN mape_sales <= 15 THEN 'High' WHEN mape_sales <= 30 THEN 'Medium'
             ELSE 'Low' END AS confidence, ROUND(v, 4) AS variability
-FROM pr, vv WHERE n >= 3 ORDER BY step"""))
+FROM pr, vv WHERE n >= 3 ORDER BY step"""
+_MONTH, _NEXT_MONTH = "strftime(order_date, '%Y-%m')", "strftime(CAST(last_period || '-01' AS DATE) + to_months(step), '%Y-%m')"
+_QUARTER = "CAST(year(order_date) AS VARCHAR) || 'Q' || CAST(quarter(order_date) AS VARCHAR)"
+_AT = "(CAST(substr(last_period, 1, 4) AS INTEGER) * 4 + CAST(substr(last_period, 6, 1) AS INTEGER) - 1 + step)"
+for _name, _f, _key, _next in (("forecast", "M", _MONTH, _NEXT_MONTH),
+                               ("forecast_quarter", "Q", _QUARTER, f"CAST({_AT} // 4 AS VARCHAR) || 'Q' || CAST({_AT} % 4 + 1 AS VARCHAR)"),
+                               ("forecast_year", "Y", "CAST(year(order_date) AS VARCHAR)", "CAST(CAST(last_period AS INTEGER) + step AS VARCHAR)")):
+    add(_name, _op(FC.forecast, 3, _f), with_fact(_FORECAST.replace(_MONTH, _key).replace(_NEXT_MONTH, _next)))
 
 # ------------------------------------------------------------------ anomalies
 _AM = [("sales", "sales"), ("profit", "profit"), ("quantity", "quantity"), ("discount", "discount_pct")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.operators import insights as I
+from ledgerlens.operators import portfolio as PF
 from ledgerlens.plans.registry import add
 from ledgerlens.plans.sqlfrag import PERF_SELECT, dim_perf_sql, perf_sql, with_fact
 from ledgerlens.sources.testview import prepared_fact
@@ -43,6 +44,18 @@ FROM b, lt"""
 add("bi_summary", _op(I.bi_summary), with_fact(_BI_SUMMARY))
 add("bi_summary_no_order_id", _no_order_id(I.bi_summary), with_fact(_BI_SUMMARY.replace("COUNT(DISTINCT CAST(order_id AS VARCHAR))", "COUNT(*)")))
 
+for _d in ("category", "subcategory", "product", "region", "state", "segment", "customer"):
+    add(f"bi_{_d}", _op(PF.bi_group, _d), with_fact(f"""
+g AS (SELECT CAST({_d} AS VARCHAR) AS dimension_value, SUM(COALESCE(sales, 0)) AS sales, SUM(COALESCE(profit, 0)) AS profit, SUM(COALESCE(quantity, 0)) AS quantity,
+             COUNT(DISTINCT CAST(order_id AS VARCHAR)) AS orders, AVG(discount_pct) AS average_discount,
+             SUM(CASE WHEN profit < 0 THEN profit ELSE 0.0 END) AS loss_amount FROM sf GROUP BY 1),
+t AS (SELECT SUM(sales) AS ts, SUM(profit) AS tp, SUM(loss_amount) AS tl FROM g)
+SELECT dimension_value, ROUND(sales, 4) AS sales, ROUND(profit, 4) AS profit, ROUND(quantity, 4) AS quantity, orders, ROUND(average_discount, 4) AS average_discount,
+       ROUND(loss_amount, 4) AS loss_amount, ROUND(CASE WHEN sales = 0 THEN 0.0 ELSE profit / sales * 100 END, 4) AS margin_percent,
+       ROUND(CASE WHEN ts <> 0 THEN sales / ts * 100 ELSE 0.0 END, 4) AS sales_contribution_percent,
+       ROUND(CASE WHEN tp <> 0 THEN profit / tp * 100 ELSE 0.0 END, 4) AS profit_contribution_percent,
+       ROUND(CASE WHEN tl <> 0 THEN loss_amount / tl * 100 ELSE 0.0 END, 4) AS loss_contribution_percent FROM g, t"""))
+
 _BAND = ("CASE WHEN discount_pct IS NULL THEN 'Unknown' WHEN discount_pct <= 0 THEN '0%' WHEN discount_pct <= 10 THEN '0-10%' "
          "WHEN discount_pct <= 20 THEN '10-20%' WHEN discount_pct <= 30 THEN '20-30%' WHEN discount_pct <= 40 THEN '30-40%' ELSE '40%+' END")
 add("bi_discount_band", _op(I.bi_discount_band), with_fact(f"""

@@ -172,3 +172,19 @@ SELECT category, region, ROUND(SUM(COALESCE(sales, 0)), 4) AS sales, ROUND(SUM(C
        ROUND(CASE WHEN SUM(COALESCE(sales, 0)) = 0 THEN 0.0 ELSE SUM(COALESCE(profit, 0)) / SUM(COALESCE(sales, 0)) * 100 END, 4)
          AS profit_margin_percent
 FROM sf GROUP BY category, region ORDER BY profit DESC, category, region"""))
+
+
+_RD, _WD = ("category", "subcategory", "product", "region", "segment", "customer"), ("category", "subcategory", "product", "region")
+add("relationship_summary", _op(P.relationship_summary), with_fact(dim_perf_sql(_RD) + f""",
+bb AS (SELECT {band('discount_pct')} AS dimension_value, SUM(profit) AS profit, SUM(sales) AS sales, MIN(discount_pct) AS lo FROM sf GROUP BY 1),
+f0 AS (SELECT 0 AS pos, 'discount_band' AS dimension, dimension_value, profit, CASE WHEN sales = 0 THEN 0.0 ELSE profit / sales * 100 END AS profit_margin_percent,
+              'largest loss by discount' AS finding FROM bb WHERE profit < 0 AND dimension_value IS NOT NULL ORDER BY profit, lo LIMIT 1),
+f1 AS (SELECT CASE dimension {' '.join(f"WHEN '{d}' THEN {i + 1}" for i, d in enumerate(_RD))} END AS pos, dimension, dimension_value, profit, profit_margin_percent,
+              'worst group' AS finding FROM dp QUALIFY ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY profit, dimension_value) = 1),
+th AS (SELECT dimension, quantile_cont(sales, 0.6) AS s6, median(profit_margin_percent) AS mm FROM dp WHERE dimension IN ({', '.join(f"'{d}'" for d in _WD)}) GROUP BY 1),
+f2 AS (SELECT CASE dimension {' '.join(f"WHEN '{d}' THEN {i + 10}" for i, d in enumerate(_WD))} END AS pos, dimension, dimension_value, profit, profit_margin_percent,
+              'high sales, weak margin' AS finding FROM dp JOIN th USING (dimension) WHERE sales >= s6 AND profit_margin_percent <= mm
+       QUALIFY ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY sales DESC, profit_margin_percent, dimension_value) = 1),
+u AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL (SELECT * FROM f2 ORDER BY pos LIMIT 1))
+SELECT dimension, dimension_value, ROUND(profit, 4) AS profit, ROUND(profit_margin_percent, 4) AS profit_margin_percent, finding,
+       CAST(ROW_NUMBER() OVER (ORDER BY pos) AS INTEGER) AS position FROM u QUALIFY ROW_NUMBER() OVER (ORDER BY pos) <= 8"""))

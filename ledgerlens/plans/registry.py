@@ -41,5 +41,5 @@ def add(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None
 def load_all() -> None:
     """Import every catalogue module (they register on import)."""
     from ledgerlens.plans import (  # noqa: F401
-        q_core, q_quality, q_profit, q_customer, q_time, q_forecast, q_decide, q_star, q_ingest, q_match, q_insights,
+        q_core, q_quality, q_profit, q_customer, q_time, q_forecast, q_decide, q_star, q_ingest, q_match, q_insights, q_scalars,
     )
