@@ -6,6 +6,8 @@ above (bounded row counts), so the composite is still one lazy Spark plan.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from ledgerlens.functions.scalars import bi_discount_band as bi_band, cents, mon
 from ledgerlens.operators import customer as CU
 from ledgerlens.operators import portfolio as PF
 from ledgerlens.operators import profit as PR
-from ledgerlens.operators.grouped import performance
+from ledgerlens.operators.filters import entity_filter_lenient
 from ledgerlens.roles import Roles
+from ledgerlens.session import materialise
 
 # --- fixed values --------------------------------------------------------
 BI_BAND_ORDER = ("0%", "0-10%", "10-20%", "20-30%", "30-40%", "40%+", "Unknown")
@@ -110,10 +113,38 @@ def loss_group_drivers(df: DataFrame, roles: Roles, dim: str = "state", n: int =
               .select("rank", "dimension_value", "sales", "profit", "profit_margin_percent", "average_discount", "drivers").orderBy("rank")
 
 
-def hidden_insights(df: DataFrame, roles: Roles) -> DataFrame:
+class Shared:
+    """Tables that several composites read: each is computed at most once and written to the shared folder."""
+
+    def __init__(self, df: DataFrame, roles: Roles):
+        self.df, self.roles = df, roles
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return materialise(PR.leakage_points(self.df, self.roles), "leakage")
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return materialise(PR.top_leakage(self.df, self.roles, self.points), "top-leakage")
+
+    @cached_property
+    def drivers(self) -> DataFrame:
+        return materialise(PR.leakage_drivers(self.df, self.roles, self.top), "drivers")
+
+    @cached_property
+    def portfolio(self) -> DataFrame:
+        return materialise(PF.product_portfolio(self.df, self.roles), "portfolio")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return materialise(CU.customer_segments(self.df, self.roles), "segments")
+
+
+def hidden_insights(df: DataFrame, roles: Roles, shared: Shared | None = None) -> DataFrame:
     """Three worst leakage points, worst problem product, worst unprofitable customer,
     weakest region -- de-duplicated by title, at most 10."""
-    lk = PR.leakage_points(df, roles).orderBy("profit", "dimension", "dimension_value").limit(3)
+    shared = shared or Shared(df, roles)
+    lk = shared.points.orderBy("profit", "dimension", "dimension_value").limit(3)
     label = F.lit(None).cast("string")
     for k, v in DIM_LABELS.items():
         label = F.when(F.col("dimension") == k, F.lit(v)).otherwise(label)
@@ -121,10 +152,10 @@ def hidden_insights(df: DataFrame, roles: Roles) -> DataFrame:
                   F.when(F.col("profit") < 0, "High").otherwise("Medium").alias("severity"), F.lit("Profit").alias("business_area"),
                   "sales", "profit", "profit_margin_percent", F.lit(0).alias("_area"),
                   F.row_number().over(Window.orderBy("profit", "dimension", "dimension_value")).alias("_pos"))
-    prob = PF.product_portfolio(df, roles).where(F.col("portfolio_class") == "Problem Products").orderBy("profit", "dimension_value").limit(1)
+    prob = shared.portfolio.where(F.col("portfolio_class") == "Problem Products").orderBy("profit", "dimension_value").limit(1)
     b = prob.select(F.concat(F.lit("Problem product: "), F.col("dimension_value")).alias("title"), F.lit("High").alias("severity"),
                     F.lit("Product").alias("business_area"), "sales", "profit", "profit_margin_percent", F.lit(1).alias("_area"), F.lit(1).alias("_pos"))
-    unp = CU.unprofitable_customers(df, roles).orderBy("total_profit", "customer").limit(1)
+    unp = shared.segments.where(F.col("customer_segment").isin(*CU.SEGMENT_LABELS[:2])).orderBy("total_profit", "customer").limit(1)
     c = unp.select(F.concat(F.lit("Unprofitable customer risk: "), F.col("customer").cast("string")).alias("title"), F.lit("Medium").alias("severity"),
                    F.lit("Customer").alias("business_area"), F.col("total_sales").alias("sales"), F.col("total_profit").alias("profit"),
                    "profit_margin_percent", F.lit(2).alias("_area"), F.lit(1).alias("_pos"))
@@ -136,23 +167,22 @@ def hidden_insights(df: DataFrame, roles: Roles) -> DataFrame:
     return u.withColumn("position", F.row_number().over(w)).where(F.col("position") <= MAX_INSIGHTS).drop("_area", "_pos").orderBy("position")
 
 
-def recommendations(df: DataFrame, roles: Roles) -> DataFrame:
+def recommendations(df: DataFrame, roles: Roles, shared: Shared | None = None) -> DataFrame:
     """Prioritised actions from leakage, drivers, products, customers and regions."""
-    top = PR.top_leakage(df, roles)
-    r1 = top.select(F.lit("High").alias("priority"), F.lit("Profit").alias("area"),
+    shared = shared or Shared(df, roles)
+    r1 = shared.top.select(F.lit("High").alias("priority"), F.lit("Profit").alias("area"),
                     F.concat(F.lit("Fix profit leakage in "), F.col("dimension"), F.lit(" "), F.col("dimension_value")).alias("action"),
                     F.col("profit").alias("impact"), F.lit(1).alias("_o"))
-    dr = PR.leakage_drivers(df, roles)
+    dr = shared.drivers
     r2 = dr.select(F.lit("Medium").alias("priority"), F.lit("Profit").alias("area"),
                    F.concat(F.lit("Inside "), F.col("context_value"), F.lit(": review "), F.col("driver_dimension"), F.lit(" "),
                             F.col("driver_value")).alias("action"), F.col("profit").alias("impact"), F.lit(2).alias("_o"))
-    pp = PF.product_portfolio(df, roles).where(F.col("portfolio_class") == "Problem Products").agg(
+    pp = shared.portfolio.where(F.col("portfolio_class") == "Problem Products").agg(
         F.count(F.lit(1)).alias("n"), msum("profit").alias("loss")).where(F.col("n") > 0)
     r3 = pp.select(F.lit("High").alias("priority"), F.lit("Product").alias("area"),
                    F.concat(F.lit("Reprice or retire "), F.col("n").cast("string"), F.lit(" problem products")).alias("action"),
                    F.col("loss").alias("impact"), F.lit(3).alias("_o"))
-    seg = CU.customer_segments(df, roles)
-    cs = seg.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("n"), msum("total_profit").alias("p")) \
+    cs = shared.segments.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("n"), msum("total_profit").alias("p")) \
             .where(F.col("customer_segment").isin("Unprofitable Customer", "At-Risk Loyal Customer"))
     r4 = cs.select(F.lit("Medium").alias("priority"), F.lit("Customer").alias("area"),
                    F.concat(F.lit("Act on "), F.col("n").cast("string"), F.lit(" "), F.lower("customer_segment"), F.lit("s")).alias("action"),
@@ -167,15 +197,16 @@ def recommendations(df: DataFrame, roles: Roles) -> DataFrame:
     return u.withColumn("position", F.row_number().over(w)).drop("_o").orderBy("position")
 
 
-def executive_summary(df: DataFrame, roles: Roles) -> DataFrame:
+def executive_summary(df: DataFrame, roles: Roles, shared: Shared | None = None) -> DataFrame:
     """One row of computed facts: performance, problem, cause, impact, action."""
+    shared = shared or Shared(df, roles)
     s, p = roles.present("sales", df.columns), roles.present("profit", df.columns)
     base = df.agg(msum(s).alias("total_sales"), msum(p).alias("total_profit"),
                   msum(F.when(F.col(p) < 0, F.col(p))).alias("loss_amount"))
     base = base.withColumn("profit_margin_percent", profit_margin("total_profit", "total_sales"))
-    top = PR.top_leakage(df, roles).agg(F.first("dimension").alias("problem_dimension"), F.first("dimension_value").alias("problem_value"),
+    top = shared.top.agg(F.first("dimension").alias("problem_dimension"), F.first("dimension_value").alias("problem_value"),
                                         F.first("profit").alias("problem_profit"))
-    cause = PR.leakage_drivers(df, roles).limit(1).agg(F.first("driver_dimension").alias("cause_dimension"),
+    cause = shared.drivers.limit(1).agg(F.first("driver_dimension").alias("cause_dimension"),
                                                        F.first("driver_value").alias("cause_value"))
     out = base.crossJoin(top).crossJoin(cause)
     return out.withColumn("performance", F.format_string("Sales %.2f, profit %.2f, margin %.2f%%", "total_sales", "total_profit", "profit_margin_percent")) \
@@ -196,16 +227,25 @@ def headline_flags(df: DataFrame, roles: Roles) -> DataFrame:
                      (F.col("loss_rows") > 0).alias("losses_present"), "loss_rows", "products", "customers")
 
 
-def analyst_bundle(df: DataFrame, roles: Roles) -> dict[str, DataFrame]:
-    """J40 (computation part): the tables an analyst answer draws on."""
+def analyst_bundle(df: DataFrame, roles: Roles, entities: list[tuple[str, str]] | None = None) -> dict[str, DataFrame]:
+    """J40 (computation part): the tables an analyst answer draws on, over the rows of the named entities (values that
+    match nothing, or nothing together, are skipped), and for each entity what stands behind its result."""
     from ledgerlens.operators import anomaly, forecast, kpis, trend
-    return {"kpis": kpis.kpis(df, roles), "profit_summary": PR.profit_summary(df, roles),
-            "leakage_points": PR.leakage_points(df, roles), "loss_by_category": PR.loss_by(df, roles, "category"),
-            "metric_drop": trend.metric_drop(df, roles), "customer_loyalty": CU.customer_loyalty(df, roles),
-            "product_portfolio": PF.product_portfolio(df, roles), "weak_regions": PF.weak_regions(df, roles),
-            "trend": trend.performance_over_time(df, roles, "M"), "forecast": forecast.forecast(df, roles),
-            "anomalies": anomaly.metric_outliers(df, roles), "insights": hidden_insights(df, roles),
-            "recommendations": recommendations(df, roles), "summary": executive_summary(df, roles)}
+    whole, entities = df, entities or []
+    df = entity_filter_lenient(df, entities)
+    sh = Shared(df, roles)
+    out = {"kpis": kpis.kpis(df, roles), "profit_summary": PR.profit_summary(df, roles, sh.top),
+           "leakage_points": sh.points, "loss_by_category": PR.loss_by(df, roles, "category"),
+           "metric_drop": trend.metric_drop(df, roles), "customer_loyalty": CU.customer_loyalty(df, roles),
+           "product_portfolio": sh.portfolio, "weak_regions": PF.weak_regions(df, roles),
+           "trend": trend.performance_over_time(df, roles, "M"), "forecast": forecast.forecast(df, roles),
+           "anomalies": anomaly.metric_outliers(df, roles), "insights": hidden_insights(df, roles, sh),
+           "recommendations": recommendations(df, roles, sh), "summary": executive_summary(df, roles, sh)}
+    by_column = {c: r for r, c in roles.as_dict().items()}
+    for column, value in entities:
+        if column in whole.columns and column in by_column:
+            out[f"root_cause_{column}"] = PR.slice_root_cause(whole, roles, by_column[column], value)
+    return out
 
 
 def bundle_summary(bundle: dict[str, DataFrame]) -> DataFrame:
@@ -214,7 +254,3 @@ def bundle_summary(bundle: dict[str, DataFrame]) -> DataFrame:
     for x in parts[1:]:
         u = u.unionByName(x)
     return u
-
-
-__all__ = ["bi_summary", "bi_discount_band", "loss_group_drivers", "hidden_insights", "recommendations",
-           "executive_summary", "headline_flags", "analyst_bundle", "bundle_summary", "performance"]

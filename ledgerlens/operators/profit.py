@@ -123,9 +123,9 @@ def _priority(mapping: dict, col: str):
     return expr
 
 
-def top_leakage(df: DataFrame, roles: Roles) -> DataFrame:
+def top_leakage(df: DataFrame, roles: Roles, points: DataFrame | None = None) -> DataFrame:
     """The single strongest leakage point (profit, then dimension priority, then margin)."""
-    t = leakage_points(df, roles).withColumn("_prio", _priority(TOP_LEAKAGE_PRIORITY, "dimension"))
+    t = (leakage_points(df, roles) if points is None else points).withColumn("_prio", _priority(TOP_LEAKAGE_PRIORITY, "dimension"))
     return t.orderBy("profit", "_prio", "profit_margin_percent", "dimension_value").limit(1).drop("_prio")
 
 
@@ -142,10 +142,10 @@ def _slice(df: DataFrame, roles: Roles, ctx: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(ctx1)).where(conds)
 
 
-def leakage_drivers(df: DataFrame, roles: Roles) -> DataFrame:
+def leakage_drivers(df: DataFrame, roles: Roles, top: DataFrame | None = None) -> DataFrame:
     """Inside the top leakage slice only -- the worst loss-making discount
     band, then the largest loss in up to two other dimensions."""
-    ctx = top_leakage(df, roles).select("dimension", "dimension_value")
+    ctx = (top_leakage(df, roles) if top is None else top).select("dimension", "dimension_value")
     sl = _slice(df, roles, ctx)
     p, s, d = (roles.present(r, df.columns) for r in ("profit", "sales", "discount"))
     parts = []
@@ -187,7 +187,7 @@ def other_loss_areas(df: DataFrame, roles: Roles, limit: int = 8) -> DataFrame:
         "profit_margin_percent", "loss_contribution_percent")
 
 
-def profit_summary(df: DataFrame, roles: Roles) -> DataFrame:
+def profit_summary(df: DataFrame, roles: Roles, top: DataFrame | None = None) -> DataFrame:
     """Overall profit facts plus the top leakage point."""
     s, p = roles.present("sales", df.columns), roles.present("profit", df.columns)
     base = df.agg(F.coalesce(msum(s), F.lit(0.0)).alias("total_sales"), F.coalesce(msum(p), F.lit(0.0)).alias("total_profit"),
@@ -195,7 +195,7 @@ def profit_summary(df: DataFrame, roles: Roles) -> DataFrame:
                   F.coalesce(msum(F.when(F.col(p) < 0, F.col(p))), F.lit(0.0)).alias("total_loss_amount"))
     base = base.withColumn("profit_margin_percent", profit_margin("total_profit", "total_sales")) \
                .withColumn("profit_per_row", cents(F.col("total_profit")) / F.col("rows"))
-    top = top_leakage(df, roles).agg(F.first("dimension").alias("top_leakage_dimension"),  # always one row
+    top = (top_leakage(df, roles) if top is None else top).agg(F.first("dimension").alias("top_leakage_dimension"),  # always one row
                                      F.first("dimension_value").alias("top_leakage_value"),
                                      F.first("profit").alias("top_leakage_profit"))
     return base.crossJoin(top)

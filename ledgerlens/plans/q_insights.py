@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from ledgerlens.operators import insights as I
 from ledgerlens.operators import portfolio as PF
+from ledgerlens.operators import profit as PR
 from ledgerlens.plans.registry import add
-from ledgerlens.plans.sqlfrag import PERF_SELECT, dim_perf_sql, perf_sql, with_fact
+from ledgerlens.plans.sqlfrag import PERF_SELECT, dim_perf_sql, dp_select, perf_sql, with_fact
 from ledgerlens.sources.testview import prepared_fact
 
 
@@ -121,3 +122,22 @@ SELECT COUNT(*) AS rows, FALSE AS cleaned_data_used, CAST(SUM(CASE WHEN sales IS
 add("recommendations", _op(I.recommendations), None)
 add("executive_summary", _op(I.executive_summary), None)
 add("analyst_bundle", lambda spark, d: I.bundle_summary(I.analyst_bundle(*prepared_fact(spark, d))), None)
+
+
+def _of_bundle(table, entities):
+    def q(spark, sf_dir):
+        return I.analyst_bundle(*prepared_fact(spark, sf_dir), entities)[table]
+    return q
+
+
+_ASIA = [("region", "asia"), ("state", "no such state")]
+add("analyst_leakage_of_entity", _of_bundle("leakage_points", _ASIA), with_fact(
+    "sfe AS (SELECT * FROM sf WHERE lower(region) = 'asia')," + dim_perf_sql(PR.LEAKAGE_DIMS, source="sfe") + f"""
+SELECT {dp_select()} FROM dp WHERE profit < 0 OR profit_margin_percent < 5"""))
+add("analyst_root_cause_of_entity", _of_bundle("root_cause_region", _ASIA), with_fact("""
+SELECT 'region' AS target_dimension, 'asia' AS target_value, ROUND(SUM(sales), 4) AS sales, ROUND(SUM(profit), 4) AS profit,
+       ROUND(COALESCE(SUM(CASE WHEN profit < 0 THEN profit END), 0), 4) AS loss_amount, COUNT(*) AS order_count,
+       ROUND(AVG(discount_pct), 4) AS average_discount,
+       ROUND(CASE WHEN SUM(sales) <> 0 THEN SUM(profit) / SUM(sales) * 100 END, 4) AS margin,
+       SUM(profit) < 0 AS loss_making, AVG(discount_pct) > 20 AS discount_pressure
+FROM sf WHERE lower(region) = 'asia' HAVING COUNT(*) > 0"""))
