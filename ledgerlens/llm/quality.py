@@ -132,7 +132,7 @@ def fit_em(counts: dict[str, int], rounds: int = 300):
 
 
 def fit_scorer(rows: list[tuple[dict[int, float], float]], rounds: int = 300, decay: float = 1e-4):
-    """Logistic regression on soft labels by gradient descent with momentum; both classes weigh the same. Gives (weights, bias)."""
+    """Logistic regression on soft labels by gradient descent with momentum; classes that occur weigh the same. Gives (weights, bias)."""
     import numpy as np
 
     x = np.zeros((len(rows), FEATURES), np.float32)
@@ -143,7 +143,8 @@ def fit_scorer(rows: list[tuple[dict[int, float], float]], rounds: int = 300, de
         x[i, list(f)] = list(f.values())
     good = float(y.sum())
     bad = len(y) - good
-    weight = y / max(good, 1e-3) + (1 - y) / max(bad, 1e-3) if min(good, bad) >= 1 else np.full(len(y), 1 / len(y), np.float32)
+    both = (y < 0.5).any() and (y >= 0.5).any()  # with one class only, the doubt of its members must not be weighed up
+    weight = y / max(good, 1e-3) + (1 - y) / max(bad, 1e-3) if both else np.full(len(y), 1 / len(y), np.float32)
     weight /= weight.sum()
     w, b = np.zeros(FEATURES, np.float32), float(np.log((good + 1) / (bad + 1)))
     vw, rate = np.zeros_like(w), 8.0

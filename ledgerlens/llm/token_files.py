@@ -36,7 +36,7 @@ from ledgerlens.llm.common import scratch, slices, text_of
 
 END_ID = 1
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
-CACHE = 250_000
+CACHE = 400_000
 HINT = 64
 
 SCHEMA = ("part int, seq int, before bigint, n_docs int, n_ids bigint, width int, ids binary, "

@@ -77,3 +77,10 @@ def test_the_sample_is_bounded(spark):
     d = spark.createDataFrame([(i, t) for i, t, _ in data(600)], "doc_id long, text string")
     model = Q.fit(d, Q.label(d), train_rows=100)
     assert sum((model.score(Q.View(t)) >= 0.5) == good for _, t, good in data(200, seed=4)) >= 180
+
+
+def test_a_corpus_without_junk_is_kept(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(3, 200))) for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Q.drop_rejected(d).count() == len(rows)
