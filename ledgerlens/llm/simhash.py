@@ -15,7 +15,8 @@ Equal fingerprints are one class; only classes are linked, and the classes' comp
 the heaviest classes broadcast (bounded top-k). Nothing about all documents goes to the driver but counts.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; an empty table gives no rows;
-repeated rows each give a row; null ids count as largest. Only ``doc_id`` and ``text`` are read.
+repeated rows each give a row; null ids count as largest; unrelated documents without an id or with the same id are
+components of their own, and one of each stays. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -248,21 +249,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, text_key, component_id (smallest doc_id reachable over links)."""
+    """One row per document: doc_id, fp, text_key, component_id (smallest doc_id reachable over links) and root.
+
+    ``root``, the component's smallest fingerprint, tells components apart; a component_id may be null or shared.
+    """
     rows = materialise(fingerprints(docs, width), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), "classes")
     found = components(hamming_links(classes.select("fp"), bits))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = materialise(rooted.join(ids, "root").select("fp", "component_id", "n_rows"), "components")
-    return join_unique(rows, by_class, ["fp"], "n_rows", "inner").select("doc_id", "fp", "text_key", "component_id")
+    by_class = materialise(rooted.join(ids, "root").select("fp", "component_id", "root", "n_rows"), "components")
+    return join_unique(rows, by_class, ["fp"], "n_rows", "inner").select("doc_id", "fp", "text_key", "component_id", "root")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the smallest doc_id."""
     found = materialise(simhash_groups(docs, width, bits), "near")
-    one = (found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"), F.count("*"))
+    one = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"), F.count("*"))
            .select("m.doc_id", "m.text_key"))
     ties = not found.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
     return keep_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64(text_of())}, one, ties)

@@ -104,3 +104,13 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted(map(tuple, S.drop_near_copies(d).collect()), key=repr) == sorted([(7, "a b c d"), (None, "zz yy xx ww vv"), (9, "")], key=repr)
     assert S.simhash_groups(d.limit(0)).count() == 0
     assert S.drop_near_copies(d.limit(0)).count() == 0
+
+
+def test_unrelated_documents_without_an_id_or_with_the_same_id_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    data = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(4)), (None, text(3))]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in S.simhash_groups(d).collect()]
+    assert sorted(got, key=repr) == sorted([(None, None)] * 3 + [(5, 5)] * 3 + [(6, 5), (None, 5)], key=repr)
+    kept = sorted(map(tuple, S.drop_near_copies(d).collect()), key=repr)
+    assert kept == sorted([(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4))], key=repr)
