@@ -4,13 +4,16 @@
    table cells; a page may break off anywhere). Every element that may be template gets a hash of its subtree: tag,
    class, text, children.
 2. Spark counts on how many pages of a host each hash occurs. Subtrees on at least ``min_pages`` pages and at least
-   ``min_share`` of the host's pages are that site's template.
+   ``min_share`` of the host's pages are that site's template. Inside an article, they must also occur beside at least
+   ``min_pages`` different texts of the rest of the article, else they are parts of a copied article.
 3. Each page is parsed again with its template hashes. These subtrees go; so does what its tag, role or class marks as
    menu, header, footer, sidebar, notice, advert, form, script, style or reader comments (a host with few pages shows
    no recurrence). What stays in the article is the text.
 
 The article is every outermost ``article`` element, else ``main``, else the body. Paragraphs, headings and other prose, and a
-subtree with more than half of a page's text, are never template: copies of an article on one host keep their text.
+subtree with more than half of a page's text, are never template, and neither are the parts of an article that recur with
+the whole of it: copies of an article on one host keep their text. Copies that differ elsewhere in the article count as
+different articles.
 
 The counts are combined before the shuffle, and a host's commonest hashes come back by a bounded broadcast, so a host
 with a third of all pages is no hot spot.
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import join_unique, materialise, slices
 
 MIN_PAGES, MIN_SHARE = 5, 0.01
+#: Sets the keys of subtrees within an article apart from equal ones outside.
+INNER = 0x9E3779B97F4A7C15
 BATCH = 1 << 22
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*+|[^>]*+)>", re.S)
@@ -144,15 +149,13 @@ def article_of(root: Element) -> list[Element]:
     return [root]
 
 
-def _measure(root: Element, inside: set[int]) -> list[Element]:
-    """Subtree hashes and text sizes bottom up; gives the elements that may be template."""
+def _measure(root: Element, articles: list[Element]) -> tuple[list[Element], set[int]]:
+    """Subtree hashes and text sizes bottom up; gives the elements that may be template and the ids of all within an article, which have keys of their own."""
     from xxhash import xxh64
 
     order = [root, *root.within()]
-    holders = set()
-    for e in order:
-        if id(e) in inside:
-            holders.update(id(a) for a in (e, *e.above()))
+    holders = {id(a) for e in articles for a in (e, *e.above())}
+    inner = {id(e) for a in articles for e in a.within()}
     for e in reversed(order):
         h, size = xxh64(f"{e.tag} {' '.join(e.marks)}"), 0
         for c in e.children:
@@ -167,22 +170,54 @@ def _measure(root: Element, inside: set[int]) -> list[Element]:
                 size = 0
         e.key, e.size = h.intdigest(), size
     half = root.size / 2
-    return [e for e in order[1:] if e.tag not in INLINE and e.tag not in PROSE and e.tag not in ("html", "head", "body", *VOID) and id(e) not in holders and 0 < e.size <= half
+    for e in order:
+        if id(e) in inner:
+            e.key ^= INNER
+    found = [e for e in order[1:] if e.tag not in INLINE and e.tag not in PROSE and e.tag not in ("html", "head", "body", *VOID) and id(e) not in holders and 0 < e.size <= half
             and not any(a.tag == "head" for a in e.above())]
+    return found, inner
+
+
+def _rests(article: Element, ids: set[int]) -> dict[int, int]:
+    """By key of the elements ``ids`` in the article: a hash of the article's text without the elements of that key."""
+    from xxhash import xxh64_intdigest
+
+    order, own = [article, *article.within()], {}
+    for e in order:
+        if e is article or id(e.parent) in own and not e.unwanted():
+            own[id(e)] = sum(xxh64_intdigest(" ".join(c.split())) for c in e.children if isinstance(c, str) and not c.isspace())
+    for e in reversed(order[1:]):
+        if id(e) in own:
+            own[id(e.parent)] += own[id(e)]
+    rest: dict[int, int] = {}
+    for e in order:
+        if id(e) in ids:
+            rest[e.key] = rest.get(e.key, own[id(article)]) - own.get(id(e), 0)
+    return {k: r & (1 << 64) - 1 for k, r in rest.items()}
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def template_keys(html: str) -> list[int]:
-    """Hashes (signed) of the subtrees of a page that may be template, each once."""
+
+def template_keys(html: str) -> list[tuple[int, int | None, int]]:
+    """Key of the subtrees of a page that may be template, the rest of the article (none outside) and 1 at the first row of a key."""
     root = parse(html)
-    keys = {e.key for e in _measure(root, {id(e) for e in article_of(root)})}
-    return sorted(k - (1 << 64) if k >> 63 else k for k in keys)
+    articles = article_of(root)
+    found, inner = _measure(root, articles)
+    rows = {(_signed(e.key), None) for e in found if id(e) not in inner}
+    ids = {id(e) for e in found if id(e) in inner}
+    if ids:
+        rows.update((_signed(k), _signed(r)) for a in articles for k, r in _rests(a, ids).items())
+    seen: set[int] = set()
+    return [(k, r, int(k not in seen and not seen.add(k))) for k, r in rows]
 
 
 def extract(html: str, template: set[int]) -> tuple[str, int]:
     """The article's text without template subtrees and unwanted elements; how many template subtrees went."""
     root = parse(html)
     articles = article_of(root)
-    dropped = {id(e) for e in _measure(root, {id(e) for e in articles}) if (e.key - (1 << 64) if e.key >> 63 else e.key) in template}
+    dropped = {id(e) for e in _measure(root, articles)[0] if _signed(e.key) in template}
     gone = sum(1 for e in root.within() if id(e) in dropped and not any(id(a) in dropped for a in e.above()))
     out: list[str] = []
     for article in articles:
@@ -219,17 +254,22 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     def run(batches):
         import pyarrow as pa
 
+        form = pa.list_(pa.struct([("key", pa.int64()), ("rest", pa.int64()), ("first", pa.int64())]))
         for b in slices(batches, "html", BATCH):
             keys = [template_keys(h) for h in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["page_id", "page_key", "host", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, form)], names=["page_id", "page_key", "host", "keys"])
 
     rows = _pages(pages).select("page_id", F.xxhash64("url", "html").alias("page_key"), host_of(F.col("url")).alias("host"), "html")
-    keyed = materialise(rows.mapInArrow(run, "page_id long, page_key long, host string, keys array<long>"), "subtrees")
-    subtrees = keyed.select("page_id", "page_key", "host", F.explode("keys").alias("key"))
+    keyed = materialise(rows.mapInArrow(run, "page_id long, page_key long, host string, keys array<struct<key:long,rest:long,first:long>>"), "subtrees")
+    subtrees = keyed.select("page_id", "page_key", "host", F.explode("keys").alias("of")).select("page_id", "page_key", "host", "of.*")
     sites = keyed.groupBy("host").agg(F.count("*").alias("site_pages"))
-    counts = subtrees.groupBy("host", "key").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
-    template = counts.join(sites, "host").filter(F.col("n_pages") >= min_share * F.col("site_pages")).select("host", "key", "n_pages")
-    return subtrees, materialise(template, "templates")
+    counts = subtrees.groupBy("host", "key").agg(F.sum("first").alias("n_pages"), (F.count("rest") > 0).alias("inside")).filter(F.col("n_pages") >= min_pages)
+    often = counts.join(sites, "host").filter(F.col("n_pages") >= min_share * F.col("site_pages")).select("host", "key", "n_pages", "inside")
+    often = materialise(often, "recurring")
+    rests = join_unique(subtrees.filter("rest IS NOT NULL").select("host", "key", "rest"), often.filter("inside"), ["host", "key"], "n_pages", "inner")
+    beside = rests.groupBy("host", "key", "n_pages").agg(F.count_distinct("rest").alias("n_rests")).filter(F.col("n_rests") >= min_pages)
+    template = often.filter("NOT inside").drop("inside").unionByName(beside.drop("n_rests"))
+    return subtrees.select("page_id", "page_key", "host", "key"), materialise(template, "templates")
 
 
 def extract_articles(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -38,3 +38,22 @@ def test_hosts(spark):
     urls = ["http://A.b/c", "https://u:p@h:8?x", "ftp://h#f", "none", None]
     d = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in d.select(H.host_of(d.url)).collect()] == ["a.b", "h", "h", "", ""]
+
+
+def test_copied_articles_keep_their_blocks_and_recurring_boxes_go(spark):
+    blocks = "<div>first part of it</div><div><p>second part</p></div><div>third part of it</div>"
+    listed = "<h1>Head</h1><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table><section>the end of the copied text</section>"
+    box = "<div class=x7>Read more of this site</div>"
+    frame = lambda i, body: f"<html><body><div class=x1>Welcome to all</div>{body}<div>no {i}</div></body></html>"
+    rows = [(i, "http://a/", frame(i, f"<article>{blocks}</article>")) for i in range(6)]
+    rows += [(10 + i, "http://a/", frame(i, f"<main>{listed}<div class=comments>said {i}</div></main>")) for i in range(6)]
+    rows += [(20 + i, "http://b/", frame(i, f"<article><p>text of number {i} {'and so on ' * i}</p>{box}</article>")) for i in range(6)]
+    rows += [(30 + i, "http://c/", f"<body>{blocks}</body>") for i in range(6)]
+    rows += [(40 + i, "http://d/", f"<article>{blocks}</article><article><p>other {i}</p></article>") for i in range(6)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_template) for r in H.extract_articles(d).collect()}
+    copied = "first part of it second part third part of it"
+    want = {i: (copied, 1) for i in range(6)} | {10 + i: ("Head one two c1 c2 the end of the copied text", 1) for i in range(6)}
+    want |= {20 + i: (f"text of number {i} {'and so on ' * i}".strip(), 2) for i in range(6)}
+    want |= {30 + i: (copied, 0) for i in range(6)} | {40 + i: (f"{copied} other {i}", 0) for i in range(6)}
+    assert got == want
