@@ -25,6 +25,7 @@ give a row and count as pages of their own; an empty table gives no rows. Only `
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,27 +52,60 @@ SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozen
 SCOPE = frozenset("article body div html main ol section table td th ul".split())
 NEVER_TEXT = frozenset("head script style noscript template nav aside footer form button select option input textarea iframe svg canvas object audio video dialog menu title link meta".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# Words of class and id that mark what isn't the article.
+# Names of class and id that mark what isn't the article.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside cookie cookies consent notice notices
  banner popup modal overlay newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation
  footer header masthead topbar comment comments disqus respond replies pagination pager widget toolbar skip login search""".split())
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+HEADS = frozenset("header masthead".split())
+# Words of place and form that a mark's name may have before and after it ('site-footer', 'comment-list').
+BEFORE = frozenset("site global main primary secondary top bottom left right user reader page post article entry".split())
+AFTER = frozenset("list item items box block bar area section wrap wrapper container inner content body link links button buttons icon icons form posts articles stories left right thread slot unit primary secondary".split())
+SITE = frozenset("site global".split())
+
+
+@lru_cache(1 << 14)
+def marks_of(names: str) -> frozenset[str]:
+    """The marks that whole names of class or id stand for; other words beside a mark ('with-sidebar', 'header-fixed', 'entry-header') make it none."""
+    out: set[str] = set()
+    for name in names.split():
+        words = [w for w in _WORD.findall(name) if not w.isdigit()]
+        a, b = 0, len(words)
+        while a < b and words[a] not in MARKS and words[a] in BEFORE:
+            a += 1
+        while a < b and words[b - 1] not in MARKS and words[b - 1] in AFTER:
+            b -= 1
+        core = words[a:b]
+        if core and MARKS.issuperset(core) and (HEADS.isdisjoint(core) or b == len(words) and SITE.issuperset(words[:a])):
+            out.update(core)
+    return frozenset(out)
+
 
 
 class Element:
-    __slots__ = ("tag", "marks", "role", "children", "parent", "key", "size", "keeps")
+    __slots__ = ("tag", "marks", "marked", "role", "children", "parent", "key", "size", "keeps")
 
     def __init__(self, tag: str, attributes: str, parent):
-        self.tag, self.parent, self.children, self.marks, self.role = tag, parent, [], (), ""
+        self.tag, self.parent, self.children, self.marks, self.marked, self.role = tag, parent, [], (), frozenset(), ""
         self.key, self.size, self.keeps = 0, 0, False
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or not attributes.islower()):
             found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-            self.marks = tuple(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+            names = f"{found.get('class', '')} {found.get('id', '')}"
+            self.marks, self.marked = tuple(_WORD.findall(names)), marks_of(names)
             self.role = found.get("role", "")
 
-    def unwanted(self) -> bool:
-        """Marked by tag, role or class as not of the article."""
-        return (self.tag in NEVER_TEXT or self.role in ROLES or not MARKS.isdisjoint(self.marks)
-                or self.tag == "header" and not any(a.tag in ("article", "main") for a in self.above()))
+    def unwanted(self, half: float) -> bool:
+        """Marked by tag, role or class as not of the article; ``half`` is half of the page's text.
+
+        The marks of ``html``, ``body`` and of what holds more than half of the text say how the page looks, but for reader comments.
+        """
+        if self.tag in NEVER_TEXT or self.role in ROLES:
+            return True
+        marked = self.marked if self.tag not in ("html", "body") and (self.size <= half or not COMMENTS.isdisjoint(self.marked)) else frozenset()
+        if not HEADS.issuperset(marked):
+            return True
+        # in an article a header has the headline
+        return (self.tag == "header" or bool(marked)) and not any(a.tag in ("article", "main") for a in self.above())
 
     def above(self):
         at = self.parent
@@ -143,7 +177,7 @@ def parse(html: str) -> Element:
 def article_of(root: Element) -> list[Element]:
     """The outermost articles that aren't inside anything unwanted, else main, else the page."""
     for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or e.role == "main"):
-        found = [e for e in root.within() if wanted(e) and MARKS.isdisjoint(set(e.marks) & {"comment", "comments", "ad", "ads", "related"}) and not any(wanted(a) or a.tag in NEVER_TEXT for a in e.above())]
+        found = [e for e in root.within() if wanted(e) and e.marked.isdisjoint(("comment", "comments", "ad", "ads", "related")) and not any(wanted(a) or a.tag in NEVER_TEXT for a in e.above())]
         if found:
             return found
     return [root]
@@ -178,13 +212,13 @@ def _measure(root: Element, articles: list[Element]) -> tuple[list[Element], set
     return found, inner
 
 
-def _rests(article: Element, ids: set[int]) -> dict[int, int]:
+def _rests(article: Element, ids: set[int], half: float) -> dict[int, int]:
     """By key of the elements ``ids`` in the article: a hash of the article's text without the elements of that key."""
     from xxhash import xxh64_intdigest
 
     order, own = [article, *article.within()], {}
     for e in order:
-        if e is article or id(e.parent) in own and not e.unwanted():
+        if e is article or id(e.parent) in own and not e.unwanted(half):
             own[id(e)] = sum(xxh64_intdigest(" ".join(c.split())) for c in e.children if isinstance(c, str) and not c.isspace())
     for e in reversed(order[1:]):
         if id(e) in own:
@@ -208,7 +242,7 @@ def template_keys(html: str) -> list[tuple[int, int | None, int]]:
     rows = {(_signed(e.key), None) for e in found if id(e) not in inner}
     ids = {id(e) for e in found if id(e) in inner}
     if ids:
-        rows.update((_signed(k), _signed(r)) for a in articles for k, r in _rests(a, ids).items())
+        rows.update((_signed(k), _signed(r)) for a in articles for k, r in _rests(a, ids, root.size / 2).items())
     seen: set[int] = set()
     return [(k, r, int(k not in seen and not seen.add(k))) for k, r in rows]
 
@@ -227,7 +261,7 @@ def extract(html: str, template: set[int]) -> tuple[str, int]:
             if isinstance(e, str):
                 out.append(e)
                 continue
-            if e is not article and (id(e) in dropped or e.unwanted()):
+            if e is not article and (id(e) in dropped or e.unwanted(root.size / 2)):
                 out.append(" ")
                 continue
             edge = "" if e.tag in INLINE else " "  # blocks and line breaks part words

@@ -57,3 +57,14 @@ def test_copied_articles_keep_their_blocks_and_recurring_boxes_go(spark):
     want |= {20 + i: (f"text of number {i} {'and so on ' * i}".strip(), 2) for i in range(6)}
     want |= {30 + i: (copied, 0) for i in range(6)} | {40 + i: (f"{copied} other {i}", 0) for i in range(6)}
     assert got == want
+
+
+def test_class_marks_are_whole_names_and_leave_the_page_its_text():
+    long = "the text of the page goes on and on"
+    for name in ("with-sidebar", "no-sidebar", "has-menu", "header-fixed", "sidebar", "menu"):
+        for page in (f'<html class="{name}"><body class="{name}"><p>{long}</p><div class="menu">m</div></body></html>', f'<body><div id="{name}"><p>{long}</p></div><div class="site-footer">f</div></body>'):
+            assert H.extract(page, set())[0] == long, page
+    assert H.extract(f'<article><div class="entry-header"><h1>Head</h1></div><div class="header">Sub</div><div class="share-buttons">s</div><p>{long}</p></article>', set())[0] == f"Head Sub {long}"
+    for name in ("ad", "main-nav", "cookie-notice", "site-header", "comment-list", "related-posts", "sidebar-2", "x menu", "post_navigation"):
+        assert H.extract(f'<div class="{name}">gone</div><p>{long}</p>', set())[0] == long, name
+    assert H.extract('<main><p>short</p><div id="comments">a long thread of what readers said</div></main>', set())[0] == "short"
