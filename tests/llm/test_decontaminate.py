@@ -69,3 +69,15 @@ def test_empty_tables(spark):
     assert D.decontaminate(none, items).count() == 0
     some = spark.createDataFrame([Row(doc_id=1, text="a b")])
     assert [tuple(r)[:4] for r in D.decontaminate(some, items).collect()] == [(1, 2, 0, 0)]
+
+
+def test_blocks_are_bounded_by_their_windows(spark):
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    items = [(1, text(1, 500)), (2, "short"), (3, None), (4, text(4, 30)), (5, text(5, 9))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(D._blocks(b, 10, 4000))
+    windows = [{(i, w) for i, t in block for w in D.windows_of(D.words_of(t), 10)} for block in blocks]
+    assert all(sum(len(w) + 2 for _, w in found) <= 4000 for found in windows)
+    assert sum(map(len, windows)) == len(set().union(*windows))
+    assert set().union(*windows) == {(str(i), w) for i, t in items for w in D.windows_of(D.words_of(t or ""), 10)}
+    assert len(list(D._blocks(b, 10, 1 << 20))) == 1
