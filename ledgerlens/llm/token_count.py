@@ -1,19 +1,18 @@
-"""Token counts by compiled finite-state transducers.
+"""Token counts by a finite-state cutter and a table of words.
 
-The tokenizer's JSON is compiled into two deterministic transducers.
+The tokenizer's JSON gives a deterministic transducer that cuts words and a counter of their tokens.
 
 * The cutter reads one symbol class per code point and annotates transitions with "a word starts here". It is run by an
   associative scan: blocks of a text are reduced to functions from entry state to exit state, and these are composed in doubling
   steps (``scan.states_after``).
-* The counter reads words. Between words it is in one state, so a whole word is one transition, annotated with the
-  number of tokens that byte-pair merging emits for it. Transitions are compiled when first met and kept in two bounded
-  generations.
+* The counter is a table from words to the number of tokens that byte-pair merging emits for them. It is no automaton
+  over characters with states of its own: a word is merged when first met, and its count is kept in two bounded generations.
 
-Texts are cut into chunks of ``CHUNK`` code points, at any place, and every chunk becomes a state map: from the text
+Texts of more than ``CHUNK`` code points are cut into chunks of ``CHUNK`` code points, at any place, and every chunk becomes a state map: from the text
 still open before it (the part of a word since the last blank) to the tokens emitted and the text open after it. A chunk
 with a blank is (head, count, tail): it counts open + head, adds its own count and leaves its tail; one without leaves
 open + chunk. Composition is associative, so chunks are counted by any task in any order, and the maps of a document are
-composed pairwise in a tree. A very long text is never one task's work.
+composed pairwise in a tree, in one call a document. A shorter text is counted at once, without maps.
 
 The counts are those of the tokenizers library without added tokens: special-token strings inside a text are one token
 each.
