@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, chat, decontaminate, exact_dedup, html_extract, line_dedup, quality, simhash, token_count, token_files
+from ledgerlens.llm import bpe, chat, decontaminate, exact_dedup, html_extract, line_dedup, merkle, quality, simhash, token_count, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_token_count": token_count.op9_token_count,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
