@@ -31,6 +31,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_partitions(rows: DataFrame, most: int) -> int:
+    """Shuffle partitions for ``rows`` so that one holds about ``most`` bytes of text: the session's number at least."""
+    text = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in rows.dtypes if t in ("string", "binary")]
+    size = rows.agg(F.sum(sum(text, F.lit(64)).cast("long")).alias("n")).first()["n"] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

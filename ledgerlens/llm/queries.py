@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, chat, decontaminate, exact_dedup, html_extract, line_dedup, merkle, quality, simhash, token_count, token_files
+from ledgerlens.llm import bpe, chat, decontaminate, exact_dedup, html_extract, line_dedup, merkle, quality, repair, sharding, simhash, token_count, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_token_count": token_count.op9_token_count,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLE = {
@@ -23,4 +25,6 @@ ORACLE = {
     "op4_decontaminate": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_conversation_repair": repair.SQL,
 }
