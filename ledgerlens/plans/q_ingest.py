@@ -53,8 +53,8 @@ def csv_path(spark, sf_dir: str) -> str:
     return path
 
 
-def _state(spark, sf_dir: str) -> tuple:
-    return id(spark.sparkContext), file_signature(spark, csv_path(spark, sf_dir))
+def _ingest(spark, sf_dir: str) -> IN.Ingest:
+    return IN.Ingest(spark, csv_path(spark, sf_dir))
 
 
 _DETECTED: dict = {}
@@ -62,28 +62,24 @@ _DETECTED: dict = {}
 
 def detected(spark, sf_dir: str):
     """Roles of the ingested CSV and its evidence table; driver-side metadata, kept per state of the files."""
-    key = _state(spark, sf_dir)
+    steps = _ingest(spark, sf_dir)
+    key = id(spark.sparkContext), steps.state
     if key not in _DETECTED:
-        df = IN.load(spark, csv_path(spark, sf_dir))
-        ev = IN.written_once(spark, f"evidence|{key[1]}", lambda: RD.column_evidence(df))
+        df = steps.typed()
+        ev = IN.written_once(spark, f"evidence|{steps.state}", lambda: RD.column_evidence(df, steps.raw_shapes()))
         _DETECTED[key] = (*RD.detect(df, ev), ev)
     return _DETECTED[key]
 
 
 def loaded(spark, sf_dir: str):
-    """A1-A5 with dates parsed for the detected date roles: typed once, written once."""
-    roles = detected(spark, sf_dir)[0]
-
-    def make():
-        df = IN.load(spark, csv_path(spark, sf_dir))
-        dates = [c for c in (roles.present(r, df.columns) for r in ("date", "ship_date")) if c]
-        return df.withColumns({c: ensure_datetime(df, c) for c in dates})
-
-    return IN.written_once(spark, f"dated|{_state(spark, sf_dir)[1]}", make), roles
+    """A1-A5 with dates parsed for the detected date roles."""
+    roles, df = detected(spark, sf_dir)[0], _ingest(spark, sf_dir).typed()
+    dates = [c for c in (roles.present(r, df.columns) for r in ("date", "ship_date")) if c]
+    return df.withColumns({c: ensure_datetime(df, c) for c in dates}), roles
 
 
 def _raw(spark, sf_dir):
-    return IN.load_raw(spark, csv_path(spark, sf_dir))
+    return _ingest(spark, sf_dir).raw()
 
 
 _SRC = dict(HEADERS)
@@ -110,6 +106,10 @@ add("load_metadata", lambda spark, d: IN.load_metadata(IN.load(spark, csv_path(s
 SELECT COUNT(*) AS rows, {len(HEADERS)} AS columns, '{", ".join(DEDUPED)}' AS column_names,
        '{", ".join(f"{n}:{t}" for n, t in zip(DEDUPED, _TYPES))}' AS dtypes FROM hp"""))
 
+add("load_warnings", lambda spark, d: _ingest(spark, d).warnings(), with_fact(_H + "\nSELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT 'renamed' AS kind, 'Column {i} ''{n}'' is read as ''{new}''.' AS warning" for i, ((n, _), new) in enumerate(zip(HEADERS, DEDUPED), 1) if n != new)
+    + " UNION ALL SELECT 'dropped', 'Column ''Sales'' holds nothing.' FROM hp HAVING COUNT(sales) = 0)"))
+
 add("raw_profile", lambda spark, d: IN.raw_profile(_raw(spark, d)), with_fact(_H + ",\nm AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS \"column\", CAST(COUNT(*) - COUNT({s}) AS BIGINT) AS missing, COUNT(*) AS rows FROM hp"
     for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + f"""),
@@ -117,7 +117,7 @@ dup AS (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (S
 SELECT rows, "column", missing, (SELECT CAST(SUM(missing) AS BIGINT) FROM m) AS missing_cells_total, duplicate_rows FROM m, dup"""
     .replace("GROUP BY ALL_COLS", "GROUP BY " + ", ".join(dict.fromkeys(s for _, s in HEADERS)))))
 
-add("numeric_coercion", lambda spark, d: IN.numeric_share_table(_raw(spark, d)), with_fact(_H + "\nSELECT * FROM (" + " UNION ALL ".join(
+add("numeric_coercion", lambda spark, d: _ingest(spark, d).shares(), with_fact(_H + "\nSELECT * FROM (" + " UNION ALL ".join(
     (f"SELECT '{n}' AS \"column\", ROUND(COUNT({s}) / COUNT(*), 4) AS numeric_share, TRUE AS converted FROM hp" if s in _NUMERIC
      else f"SELECT '{n}' AS \"column\", 0.0 AS numeric_share, FALSE AS converted")
     for n, s in zip(DEDUPED, [s for _, s in HEADERS])) + ")"))

@@ -5,6 +5,7 @@ The mapping is plain driver-side metadata; it is never distributed.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields, replace
 
 # The 22 business roles (fixed values).
@@ -79,3 +80,13 @@ SALES_FACT_ROLES = Roles(
 # The analysis dimensions, in the order the reference walks them.
 DIMENSIONS = ("category", "subcategory", "product", "region", "state", "city", "country",
               "segment", "customer", "ship_mode")
+
+
+def plain(name: str) -> str:
+    """Lower case, anything but letters, digits and % as one blank."""
+    return re.sub("[^a-z0-9%]+", " ", name.lower()).strip()
+
+
+def speaks_of(name: str, words) -> bool:
+    """Does a column name contain one of the words?"""
+    return any(plain(w) in plain(name) for w in words)
