@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import cents, msum, profit_margin, safe_div
+from ledgerlens.operators.digests import row_counts
 from ledgerlens.operators.quantiles import with_quantiles
 from ledgerlens.roles import Roles
 
@@ -171,9 +172,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first occurrence (NULL-safe: groupBy treats NULLs equal)."""
-    g = df.groupBy(*df.columns).count()
-    return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-                 F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("row_count"))
+    return row_counts(df).select("duplicate_rows", F.col("rows").alias("row_count"))
 
 
 def non_unique_profile(df: DataFrame, roles: Roles) -> DataFrame:

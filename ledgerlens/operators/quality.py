@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import date_columns, ensure_datetime, invalid_dates
+from ledgerlens.operators.digests import row_counts
 from ledgerlens.operators.quantiles import iqr_bounds, outside, with_quantiles
 from ledgerlens.roles import Roles
 
@@ -147,8 +148,7 @@ def has_return_context(df: DataFrame) -> DataFrame:
 
 
 def _duplicates(df: DataFrame) -> DataFrame:
-    g = df.groupBy(*df.columns).count()
-    return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows_count"))
+    return row_counts(df).select(F.col("duplicate_rows").alias("duplicate_rows_count"))
 
 
 def dq_basic(df: DataFrame) -> DataFrame:

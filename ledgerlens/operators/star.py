@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bi_discount_band, cents, date_key, msum, profit_margin, safe_text
+from ledgerlens.operators.digests import numbered
 from ledgerlens.operators.windows import row_number_global
 from ledgerlens.roles import Roles
 from ledgerlens.session import materialise
@@ -76,11 +77,10 @@ def with_keys(df: DataFrame, roles: Roles, names: tuple[str, ...] = tuple(_PREFI
 
 def fact_sales(df: DataFrame, roles: Roles, row_id: bool = True, keys: DataFrame | None = None) -> DataFrame:
     """K1: one row per input row with keys, measures, margin, loss flag/amount and band.
-    ``row_id`` (a total order over all columns) is only computed when asked for."""
+    ``row_id`` (the row's digest and its number among equal rows) is only computed when asked for."""
     g = lambda r: roles.present(r, df.columns)
     num = lambda r: F.col(g(r)).cast("double") if g(r) else F.lit(0.0)
-    order = [F.col(c).asc_nulls_first() for c in df.columns]
-    base = row_number_global(df, order, "row_id") if row_id else df.withColumn("row_id", F.lit(None).cast("long"))
+    base = numbered(df, "row_id") if row_id else df.withColumn("row_id", F.lit(None).cast("string"))
     k = with_keys(base, roles, keys=key_table(df, roles) if keys is None else keys)
     s, p = num("sales"), num("profit")
     cost = num("cost") if g("cost") else s - p

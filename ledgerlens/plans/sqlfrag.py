@@ -24,6 +24,26 @@ fact0 AS (
 sf AS (SELECT *, sales - cost AS profit FROM fact0)"""
 
 
+def double_code_sql(x: str) -> str:
+    """The 64-bit code of a double (exponent and fraction as an integer, with its sign)."""
+    a = f"abs({x})"
+    m = f"({a} * pow(2.0, -floor(log2({a}))))"
+    turn = f"CASE WHEN {m} >= 2 THEN 1 WHEN {m} < 1 THEN -1 ELSE 0 END"
+    size = (f"CAST(floor(log2({a})) + {turn} + 1023 AS BIGINT) * 4503599627370496 + "
+            f"CAST(({m} * pow(2.0, -({turn})) - 1) * 4503599627370496 AS BIGINT)")
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE CAST(sign({x}) AS BIGINT) * ({size}) END)"
+
+
+def row_digest_sql(columns: dict[str, str]) -> str:
+    """MD5 of a row's canonical text; ``columns``: name to kind (text, double, time)."""
+    text = {"text": "CAST({0} AS VARCHAR)", "time": "strftime({0}, '%Y-%m-%d %H:%M:%S')"}
+    cells = []
+    for c, kind in columns.items():
+        v = f"CAST({double_code_sql(c)} AS VARCHAR)" if kind == "double" else text[kind].format(c)
+        cells.append(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({v}) || ':' || {v} END")
+    return f"md5({' || '.join(cells)})"
+
+
 def half_up_sql(sql: str, scale: int = 4) -> str:
     """Rewrite ``ROUND(expr, 4)`` as the engine-neutral ``FLOOR(expr * 10^4 + 0.5) / 10^4``."""
     out, i, key = [], 0, "ROUND("
