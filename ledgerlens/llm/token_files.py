@@ -12,11 +12,12 @@ order. The files are Parquet rows, one per segment of that sequence, so any stor
     id_nulls, id_*   documents without a doc_id (they come first), and Elias-Fano of the other doc_ids
 
 An Elias-Fano list of n values up to u takes about 2 + log2(u / n) bits per value: the low bits packed, the high bits as unary
-gaps, and every 64th one's place as a hint for select. A document's offset is a select in its segment plus the ids of the
-segments before, which are summed by partition first (one row per range partition), so no table of 64-bit offsets exists.
+gaps, and every 64th one's place as a hint for select. A document's offset, in lookups (``ids_of``) and in full scans alike, is
+a select in its segment plus the ids of the segments before, which are summed by partition first (one row per range partition), so no table of 64-bit offsets exists.
 
-Words are encoded by the tokenizers library and kept in a bounded cache; a tokenizer for which texts can't be cut at blanks
-(found out by trial and by the file's rules) gets whole texts.
+Words are encoded by the tokenizers library, new ones many at a time, and kept in a bounded cache; a tokenizer for which texts can't
+be cut at blanks (found out by trial and by the file's rules) gets whole texts. A text of any length is encoded whole: its ids (2 or 4 bytes
+each) and its words are in one worker's memory while it is, some 20 bytes per character.
 
 Defined results: a null or empty text has the end id only; rows that share a doc_id are ordered by a hash of the text;
 rows without an id come first; an empty table gives no rows and an empty file. Only ``doc_id`` and ``text`` are read.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,10 @@ END_ID = 1
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
 CACHE = 400_000
 HINT = 64
+#: Words that the library is asked for as one text.
+TOGETHER = 512
+#: Fixed value: what the last piece of a word ends with in such vocabularies.
+WORD_END = "</w>"
 
 SCHEMA = ("part int, seq int, before bigint, n_docs int, n_ids bigint, width int, ids binary, "
           "ends_low binary, ends_bits int, ends_high binary, ends_hints binary, id_nulls int, id_first bigint, id_low binary, id_bits int, id_high binary, id_hints binary")
@@ -48,6 +54,7 @@ class EliasFano:
 
     def __init__(self, low: bytes, bits: int, high: bytes, hints: bytes, n: int):
         self.low, self.bits, self.high, self.hints, self.n = low, bits, high, hints, n
+        self.words, self.places = np.frombuffer(high, "<u8").tolist(), np.frombuffer(hints, "<u4").tolist()
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -76,14 +83,13 @@ class EliasFano:
         """Value number i: from the nearest hint, over whole words, then within one word."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        words = np.frombuffer(self.high, "<u8")
-        at = int(np.frombuffer(self.hints, "<u4")[i // HINT])
+        at = self.places[i // HINT]
         left, k = i % HINT, at // 64
-        word = int(words[k]) >> (at % 64) << (at % 64)
-        while left >= word.bit_count():
-            left -= word.bit_count()
+        word = self.words[k] >> (at % 64) << (at % 64)
+        while left >= (n := word.bit_count()):
+            left -= n
             k += 1
-            word = int(words[k])
+            word = self.words[k]
         for _ in range(left):
             word &= word - 1
         place = k * 64 + (word & -word).bit_length() - 1
@@ -112,6 +118,11 @@ class WordEncoder:
             rules = json.load(f).get("pre_tokenizer") or {}
         first = (rules.get("pretokenizers") or [rules])[0]
         self.by_word = first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed" and first.get("pattern", {}).get("Regex") == self.CUTS and self._alike()
+        words = self.tokenizer.get_vocab()
+        self.width = 2 if max(words.values()) < 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
@@ -120,6 +131,20 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of letters: many are asked for as one text and told apart by the ids that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            ids = np.array(self._ids([" ".join(some)])[0], self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
+            if len(ends) != len(some):
+                return [np.array(x, self.kind).tobytes() for x in self._ids(words)]
+            raw = ids.tobytes()
+            ends = ends.tolist()
+            out += [raw[x:y] for x, y in zip([0, *ends], ends)]
+        return out
+
     def _alike(self) -> bool:
         a, b, both = self._ids(["Two", "words.", " Two\n words. "])
         words = self._ids(["Éa", "éa", "*|", "ÉA*|"])
@@ -127,31 +152,37 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, ``width`` bytes each."""
         if not self.by_word:
-            return [np.array(x, "<u4").tobytes() for x in self._ids(texts)]
+            return [np.array(x, self.kind).tobytes() for x in self._ids(texts)]
         if len(self.cache) > CACHE:  # the generation before serves words that come again
             self.cache, self.older = {"": b""}, self.cache
         if len(self.parts) > CACHE:
             self.parts, self.older_parts = {"": b""}, self.parts
         cache, older, parts, older_parts = self.cache, self.older, self.parts, self.older_parts
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {w for ws in words for w in ws if w not in cache}
-        ask, new = {}, set()
+        missing = set(chain.from_iterable(words)).difference(cache)
+        ask, plain, other = {}, set(), set()
         for w in missing:
             if (known := older.get(w)) is not None:
                 cache[w] = known
                 continue
             m = self.PLAIN.fullmatch(w)
             ask[w] = pair = (m[1].lower(), m[2]) if m else (w, "")
-            for p in pair:
+            for p, new in zip(pair, (plain if m else other, other)):
                 if p not in parts:
                     if (known := older_parts.get(p)) is not None:
                         parts[p] = known
                     else:
                         new.add(p)
-        asked = list(new)
+        asked = list(other)
         for p, ids in zip(asked, self._ids(asked)):
-            parts[p] = np.array(ids, "<u4").tobytes()
+            parts[p] = np.array(ids, self.kind).tobytes()
+        asked = list(plain)
+        parts.update(zip(asked, self._word_ids(asked)))
         for w, (p, q) in ask.items():
             cache[w] = parts[p] + parts[q]
         out = [b"".join(map(cache.__getitem__, ws)) for ws in words]
@@ -173,50 +204,47 @@ def _encoder(path: str) -> WordEncoder:
 class _Segment:
     """Documents gathered for one row of the file."""
 
-    def __init__(self):
-        self.doc_ids, self.ids, self.n_ids = [], [], 0
+    def __init__(self, width: int):
+        self.doc_ids, self.ids, self.n_ids, self.width = [], [], 0, width
 
     def add(self, doc_id, ids: bytes) -> None:
         self.doc_ids.append(doc_id)
         self.ids.append(ids)
-        self.n_ids += len(ids) // 4
+        self.n_ids += len(ids) // self.width
 
     def full(self) -> bool:
         return self.n_ids >= SEGMENT_IDS or len(self.ids) >= SEGMENT_DOCS
 
     def row(self, part: int, seq: int, before: int) -> tuple:
-        ids = np.frombuffer(b"".join(self.ids), "<u4")
-        width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-        ends = EliasFano.of(np.cumsum([len(x) // 4 for x in self.ids]))
+        ends = EliasFano.of(np.cumsum([len(x) // self.width for x in self.ids]))
         known = [d for d in self.doc_ids if d is not None]
         first = known[0] if known else 0
         names = EliasFano.of(np.array([d - first for d in known], np.uint64))
-        return (part, seq, before, len(self.ids), self.n_ids, width, ids.astype(f"<u{width}").tobytes(), ends.low, ends.bits, ends.high, ends.hints,
+        return (part, seq, before, len(self.ids), self.n_ids, self.width, b"".join(self.ids), ends.low, ends.bits, ends.high, ends.hints,
                 len(self.doc_ids) - len(known), first, names.low, names.bits, names.high, names.hints)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` and write the segments to ``path``."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part, seq, before, names = TaskContext.get().partitionId(), 0, 0, [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [{"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in SCHEMA.split(", ")]
-        enc, segment = _encoder(tokenizer), _Segment()
+        enc = _encoder(tokenizer)
+        end, segment = np.array([end_id], enc.kind).tobytes(), _Segment(enc.width)
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(segment.row(part, seq, before), kinds)], names=names)
 
         for b in slices(batches, "text", 1 << 20):
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.packed(b.column(1).to_pylist())):
                 segment.add(doc_id, ids + end)
                 if segment.full():
                     yield flush()
                     before += segment.n_ids
-                    segment, seq = _Segment(), seq + 1
+                    segment, seq = _Segment(enc.width), seq + 1
         if segment.ids:
             yield flush()
 
@@ -246,7 +274,9 @@ def _documents(row: dict):
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    """One row per document from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers).
+
+    Each document's end is a select in its segment; its ids are a slice of the segment's, widened once."""
 
     def run(batches):
         import pyarrow as pa
@@ -254,12 +284,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 (row,) = b.slice(i, 1).to_pylist()
-                doc_ids, ids, ends = _documents(row)
-                begins = np.r_[0, ends[:-1]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(doc_ids, pa.int64()), pa.array(begins + row["start"]), pa.array(ends - begins),
-                    pa.array([ids[a:z].astype("<u4").tobytes() for a, z in zip(begins.tolist(), ends.tolist())], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"])
+                names = EliasFano(row["id_low"], row["id_bits"], row["id_high"], row["id_hints"], row["n_docs"] - row["id_nulls"])
+                doc_ids = [None] * row["id_nulls"] + [names.select(k) + row["id_first"] for k in range(names.n)]
+                ends = EliasFano(row["ends_low"], row["ends_bits"], row["ends_high"], row["ends_hints"], row["n_docs"])
+                edges = np.array([0, *map(ends.select, range(ends.n))], np.int64)
+                # a document may be longer than a segment is meant to be; it comes alone then
+                wide = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), ends.n, [None, pa.py_buffer(edges * 4), pa.py_buffer(wide)])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(edges[:-1] + row["start"]), pa.array(np.diff(edges)), binary.cast(pa.binary())],
+                                                 names=["doc_id", "start", "n_tokens", "ids"])
 
     return segments(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
