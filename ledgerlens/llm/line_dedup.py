@@ -10,7 +10,8 @@ the heaviest ones broadcast (a bounded top-k) and the others by a shuffled join.
 
 Defined results: a null or empty text is one empty line; documents are told apart by doc_id (a null id counts as one
 document, and never as the largest unless there is no other); rows that repeat a doc_id are handled one by one and each
-give a row; equal keys within a document count once and go or stay together. Only ``doc_id`` and ``text`` are read.
+give a row; equal keys within a document count once and go or stay together; a text of any number of lines is rebuilt in one
+walk over its dropped positions. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -53,13 +54,34 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     hashes = materialise(line_hashes(docs, min_chars), "lines")
     repeated = materialise(repeated_lines(hashes, min_docs), "repeated")
     drops = (join_unique(hashes, repeated, ["a", "b"], "n_lines", "inner").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-             .groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_set("pos").alias("drop")))
-    own = _documents(docs)
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("drop", i)), "\n"))
-    return (own.join(drops, own.doc_id.eqNullSafe(drops.id) & (own.text_key == drops.key), "left")
-            .select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")))
+             .groupBy(_doc_key("doc_id").alias("doc_key"), "text_key").agg(F.sort_array(F.collect_set("pos")).alias("drop"), F.count("*").alias("weight")))
+    own = _documents(docs).withColumn("doc_key", _doc_key("doc_id"))
+    # a row that is repeated very often meets its positions by broadcast
+    both = join_unique(own, materialise(drops, "drops"), ["doc_key", "text_key"], "weight")
+    found = both.select("doc_id", _bind(F.struct(F.split("text", "\n").alias("lines"), F.col("drop"), F.col("text")), _kept).alias("out"))
+    return found.select("doc_id", F.col("out.n_lines").cast("long").alias("n_lines"), F.col("out.n_dropped").cast("long").alias("n_dropped"), F.col("out.kept").alias("kept"))
+
+
+def _doc_key(doc_id: str):
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
+def _bind(value, use):
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _kept(row):
+    """n_lines, n_dropped and the text that stays: the stretches of lines between the dropped positions, in one walk."""
+    lines, drop = row["lines"], row["drop"]
+
+    def between(edges):
+        stretches = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(lines, F.get(edges, i - 1) + 2, F.get(edges, i) - F.get(edges, i - 1) - 1))
+        return F.array_join(F.flatten(stretches), "\n")
+
+    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
+    return F.struct(F.size(lines).alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).alias("n_dropped"),
+                    F.when(drop.isNull(), row["text"]).otherwise(_bind(edges, between)).alias("kept"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

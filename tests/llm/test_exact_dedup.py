@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from ledgerlens.llm import exact_dedup as X
 from ledgerlens.llm.common import scratch
 
@@ -61,3 +63,31 @@ def test_the_index_side_is_not_shuffled(spark):
 def test_a_group_with_most_rows(spark):
     rows = [(i, "copy" if i % 3 else f"own {i}") for i in range(3000)]
     assert got(X.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_another_number_of_buckets_is_refused(spark):
+    path = scratch(spark, "test-index")
+    first = X.DigestIndex(spark, path, 8)
+    first.dedup(spark.createDataFrame(ROWS, "doc_id long, text string"))
+    with pytest.raises(ValueError, match="8 buckets"):
+        X.DigestIndex(spark, path, 4)
+    again = X.DigestIndex(spark, path)  # takes the number that the index has
+    assert again.buckets == 8
+    assert not any(r.kept for r in again.dedup(spark.createDataFrame(ROWS, "doc_id long, text string")).collect())
+    assert X.DigestIndex(spark, scratch(spark, "test-index"), expected=1_000_000_000).buckets == 500
+
+
+def test_a_batch_run_again_keeps_the_same_rows(spark):
+    index = X.DigestIndex(spark, scratch(spark, "test-index"), 4)
+    index.dedup(spark.createDataFrame([(1, "old")], "doc_id long, text string"), "monday")
+    batch = spark.createDataFrame([(4, "new"), (5, "new"), (6, "old")], "doc_id long, text string")
+    first = got(index.dedup(batch, "tuesday"))
+    assert got(index.dedup(batch, "tuesday")) == first and [r[0] for r in first if r[3]] == [4]
+    assert index.table().count() == 2
+    assert not any(r[3] for r in got(index.dedup(batch, "wednesday")))
+
+
+def test_very_long_text_and_a_row_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(X, "RUN", 7)
+    rows = [(1, "word " * 1_000_000), (2, "word  " * 1_000_000)] + [(3, "again")] * 50
+    assert got(X.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -43,3 +43,9 @@ def test_a_line_in_all_documents_and_empty_table(spark):
     assert got(spark, rows) == brute(rows)
     assert got(spark, [(1, "x")]) == brute([(1, "x")])
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_many_lines_and_a_row_repeated_often(spark):
+    shared = "\n".join(f"a shared line of some length {k % 40_000}" for k in range(120_000))
+    rows = [(1, shared), (2, shared), (3, shared)] + [(4, "one and the same line of text\nx")] * 500 + [(5, "One and the same line of text"), (6, "one and the same line of text ")]
+    assert got(spark, rows) == brute(rows)
