@@ -16,7 +16,7 @@ backslash. A row whose text holds several turns gives several.
 
 Defined results: null text is one blank line; null or unknown roles name nobody, but a row's first line still starts a turn; rows without conv_id are one
 conversation; a null turn comes first; rows of one turn number are ordered by a hash; repeated rows count once in the
-sequence and each give their turns; an empty table gives no rows. Only conv_id, turn, role and text are read.
+sequence and each give their turns; a line of any length is read in one go; an empty table gives no rows. Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ ALIASES = {
 }
 NONE, UNKNOWN = 3, 4  # markers: 0 to 2 are the roles; UNKNOWN: a row starts, and no name says whose it is
 FEATURES = ("blank", "question", "list", "short", "middle", "long")
-MARK = re.compile(r"\s*(?:#+\s*|[-*>]\s+)?(?:\*\*|\[|<\|?|\()?\s*([A-Za-z]{1,12})(?:\s*#?\d+)?\s*(?:\*\*|\]|\|?>|\))?\s*(?:\*\*)?\s*(:|>|(?<=[\]*)>])\s*-)(?:\*\*)?\s*")
+#: A marker at a line's start; blanks are taken once and never given back, so a line is read in one go.
+MARK = re.compile(r"\s*+(?:#++\s*+|[-*>]\s++)?(?:\*\*|\[|<\|?|\()?\s*+([A-Za-z]{1,12})(?:\s*+#?\d++)?(?:\s*+(?:\*\*|\]|\|?>|\)))?(?:\s*+\*\*)?(?:\s*+[:>]|(?<=[\]*)>])\s*+-)(?:\*\*)?\s*+")
 LISTED = re.compile(r"\s*(?:[-*+>]\s|\d+[.)]\s|```|\t|    )")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: log probability of each marker at the start of a turn and within one; state 2 r starts role r, 2 r + 1 goes on.
@@ -149,15 +150,43 @@ def _sorted(obs: DataFrame) -> DataFrame:
     return obs.repartition("seg").sortWithinPartitions("seg", "conv_id", "turn", "tie").select("seg", "conv_id", "turn", "tie", "obs")
 
 
-def fit(obs: DataFrame) -> Model:
-    """Counts over all conversations, from lines whose role a marker gives and the lines after them."""
+def _entries(obs: DataFrame) -> dict:
+    """For range partitions that begin amid a conversation: that conversation and the role that its lines so far leave.
+
+    A row's first line always names a role or an unknown one, so the last row of a partition settles it."""
+    def run(batches):
+        import pyarrow as pa
+
+        ends: dict = {}
+        for (seg, conv), rows in _pieces(batches):
+            role = None
+            for marker, _ in _lines([rows[-1][4]]).tolist():
+                role = marker if marker < 3 else None if marker == UNKNOWN else role
+            first = ends[seg][0] if seg in ends else conv
+            ends[seg] = (first, conv, role)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(list(ends), pa.int32()), *[pa.array([e[i] for e in ends.values()], pa.int64()) for i in range(3)]], names=["seg", "first", "last", "role"])
+
+    # one row a range partition
+    rows = sorted(_sorted(obs).mapInArrow(run, "seg int, first long, last long, role long").collect(), key=lambda r: r["seg"])
+    return {z["seg"]: (z["first"], a["role"]) for a, z in zip(rows, rows[1:]) if a["last"] == z["first"]}
+
+
+def counts(obs: DataFrame) -> np.ndarray:
+    """What the model counts over all conversations, wherever range partitions cut them: from lines whose role a marker
+    gives and the lines after them."""
+    entries = obs.sparkSession.sparkContext.broadcast(_entries(obs))
 
     def run(batches):
         import pyarrow as pa
 
         follow, going_on, look = np.zeros((4, 3)), np.zeros((3, 2)), np.zeros((STATES, len(FEATURES)))
-        for _, rows in _pieces(batches):
+        known, begun = entries.value, set()
+        for (seg, conv), rows in _pieces(batches):
             role, first = None, True
+            if seg not in begun and seg in known:
+                role, first = known[seg][1], False
+            begun.add(seg)
             for marker, feature in _lines([r[4] for r in rows]).tolist():
                 if marker < 3:
                     follow[3 if first else role if role is not None else marker, marker] += first or role is not None
@@ -171,12 +200,16 @@ def fit(obs: DataFrame) -> Model:
                     going_on[role, 0] += 1
                     look[2 * role + 1, feature] += 1
                 first = False
-        counts = np.concatenate([follow.ravel(), going_on.ravel(), look.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["slot", "n"])
+        found = np.concatenate([follow.ravel(), going_on.ravel(), look.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["slot", "n"])
 
     sums = {r["slot"]: r["n"] for r in _sorted(obs).mapInArrow(run, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     size = 12 + 6 + STATES * len(FEATURES)  # this many rows, whatever the data
-    flat = np.array([sums.get(i, 0.0) for i in range(size)])
+    return np.array([sums.get(i, 0.0) for i in range(size)])
+
+
+def fit(obs: DataFrame) -> Model:
+    flat = counts(obs)
     return Model(flat[:12].reshape(4, 3), flat[12:18].reshape(3, 2), flat[18:].reshape(STATES, -1))
 
 
@@ -224,9 +257,8 @@ def _edges(obs: DataFrame, model: Model) -> dict:
     return out
 
 
-def recover(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, tie (a hash of role and text), states (one byte a line): one row per distinct row."""
-
+def _observed(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, tie, obs (two bytes a line) of the distinct rows, range-sorted."""
     def watch(batches):
         import pyarrow as pa
 
@@ -236,8 +268,13 @@ def recover(conversations: DataFrame) -> DataFrame:
 
     seen = (_rows(conversations).mapInArrow(watch, "conv_id long, turn long, tie long, obs binary")
             .groupBy("conv_id", "turn", "tie").agg(F.first("obs").alias("obs")))
-    ranged = seen.repartitionByRange("conv_id", "turn", "tie").sortWithinPartitions("conv_id", "turn", "tie")
-    obs = materialise(ranged.withColumn("seg", F.spark_partition_id()), "observations")
+    return seen.repartitionByRange("conv_id", "turn", "tie").sortWithinPartitions("conv_id", "turn", "tie")
+
+
+def recover(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, tie (a hash of role and text), states (one byte a line): one row per distinct row."""
+
+    obs = materialise(_observed(conversations).withColumn("seg", F.spark_partition_id()), "observations")
     model = fit(obs)
     edges = obs.sparkSession.sparkContext.broadcast(_edges(obs, model))  # at most two entries a range partition
 

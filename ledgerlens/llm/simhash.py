@@ -234,10 +234,11 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = (large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+        # a node with very many neighbours meets its least one by broadcast, so its edges stay where they are
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("low"), "n"), "low")
+        large = materialise(join_unique(both.filter("v > u"), low, ["u"], "n", "inner").select(F.col("v").alias("u"), F.col("low").alias("v")), "large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "low")
+        small = (join_unique(large, low, ["u"], "n", "inner").select(F.explode(F.array(F.struct(F.col("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
                  .select("e.*").filter("u <> v").distinct())
         edges = materialise(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -258,8 +259,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     found = components(hamming_links(classes.select("fp"), bits))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = materialise(rooted.join(ids, "root").select("fp", "component_id", "root", "n_rows"), "components")
+    ids = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "ids")
+    by_class = materialise(join_unique(rooted, ids, ["root"], "n", "inner").select("fp", "component_id", "root", "n_rows"), "components")
     return join_unique(rows, by_class, ["fp"], "n_rows", "inner").select("doc_id", "fp", "text_key", "component_id", "root")
 
 

@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 
@@ -81,3 +83,81 @@ def test_rendering_and_odd_rows(spark):
     assert got[1, 1, 0] == "<|im_start|>user\nHi\nthere<|im_end|>\n"
     assert [got[1, 2, k] for k in range(3)] == ["<|im_start|>assistant\nyes<|im_end|>\n", "<|im_start|>user\nmore?<|im_end|>\n", "<|im_start|>assistant\nno<|im_end|>\n"]
     assert C.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def plain_counts(rows):
+    """The model's counts by walking whole conversations."""
+    convs = {}
+    for c, t, tie, role, text in rows:
+        convs.setdefault(c, set()).add((t is not None, t or 0, tie, role, text))
+    follow, going_on, look = np.zeros((4, 3)), np.zeros((3, 2)), np.zeros((C.STATES, 6))
+    for rs in convs.values():
+        role, first = None, True
+        for _, _, _, said, text in sorted(rs, key=lambda r: r[:3]):
+            seen = C.observe(said, text)
+            for marker, feature in zip(seen[::2], seen[1::2]):
+                if marker < 3:
+                    if first or role is not None:
+                        follow[3 if first else role, marker] += 1
+                    if role is not None:
+                        going_on[role, 1] += 1
+                    role = marker
+                    look[2 * role, feature] += 1
+                elif marker == C.UNKNOWN:
+                    role = None
+                elif role is not None:
+                    going_on[role, 0] += 1
+                    look[2 * role + 1, feature] += 1
+                first = False
+    return np.concatenate([follow.ravel(), going_on.ravel(), look.ravel()])
+
+
+def whole(spark, rows):
+    """The query's answer by one Viterbi walk over each whole conversation, rendered turn by turn."""
+    flat = plain_counts(rows)
+    m = C.Model(flat[:12].reshape(4, 3), flat[12:18].reshape(3, 2), flat[18:].reshape(C.STATES, -1))
+    convs, out = {}, []
+    for c, t, tie, role, text in rows:
+        convs.setdefault(c, set()).add((t is not None, t or 0, tie, role, text))
+    for c, rs in convs.items():
+        rs = sorted(rs, key=lambda r: r[:3])
+        seen = [C.observe(r[3], r[4]) for r in rs]
+        states = m.trace(C._lines(seen), None, None).tolist()
+        at = 0
+        for (has, t, _, _, text), s in zip(rs, seen):
+            mine, at = states[at:at + len(s) // 2], at + len(s) // 2
+            out += [(c, t if has else None, k, r, n, C.render(r, x)) for k, (r, x, n) in enumerate(C.turns_of(None, text, bytes(mine)))]
+    return sorted(out, key=repr)
+
+
+def test_counts_and_turns_whatever_the_partitions(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", None, "who", "system"]), rng.choice(["yes", "why?", "a long line of words " * 9, "x\ny", "User: in\nBot: text", ""])) for c in range(30) for t in range(20)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").cache()
+    full = [tuple(r) for r in C._rows(d).select("conv_id", "turn", "tie", "role", "text").collect()]
+    n, answers = spark.conf.get("spark.sql.shuffle.partitions"), []
+    want = plain_counts(full)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for k in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(k))
+            obs = C.materialise(C._observed(d).withColumn("seg", C.F.spark_partition_id()), "test-observations")
+            assert obs.select("seg").distinct().count() > k // 2 and (C.counts(obs) == want).all()
+            answers.append(sorted(map(tuple, C.format_chats(d).collect()), key=repr))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert answers[0] == answers[1] == answers[2] == whole(spark, full)
+
+
+def test_marker_of_equals_the_backtracking_rule_and_is_linear():
+    old = re.compile(r"\s*(?:#+\s*|[-*>]\s+)?(?:\*\*|\[|<\|?|\()?\s*([A-Za-z]{1,12})(?:\s*#?\d+)?\s*(?:\*\*|\]|\|?>|\))?\s*(?:\*\*)?\s*(:|>|(?<=[\]*)>])\s*-)(?:\*\*)?\s*")
+    rng = random.Random(3)
+    for _ in range(60_000):
+        line = "".join(rng.choice(["user", "AI", " ", "  ", "*", "**", "#", "[", "]", "<|", "|>", ">", ":", "-", "(", ")", "7", "x"]) for _ in range(rng.randint(1, 9)))
+        a, b = old.match(line), C.MARK.match(line)
+        assert (a and (a[1], a.end())) == (b and (b[1], b.end())), line
+    begin = time.time()
+    for line in ("a" + " " * 1_000_000, " " * 1_000_000, "#" * 1_000_000, "user " + "1" * 1_000_000, "[user" + " " * 500_000 + "**" + " " * 500_000):
+        C.marker_of(line)
+    assert time.time() - begin < 1
