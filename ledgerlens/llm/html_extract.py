@@ -10,7 +10,8 @@
    menu, header, footer, sidebar, notice, advert, form, script, style or reader comments (a host with few pages shows
    no recurrence). What stays in the article is the text.
 
-The article is every outermost ``article`` element, else ``main``, else the body. Paragraphs, headings and other prose, and a
+The article is the outermost ``article`` and ``main`` elements that hold the page's text: an article within ``main`` stands
+for it when it has more than half of its text, one outside when it has more than all of it; else it is the body. Paragraphs, headings and other prose, and a
 subtree with more than half of a page's text, are never template, and neither are the parts of an article that recur with
 the whole of it: copies of an article on one host keep their text. Copies that differ elsewhere in the article count as
 different articles.
@@ -49,17 +50,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr caption figcaption".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+CONTAINERS = frozenset("ul ol dl table select article div section body".split())
 SCOPE = frozenset("article body div html main ol section table td th ul".split())
 NEVER_TEXT = frozenset("head script style noscript template nav aside footer form button select option input textarea iframe svg canvas object audio video dialog menu title link meta".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Names of class and id that mark what isn't the article.
-MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside cookie cookies consent notice notices
+MARKS = frozenset("""ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside cookie cookies consent gdpr notice notices
  banner popup modal overlay newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation
  footer header masthead topbar comment comments disqus respond replies pagination pager widget toolbar skip login search""".split())
 COMMENTS = frozenset("comment comments disqus respond replies".split())
 HEADS = frozenset("header masthead".split())
 # Words of place and form that a mark's name may have before and after it ('site-footer', 'comment-list').
-BEFORE = frozenset("site global main primary secondary top bottom left right user reader page post article entry".split())
+BEFORE = frozenset("site global main primary secondary top bottom left right side user reader page post article entry wp block".split())
 AFTER = frozenset("list item items box block bar area section wrap wrapper container inner content body link links button buttons icon icons form posts articles stories left right thread slot unit primary secondary".split())
 SITE = frozenset("site global".split())
 
@@ -83,11 +85,15 @@ def marks_of(names: str) -> frozenset[str]:
 
 
 class Element:
-    __slots__ = ("tag", "marks", "marked", "role", "children", "parent", "key", "size", "keeps")
+    __slots__ = ("tag", "marks", "marked", "role", "children", "parent", "key", "size", "inside", "scope", "listed")
 
     def __init__(self, tag: str, attributes: str, parent):
         self.tag, self.parent, self.children, self.marks, self.marked, self.role = tag, parent, [], (), frozenset(), ""
-        self.key, self.size, self.keeps = 0, 0, False
+        self.key, self.size = 0, 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        # open elements by tag since the nearest scope and the nearest container, shared along the way down
+        self.scope = {} if parent is None or tag in SCOPE else parent.scope
+        self.listed = {} if parent is None or tag in CONTAINERS else parent.listed
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or not attributes.islower()):
             found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}"
@@ -105,13 +111,7 @@ class Element:
         if not HEADS.issuperset(marked):
             return True
         # in an article a header has the headline
-        return (self.tag == "header" or bool(marked)) and not any(a.tag in ("article", "main") for a in self.above())
-
-    def above(self):
-        at = self.parent
-        while at is not None:
-            yield at
-            at = at.parent
+        return (self.tag == "header" or bool(marked)) and not self.inside
 
     def within(self):
         """All elements below, depth first in page order, without recursion."""
@@ -123,44 +123,54 @@ class Element:
 
 
 def parse(html: str) -> Element:
+    """The page's elements, in one go: whether a tag is open is known from counts, so a tag that closes nothing costs nothing."""
     root = at = Element("#page", "", None)
+    opened: dict[str, int] = {}  # of all open elements
     pos, n = 0, len(html)
+    stop = html.rfind(">") + 1  # no tag ends after it
+
+    def leave(node: Element, to: Element) -> Element:
+        while node is not to:
+            for count in (opened, node.scope, node.listed):
+                count[node.tag] -= 1
+            node = node.parent
+        return to
+
     while pos < n:
-        m = _TAG.search(html, pos)
+        m = _TAG.search(html, pos, stop)
         if m is None:
             rest = html[pos:]
-            # a tag that breaks off at the end of the page is no text
-            cut = re.search(r"<(?:/?[a-zA-Z][^<>]*|[/!?][^<>]*)\Z", rest)
+            # a comment or a tag that breaks off at the end of the page is no text
+            cut = re.search(r"<!--|<(?:/?[a-zA-Z][^<>]*|[/!?][^<>]*)\Z", rest)
             at.children.append(rest[:cut.start()] if cut else rest)
             break
         if m.start() > pos:
             at.children.append(html[pos:m.start()])
         pos = m.end()
         if m[2] is None:
+            if pos == stop and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that doesn't end
             continue
         tag = m[2].lower()
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                if node.tag in SCOPE and tag not in SCOPE:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if (opened if tag in SCOPE else at.scope).get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(at, node.parent)
             continue
         if tag in CLOSES_P:
-            node = at
-            while node is not root and node.tag != "p" and node.tag not in SCOPE:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
+            if at.scope.get("p"):
+                node = at
+                while node.tag != "p":
+                    node = node.parent
+                at = leave(at, node.parent)
         elif tag in SIBLINGS:
-            node = at
-            while node is not root and node.tag not in SIBLINGS[tag] and node.tag not in ("ul", "ol", "dl", "table", "select", "article", "div", "section", "body"):
-                node = node.parent
-            while node is not root and node.tag in SIBLINGS[tag]:
-                at = node = node.parent
+            while any(at.listed.get(t) for t in SIBLINGS[tag]):
+                node = at
+                while node.tag not in SIBLINGS[tag]:
+                    node = node.parent
+                at = leave(at, node.parent)
         element = Element(tag, m[3], at)
         at.children.append(element)
         if tag in VOID or m[3].endswith("/") and tag not in RAW:
@@ -170,26 +180,72 @@ def parse(html: str) -> Element:
             element.children.append(html[pos:end.start()] if end else html[pos:])
             pos = end.end() if end else n
             continue
+        for count in (opened, element.scope, element.listed):
+            count[tag] = count.get(tag, 0) + 1
         at = element
     return root
 
 
-def article_of(root: Element) -> list[Element]:
-    """The outermost articles that aren't inside anything unwanted, else main, else the page."""
-    for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or e.role == "main"):
-        found = [e for e in root.within() if wanted(e) and e.marked.isdisjoint(("comment", "comments", "ad", "ads", "related")) and not any(wanted(a) or a.tag in NEVER_TEXT for a in e.above())]
-        if found:
-            return found
-    return [root]
+CARDS = frozenset(("card", "cards", "teaser", "teasers", "preview"))
+NO_ARTICLE = frozenset(("comment", "comments", "ad", "ads", "related"))
 
 
-def _measure(root: Element, articles: list[Element]) -> tuple[list[Element], set[int]]:
-    """Subtree hashes and text sizes bottom up; gives the elements that may be template and the ids of all within an article, which have keys of their own."""
+def _clean_sizes(order: list[Element], half: float) -> dict[int, int]:
+    """By id: characters of text in each element without what is marked as unwanted."""
+    sizes, kept = {}, {id(order[0])}
+    for e in order[1:]:
+        if id(e.parent) in kept and not e.unwanted(half):
+            kept.add(id(e))
+    for e in reversed(order):
+        own = sum(len(w) for c in e.children if isinstance(c, str) for w in c.split()) if id(e) in kept else 0
+        sizes[id(e)] = own + sum(sizes[id(c)] for c in e.children if isinstance(c, Element) and id(c) in kept)
+    return sizes
+
+
+def article_of(order: list[Element], half: float) -> list[Element]:
+    """The main text: of the outermost articles and ``main`` elements outside of anything unwanted, those that hold the text.
+
+    An article within ``main`` stands for it only with more than half of its text, one outside only with more than all of it.
+    Without ``main`` all outermost articles are the text, but for those that their class calls cards."""
+    is_article = lambda e: e.tag == "article"
+    is_main = lambda e: e.tag == "main" or e.role == "main"
+    hidden, in_article, in_main, found = set(), set(), {}, []
+    for e in order[1:]:
+        up = id(e.parent)
+        if up in hidden or e.tag in NEVER_TEXT:
+            hidden.add(id(e))
+            continue
+        if up in in_article or is_article(e) or (up in in_main and is_main(e)):
+            if is_article(e) and up not in in_article and e.marked.isdisjoint(NO_ARTICLE):
+                found.append((e, in_main.get(up)))
+            if up in in_article or is_article(e):
+                in_article.add(id(e))
+        elif is_main(e) and e.marked.isdisjoint(NO_ARTICLE):
+            in_main[id(e)] = e
+            found.append((e, None))
+        if up in in_main and id(e) not in in_main:
+            in_main[id(e)] = in_main[up]
+    if len(found) < 2:
+        return [e for e, _ in found] or [order[0]]
+    sizes = _clean_sizes(order, half)
+    inside, outside = [], []
+    for e, main in found:
+        if is_main(e) and not is_article(e):
+            inside += [a for a, m in found if m is e and 2 * sizes[id(a)] > sizes[id(e)]] or [e]
+        elif main is None:
+            outside.append(e)
+    outside = [e for e in outside if CARDS.isdisjoint(e.marks)] or outside
+    # beside a main element, an article outside of it counts when it holds more text
+    text = sum(sizes[id(e)] for e in inside)
+    larger = [e for e in outside if sizes[id(e)] > text]
+    return (larger or inside) if inside else outside
+
+
+def _measure(root: Element) -> list[Element]:
+    """Subtree hashes and text sizes bottom up; gives all elements in page order."""
     from xxhash import xxh64
 
     order = [root, *root.within()]
-    holders = {id(a) for e in articles for a in (e, *e.above())}
-    inner = {id(e) for a in articles for e in a.within()}
     for e in reversed(order):
         h, size = xxh64(f"{e.tag} {' '.join(e.marks)}"), 0
         for c in e.children:
@@ -203,12 +259,25 @@ def _measure(root: Element, articles: list[Element]) -> tuple[list[Element], set
             else:
                 size = 0
         e.key, e.size = h.intdigest(), size
-    half = root.size / 2
-    for e in order:
+    return order
+
+
+def _candidates(order: list[Element], articles: list[Element]) -> tuple[list[Element], set[int]]:
+    """The elements that may be template, and the ids of all within an article, which get keys of their own."""
+    holders: set[int] = set()
+    for e in articles:
+        while e is not None and id(e) not in holders:
+            holders.add(id(e))
+            e = e.parent
+    inner = {id(e) for a in articles for e in a.within()}
+    half, head, found = order[0].size / 2, set(), []
+    for e in order[1:]:
         if id(e) in inner:
             e.key ^= INNER
-    found = [e for e in order[1:] if e.tag not in INLINE and e.tag not in PROSE and e.tag not in ("html", "head", "body", *VOID) and id(e) not in holders and 0 < e.size <= half
-            and not any(a.tag == "head" for a in e.above())]
+        if id(e.parent) in head or e.parent.tag == "head":
+            head.add(id(e))
+        elif e.tag not in INLINE and e.tag not in PROSE and e.tag not in ("html", "head", "body", *VOID) and id(e) not in holders and 0 < e.size <= half:
+            found.append(e)
     return found, inner
 
 
@@ -237,8 +306,9 @@ def _signed(x: int) -> int:
 def template_keys(html: str) -> list[tuple[int, int | None, int]]:
     """Key of the subtrees of a page that may be template, the rest of the article (none outside) and 1 at the first row of a key."""
     root = parse(html)
-    articles = article_of(root)
-    found, inner = _measure(root, articles)
+    order = _measure(root)
+    articles = article_of(order, root.size / 2)
+    found, inner = _candidates(order, articles)
     rows = {(_signed(e.key), None) for e in found if id(e) not in inner}
     ids = {id(e) for e in found if id(e) in inner}
     if ids:
@@ -250,9 +320,16 @@ def template_keys(html: str) -> list[tuple[int, int | None, int]]:
 def extract(html: str, template: set[int]) -> tuple[str, int]:
     """The article's text without template subtrees and unwanted elements; how many template subtrees went."""
     root = parse(html)
-    articles = article_of(root)
-    dropped = {id(e) for e in _measure(root, articles)[0] if _signed(e.key) in template}
-    gone = sum(1 for e in root.within() if id(e) in dropped and not any(id(a) in dropped for a in e.above()))
+    order = _measure(root)
+    articles = article_of(order, root.size / 2)
+    dropped = {id(e) for e in _candidates(order, articles)[0] if _signed(e.key) in template}
+    below, gone = set(), 0
+    for e in order[1:]:
+        if id(e.parent) in below:
+            below.add(id(e))
+        elif id(e) in dropped:
+            below.add(id(e))
+            gone += 1
     out: list[str] = []
     for article in articles:
         stack: list = [article]
@@ -282,6 +359,10 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
 
 
+def _page_name():
+    return F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+
+
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
     """The subtrees of all pages (page_id, page_key, host, key) and those that are template (host, key, n_pages)."""
 
@@ -319,9 +400,10 @@ def extract_articles(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
 
     subtrees, template = site_templates(pages, min_pages, min_share)
     hits = (join_unique(subtrees, template, ["host", "key"], "n_pages", "inner")
-            .groupBy(F.col("page_id").alias("id"), F.col("page_key").alias("pk")).agg(F.collect_set("key").alias("keys")))
-    rows = _pages(pages).withColumn("page_key", F.xxhash64("url", "html"))
-    with_keys = rows.join(hits, rows.page_id.eqNullSafe(hits.id) & (rows.page_key == hits.pk), "left").select("page_id", "url", "html", "keys")
+            .groupBy(_page_name().alias("page_name"), "page_key").agg(F.collect_set("key").alias("keys"), F.count("*").alias("weight")))
+    rows = _pages(pages).withColumn("page_key", F.xxhash64("url", "html")).withColumn("page_name", _page_name())
+    # a page that is repeated very often meets its keys by broadcast
+    with_keys = join_unique(rows, materialise(hits, "hits"), ["page_name", "page_key"], "weight").select("page_id", "url", "html", "keys")
     return with_keys.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
 
 

@@ -1,3 +1,5 @@
+import time
+
 from ledgerlens.llm import html_extract as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
@@ -68,3 +70,57 @@ def test_class_marks_are_whole_names_and_leave_the_page_its_text():
     for name in ("ad", "main-nav", "cookie-notice", "site-header", "comment-list", "related-posts", "sidebar-2", "x menu", "post_navigation"):
         assert H.extract(f'<div class="{name}">gone</div><p>{long}</p>', set())[0] == long, name
     assert H.extract('<main><p>short</p><div id="comments">a long thread of what readers said</div></main>', set())[0] == "short"
+
+
+def test_main_text_is_not_lost_to_cards():
+    card = '<article class="card"><p>related teaser</p></article>'
+    long = "the main story goes on for quite some words"
+    for page in (f"<main><p>{long}</p>{card}</main>", f"<main><article><p>{long}</p></article>{card}</main>", f"<main><p>{long}</p></main>{card}", f"<article><p>{long}</p></article>{card}",
+                 f"<article><p>{long}</p></article><main><p>short</p></main>", f"<main><article><p>{long}</p></article><div class=comments>{long} {long}</div></main>", f"<article><main><p>{long}</p></main></article>"):
+        got = H.extract(page, set())[0]
+        assert got in (long, f"{long} related teaser") and (got == long or page.startswith("<main><p>")), page
+    for name in ("wp-block-comments", "adsbygoogle", "gdpr-notice", "side-menu"):
+        assert H.extract(f'<article><p>{long}</p><div class="{name}">gone</div></article>', set())[0] == long, name
+
+
+def test_stray_tags_deep_nests_and_unclosed_tags_are_read_in_one_go():
+    n = 20_000
+    pages = ["<i>" * n + "</b>" * n + "x", "<div>" * n + "</section>" * n + "x", "<b>" * n + "<h1>" * n + "x", "<article>" * n + "x", "<header>" * n + "x", "<a <a " * n, "x" + "<a href='" * n, "<i>" * n + "<li></li>" * n + "x",
+             "<!-- <a" + " <a" * n, "<p>" * n + "x", "<table><tr><td>" * n + "x"]
+    for page in pages:
+        at = time.time()
+        H.template_keys(page)
+        text = H.extract(page, set())[0]
+        assert time.time() - at < 10 and (text in ("x", "") or "<a" in page), (page[:20], time.time() - at, text[:20])
+
+
+def _elements(node):
+    yield node
+    for c in node.children:
+        if isinstance(c, H.Element):
+            yield from _elements(c)
+
+
+def _shape(e):
+    """A subtree spelt out: what its hash stands for."""
+    return (e.tag, tuple(e.marks), tuple(_shape(c) if isinstance(c, H.Element) else " ".join(c.split()) for c in e.children))
+
+
+def test_site_templates_against_counting_whole_subtrees(spark):
+    import random
+
+    rng = random.Random(11)
+    boxes = [f"<div class=b{k}>box number {k}<ul><li>x<li>y{k}</ul></div>" for k in range(6)]
+    rows = []
+    for i in range(60):
+        body = "".join(rng.sample(boxes, rng.randint(0, 4))) + f"<section><p>{'words of page ' * rng.randint(20, 30)}{i}</p></section>"
+        rows.append((i, f"http://h{i % 3}/", f"<body>{body}<div>page {i}</div></body>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = {}
+    for i, url, html in rows:
+        root = H.parse(html)
+        size = lambda e: sum(size(c) if isinstance(c, H.Element) else len("".join(c.split())) for c in e.children)
+        for shape in {_shape(e) for e in _elements(root) if e.tag in ("div", "ul", "section") and 0 < size(e) <= size(root) / 2}:
+            pages.setdefault((url[7:9], shape), set()).add(i)
+    want = sorted((h, len(s)) for (h, _), s in pages.items() if len(s) >= H.MIN_PAGES)
+    assert want and sorted((r.host, r.n_pages) for r in H.site_templates(d)[1].collect()) == want
