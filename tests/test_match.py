@@ -48,3 +48,58 @@ def test_fuzzy_follows_difflib(spark):
     assert got == want and len(want) >= 4
     # golden rows
     assert got["product0123"] == "product0123" and "nothing" not in got
+
+
+def test_pairs_that_reach_difflib_are_few_and_hold_all_close_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(3, 14))).strip() for _ in range(700)})
+    names = [n for n in names if len(n) >= 3]
+    near = lambda n: "".join(c for c in n if rng.random() > 0.06) + rng.choice(["", "a"])
+    words = sorted({w for n in names for w in (near(n), near(n)) if len(w) >= 3})
+    pairs = {tuple(r) for r in M.fuzzy_pairs(spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([(n,) for n in names], "lv string")).collect()}
+    close = {(w, n) for w in words for n in names if difflib.SequenceMatcher(None, n, w).ratio() >= M.FUZZY_CUTOFF}
+    assert close <= pairs and len(close) > 300
+    assert len(pairs) < 0.02 * len(words) * len(names)   # five letters only; a shared bigram holds for nearly all
+
+
+def test_a_text_sends_only_what_may_be_an_anchor(spark, tables):
+    texts, df = tables
+    values = M.dimension_values(df, Roles(region="region", category="category", customer="customer"))
+    anchors = M.anchored(values).cache()
+    pieces = M.text_pieces(texts.selectExpr("text_id", "lower(text) as q"), anchors)
+    known = {r.gram for r in anchors.collect()}
+    got = {(r.text_id, r.gram) for r in pieces.collect()}
+    assert {(t, g) for t, x in TEXTS for g in known if g in (x or "").lower()} <= got and len(got) < 30
+
+
+def test_query_on_the_given_tables_against_difflib(spark):
+    from ledgerlens.plans import q_match, registry
+    from tests.conftest import SMALL
+
+    registry.load_all()
+    texts = {r.text_id: r.text for r in q_match._texts(spark, SMALL).collect()}
+    df, roles = q_match.prepared_fact(spark, SMALL)
+    values = [tuple(r) for r in M.dimension_values(df, roles).select("dim_order", "dimension", "value", "lv").collect()]
+    by_dim, best = {}, {}
+    for _, dim, value, lv in values:
+        by_dim.setdefault(dim, {}).setdefault(lv, []).append(value)
+    want = set()
+    for tid, text in texts.items():
+        hits = {}
+        for order, dim, value, lv in values:
+            if lv in text.lower():
+                exact = re.search(r"\b" + re.escape(lv) + r"\b", text.lower()) is not None
+                hits[(dim, value)] = (1.0 if exact else 0.85, "exact" if exact else "partial", order)
+        for w in {w for w in re.findall(r"[a-zA-Z0-9]+", text.lower()) if len(w) >= 3}:
+            for dim, names in by_dim.items():
+                if (w, dim) not in best:
+                    best[w, dim] = difflib.get_close_matches(w, list(names), n=1, cutoff=0.88)
+                for lv in best[w, dim]:
+                    value = min(names[lv])
+                    hits.setdefault((dim, value), (0.75, "fuzzy", next(o for o, d, *_ in values if d == dim)))
+        ranked = sorted(hits.items(), key=lambda h: (-h[1][0], h[1][2], h[0][1]))[:5]
+        want |= {(tid, dim, value, conf, kind, k) for k, ((dim, value), (conf, kind, _)) in enumerate(ranked, 1)}
+    got = {(r.text_id, r.dimension, r.value, r.confidence, r.match_type, r["rank"]) for r in registry.QUERIES["dimension_value_match_fuzzy"](spark, SMALL).collect()}
+    assert got == want and any(g[4] == "fuzzy" for g in got)
