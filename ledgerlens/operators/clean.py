@@ -36,6 +36,17 @@ COST_MEDIAN_MAX_GAP = 0.05      # I4: median-fill cost only when <= 5 % of rows
 DISCOUNT_ZERO_SHARE = 0.25      # I6
 DISCOUNT_SMALL_MEDIAN = 5.0     # I6
 OTHER_NUMERIC_PARSE_SHARE = 0.75  # I9
+# What a treatment means for the results, by role.
+IMPACT = {
+    "sales": "rows without sales stay out of sales figures",
+    "profit": "profit is worked out where it can be and never averaged",
+    "cost": "cost is completed only by formula or over a small gap",
+    "quantity": "volumes use the formula first and the median second",
+    "discount": "blank discounts follow a stated rule",
+    "label": "rows show under an Unknown group",
+    "date": "rows without a date stay out of trends and forecasts",
+    "other": "the column is completed by a stated statistic",
+}
 # ------------------------------------------------------------------------
 
 
@@ -141,7 +152,8 @@ def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = No
     def entry(column, role, before, treatment, fixed=0, derived=0, filled=0, still=0, value=None):
         log.append(dict(column=column, role=role, missing_before=int(before), treatment=treatment,
                         values_fixed=int(fixed), values_derived=int(derived), values_filled=int(filled),
-                        values_still_missing=int(still), method_value=value))
+                        values_excluded=int(still),
+                        values_still_missing=int(still), method_value=value, impact=IMPACT[role]))
 
     s, p, c, q, up, m, d = (r[k] for k in ("sales", "profit", "cost", "quantity", "unit_price", "margin_percent", "discount"))
 
@@ -260,9 +272,9 @@ def treatment_log(spark, df: DataFrame, roles: Roles) -> DataFrame:
     x, r2 = derive_profit(x, roles)
     _, log = treat_missing(x, r2, nulls)
     schema = ("column string, role string, missing_before long, treatment string, values_fixed long, "
-              "values_derived long, values_filled long, values_still_missing long, method_value double")
+              "values_derived long, values_filled long, values_excluded long, values_still_missing long, method_value double, impact string")
     keys = ("column", "role", "missing_before", "treatment", "values_fixed", "values_derived", "values_filled",
-            "values_still_missing", "method_value")
+            "values_excluded", "values_still_missing", "method_value", "impact")
     # one row per treated column: bounded by the number of columns, never by the data
     return spark.createDataFrame([tuple(float(e[k]) if k == "method_value" and e[k] is not None else e[k] for k in keys)
                                   for e in log], schema)

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import bi_discount_band, ci_equals, msum, month_key, profit_margin, quarter_key
+from ledgerlens.operators.digests import numbered
 from ledgerlens.operators.grouped import performance
-from ledgerlens.operators.windows import row_number_global
 from ledgerlens.roles import Roles
 
 
@@ -118,8 +118,8 @@ def values_not_found(df: DataFrame, roles: Roles, values: list[str], dims: list[
 
 
 def bi_projection(df: DataFrame, roles: Roles) -> DataFrame:
-    """C11: BI-ready columns.  Without an order id each row gets its own key ``ROW-<i>``, numbered in the
-    total order of all columns (a distributed prefix)."""
+    """C11: BI-ready columns.  Without an order id each row gets a key of its own, ``ROW-`` and its stable id (digest of the
+    row and number among equal rows)."""
     def num(role):
         c = roles.present(role, df.columns)
         return F.col(c).cast("double") if c else F.lit(0.0)
@@ -127,7 +127,7 @@ def bi_projection(df: DataFrame, roles: Roles) -> DataFrame:
     o, dt = roles.present("order_id", df.columns), roles.present("date", df.columns)
     key = F.col(o).cast("string") if o else F.concat(F.lit("ROW-"), F.col("_row").cast("string"))
     if not o:
-        df = row_number_global(df, [F.col(c).asc_nulls_first() for c in df.columns], "_row")
+        df = numbered(df, "_row")
     out = df.select(
         *[c for c in df.columns if c != "_row"], s.alias("bi_sales"), p.alias("bi_profit"), q.alias("bi_quantity"), d.alias("bi_discount"),
         (s - p).alias("bi_cost"), profit_margin(p, s).alias("bi_margin_percent"),
@@ -140,17 +140,6 @@ def bi_projection(df: DataFrame, roles: Roles) -> DataFrame:
               .withColumn("bi_quarter", F.coalesce(F.concat(F.lit("Q"), F.quarter("bi_date").cast("string")), F.lit("Unknown")))
 
 
-def period_filter(df: DataFrame, roles: Roles, years: list[int] | None = None, lo: int | None = None,
-                  hi: int | None = None) -> DataFrame:
-    """A list of years, or lo..hi, else all years."""
-    d = F.year(F.col(roles.present("date", df.columns)))
-    if years:
-        return df.where(d.isin(years))
-    if lo is not None and hi is not None:
-        return df.where(d.between(lo, hi))
-    return df
-
-
 __all__ = ["entity_filter", "entity_filter_lenient", "dashboard_filter", "loss_rows", "high_discount_loss_rows",
-           "multi_condition_loss", "unprofitable_pct", "values_not_found", "bi_projection", "period_filter",
+           "multi_condition_loss", "unprofitable_pct", "values_not_found", "bi_projection",
            "performance", "quarter_key"]

@@ -6,16 +6,18 @@ above (bounded row counts), so the composite is still one lazy Spark plan.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import bi_discount_band as bi_band, cents, month_key, msum, profit_margin
+from ledgerlens.functions.scalars import bi_discount_band as bi_band, cents, month_key, msum, profit_margin, round_doubles
 from ledgerlens.operators import customer as CU
 from ledgerlens.operators import portfolio as PF
 from ledgerlens.operators import profit as PR
 from ledgerlens.operators.filters import entity_filter_lenient
+from ledgerlens.operators.grouped import PERF_COLUMNS
 from ledgerlens.roles import Roles
 from ledgerlens.session import materialise
 
@@ -162,7 +164,8 @@ def hidden_insights(df: DataFrame, roles: Roles, shared: Shared | None = None) -
     reg = PF.weak_regions(df, roles).limit(1)
     d = reg.select(F.concat(F.lit("Weak region: "), F.col("dimension_value")).alias("title"), F.lit("Medium").alias("severity"),
                    F.lit("Region").alias("business_area"), "sales", "profit", "profit_margin_percent", F.lit(3).alias("_area"), F.lit(1).alias("_pos"))
-    u = a.unionByName(b).unionByName(c).unionByName(d).dropDuplicates(["title"])
+    first = Window.partitionBy("title").orderBy("_area", "_pos")
+    u = a.unionByName(b).unionByName(c).unionByName(d).withColumn("_turn", F.row_number().over(first)).where(F.col("_turn") == 1).drop("_turn")
     w = Window.orderBy("_area", "_pos", "title")
     return u.withColumn("position", F.row_number().over(w)).where(F.col("position") <= MAX_INSIGHTS).drop("_area", "_pos").orderBy("position")
 
@@ -227,29 +230,98 @@ def headline_flags(df: DataFrame, roles: Roles) -> DataFrame:
                      (F.col("loss_rows") > 0).alias("losses_present"), "loss_rows", "products", "customers")
 
 
-def analyst_bundle(df: DataFrame, roles: Roles, entities: list[tuple[str, str]] | None = None) -> dict[str, DataFrame]:
+def entity_root_causes(df: DataFrame, roles: Roles, entities: list[tuple[str, str]]) -> DataFrame:
+    """E34 for all entities (column, value) at once: rows are keyed to the entities they belong to by one lookup in the
+    list that was asked for, and one aggregate makes a row for each entity that has any."""
+    by_column = {c: r for r, c in roles.as_dict().items()}
+    asked = [(by_column[c], c, v) for c, v in entities if c in df.columns and c in by_column]
+    columns = dict.fromkeys(c for _, c, _ in asked)
+    s, p, d = (roles.present(r, df.columns) for r in ("sales", "profit", "discount"))
+    schema = "target_dimension string, _column string, target_value string"
+    wanted = df.sparkSession.createDataFrame(asked, schema).distinct().withColumn("_key", F.lower("target_value"))
+    cells = F.array(*[F.struct(F.lit(c).alias("_column"), F.lower(F.col(c).cast("string")).alias("_key")) for c in columns]) if columns \
+        else F.array().cast("array<struct<_column:string,_key:string>>")
+    keyed = df.select(F.col(s).alias("_s"), F.col(p).alias("_p"), F.col(d).alias("_d"), F.explode(cells).alias("_e")).select("_s", "_p", "_d", "_e.*")
+    out = (keyed.join(F.broadcast(wanted), ["_column", "_key"])   # as long as the caller's list
+           .groupBy("target_dimension", "target_value")
+           .agg(msum("_s").alias("sales"), msum("_p").alias("profit"), F.coalesce(msum(F.when(F.col("_p") < 0, F.col("_p"))), F.lit(0.0)).alias("loss_amount"),
+                F.count(F.lit(1)).alias("order_count"), F.avg("_d").alias("average_discount")))
+    return (out.withColumn("margin", F.when(F.col("sales") != 0, profit_margin("profit", "sales")))
+            .withColumn("loss_making", F.col("profit") < 0).withColumn("discount_pressure", F.col("average_discount") > 20))
+
+
+class Bundle(Mapping):
+    """Tables by name, each computed when it is first asked for."""
+
+    def __init__(self, makers: dict):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+#: Areas that an analyst's question may touch.
+AREAS = ("profit", "customer", "product", "region", "time", "hidden")
+LOSS_DIMS = ("category", "subcategory", "product", "region", "segment", "customer", "discount_band")
+
+
+def analyst_bundle(df: DataFrame, roles: Roles, entities: list[tuple[str, str]] | None = None, areas: tuple[str, ...] = AREAS) -> Bundle:
     """J40 (computation part): the tables an analyst answer draws on, over the rows of the named entities (values that
-    match nothing, or nothing together, are skipped), and for each entity what stands behind its result."""
+    match nothing, or nothing together, are skipped), and what stands behind each entity's result.  ``areas`` chooses the
+    groups of tables; a table is only computed when it is asked for."""
     from ledgerlens.operators import anomaly, forecast, kpis, trend
     whole, entities = df, entities or []
     df = entity_filter_lenient(df, entities)
     sh = Shared(df, roles)
-    out = {"kpis": kpis.kpis(df, roles), "profit_summary": PR.profit_summary(df, roles, sh.top),
-           "leakage_points": sh.points, "loss_by_category": PR.loss_by(df, roles, "category"),
-           "metric_drop": trend.metric_drop(df, roles), "customer_loyalty": CU.customer_loyalty(df, roles),
-           "product_portfolio": sh.portfolio, "weak_regions": PF.weak_regions(df, roles),
-           "trend": trend.performance_over_time(df, roles, "M"), "forecast": forecast.forecast(df, roles),
-           "anomalies": anomaly.metric_outliers(df, roles), "insights": hidden_insights(df, roles, sh),
-           "recommendations": recommendations(df, roles, sh), "summary": executive_summary(df, roles, sh)}
-    by_column = {c: r for r, c in roles.as_dict().items()}
-    for column, value in entities:
-        if column in whole.columns and column in by_column:
-            out[f"root_cause_{column}"] = PR.slice_root_cause(whole, roles, by_column[column], value)
-    return out
-
-
-def bundle_summary(bundle: dict[str, DataFrame]) -> DataFrame:
-    parts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("table"), "rows") for k, t in bundle.items()]
+    has = lambda d: d == "discount_band" or roles.present(d, df.columns)
+    perf = lambda t: t.select(*PERF_COLUMNS)
+    by_area = {
+        "profit": {"profit_summary": lambda: PR.profit_summary(df, roles, sh.top), "leakage_points": lambda: sh.points,
+                   **{f"loss_by_{d}": (lambda d=d: perf(PR.loss_by(df, roles, d))) for d in LOSS_DIMS if has(d)},
+                   "relationship_summary": lambda: PR.relationship_summary(df, roles), "loss_concentration": lambda: perf(PR.loss_concentration(df, roles)),
+                   "monthly_profit": lambda: PR.monthly_profit(df, roles), "metric_drop": lambda: trend.metric_drop(df, roles)},
+        "customer": {"customer_loyalty": lambda: CU.customer_loyalty(df, roles)},
+        "product": {"product_portfolio": lambda: sh.portfolio.select(*PERF_COLUMNS, "portfolio_class")},
+        "region": {"weak_regions": lambda: PF.weak_regions(df, roles)},
+        "time": {"performance_over_time_month": lambda: trend.performance_over_time(df, roles, "M"), "forecast": lambda: forecast.forecast(df, roles),
+                 "anomaly_outliers": lambda: anomaly.metric_outliers(df, roles), "anomaly_periods": lambda: anomaly.period_anomalies(df, roles),
+                 "anomaly_low_margin": lambda: anomaly.high_sales_low_margin(df, roles)},
+        "hidden": {"hidden_insights": lambda: hidden_insights(df, roles, sh)},
+    }
+    makers = {"kpis": lambda: kpis.kpis(df, roles)}
+    for area in areas:
+        makers |= by_area[area]
+    if entities:
+        makers["entity_root_causes"] = lambda: entity_root_causes(whole, roles, entities)
+    makers["recommendations"] = lambda: recommendations(df, roles, sh)
+    makers["executive_summary"] = lambda: executive_summary(df, roles, sh)
+    return Bundle(makers)
+
+
+def cell_text(c: Column) -> Column:
+    """A cell as text that any engine can make: numbers (also in text) as whole ten-thousandths, NULL as the empty text."""
+    number = c.cast("string").try_cast("double")
+    return F.coalesce(F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e14), F.floor(number * 10000 + 0.5).cast("long").cast("string")).otherwise(c.cast("string")), F.lit(""))
+
+
+def table_digest(name: str, table: DataFrame) -> DataFrame:
+    """One row: the table's name, rows, and the sum of a 52-bit hash of every whole row (order doesn't matter)."""
+    cells = [F.concat(F.lit(f"{c}="), cell_text(F.col(f"`{c}`"))) for c in sorted(table.columns)]
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *cells).cast("binary")), 1, 13), 16, 10).cast("decimal(38,0)")
+    return (round_doubles(table).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+            .select(F.lit(name).alias("table"), "rows", "digest"))
+
+
+def bundle_digest(bundle: Mapping, names: list[str]) -> DataFrame:
+    parts = [table_digest(n, bundle[n]) for n in names]
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)

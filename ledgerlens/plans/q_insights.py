@@ -5,8 +5,10 @@ from __future__ import annotations
 from ledgerlens.operators import insights as I
 from ledgerlens.operators import portfolio as PF
 from ledgerlens.operators import profit as PR
-from ledgerlens.plans.registry import add
-from ledgerlens.plans.sqlfrag import PERF_SELECT, dim_perf_sql, dp_select, perf_sql, with_fact
+from ledgerlens.operators.filters import bi_projection
+from ledgerlens.plans.registry import ORACLE, add
+from ledgerlens.plans.sqlfrag import (BI_BAND, PERF_SELECT, STAR_COLUMNS, dim_perf_sql, dp_select, perf_sql,
+                                      row_digest_sql, with_fact)
 from ledgerlens.sources.testview import prepared_fact
 
 
@@ -45,6 +47,19 @@ FROM b, lt"""
 add("bi_summary", _op(I.bi_summary), with_fact(_BI_SUMMARY))
 add("bi_summary_no_order_id", _no_order_id(I.bi_summary), with_fact(_BI_SUMMARY.replace("COUNT(DISTINCT CAST(order_id AS VARCHAR))", "COUNT(*)")))
 
+_OWN = [c for c in STAR_COLUMNS if c != "order_id"]
+_PROJECTION = f"""
+r AS (SELECT *, {row_digest_sql({c: k for c, k in STAR_COLUMNS.items() if c != "order_id"})} AS digest FROM sf)
+SELECT {", ".join(f"ROUND({c}, 4) AS {c}" if STAR_COLUMNS[c] == "double" else c for c in _OWN)},
+       ROUND(sales, 4) AS bi_sales, ROUND(profit, 4) AS bi_profit, ROUND(quantity, 4) AS bi_quantity, ROUND(discount_pct, 4) AS bi_discount, ROUND(sales - profit, 4) AS bi_cost,
+       ROUND(CASE WHEN sales = 0 THEN 0.0 ELSE profit / sales * 100 END, 4) AS bi_margin_percent, ROUND(CASE WHEN profit < 0 THEN profit ELSE 0.0 END, 4) AS bi_loss_amount,
+       COALESCE(profit < 0, FALSE) AS bi_is_loss, {BI_BAND} AS bi_discount_band,
+       'ROW-' || digest || '-' || CAST(ROW_NUMBER() OVER (PARTITION BY digest) AS VARCHAR) AS bi_order_key, order_date AS bi_date,
+       COALESCE(strftime(order_date, '%Y-%m'), 'Unknown') AS bi_year_month, CAST(year(order_date) AS INTEGER) AS bi_year, COALESCE('Q' || CAST(quarter(order_date) AS VARCHAR), 'Unknown') AS bi_quarter FROM r"""
+add("bi_projection", _op(bi_projection), with_fact(_PROJECTION.replace("SELECT line_no", "SELECT order_id, line_no", 1).replace(
+    "'ROW-' || digest || '-' || CAST(ROW_NUMBER() OVER (PARTITION BY digest) AS VARCHAR)", "CAST(order_id AS VARCHAR)")))
+add("bi_projection_no_order_id", _no_order_id(bi_projection), with_fact(_PROJECTION))
+
 for _d in ("category", "subcategory", "product", "region", "state", "segment", "customer"):
     add(f"bi_{_d}", _op(PF.bi_group, _d), with_fact(f"""
 g AS (SELECT CAST({_d} AS VARCHAR) AS dimension_value, SUM(COALESCE(sales, 0)) AS sales, SUM(COALESCE(profit, 0)) AS profit, SUM(COALESCE(quantity, 0)) AS quantity,
@@ -57,10 +72,8 @@ SELECT dimension_value, ROUND(sales, 4) AS sales, ROUND(profit, 4) AS profit, RO
        ROUND(CASE WHEN tp <> 0 THEN profit / tp * 100 ELSE 0.0 END, 4) AS profit_contribution_percent,
        ROUND(CASE WHEN tl <> 0 THEN loss_amount / tl * 100 ELSE 0.0 END, 4) AS loss_contribution_percent FROM g, t"""))
 
-_BAND = ("CASE WHEN discount_pct IS NULL THEN 'Unknown' WHEN discount_pct <= 0 THEN '0%' WHEN discount_pct <= 10 THEN '0-10%' "
-         "WHEN discount_pct <= 20 THEN '10-20%' WHEN discount_pct <= 30 THEN '20-30%' WHEN discount_pct <= 40 THEN '30-40%' ELSE '40%+' END")
 add("bi_discount_band", _op(I.bi_discount_band), with_fact(f"""
-g AS (SELECT {_BAND} AS discount_band, SUM(sales) AS sales, SUM(profit) AS profit, COUNT(DISTINCT CAST(order_id AS VARCHAR)) AS orders,
+g AS (SELECT {BI_BAND} AS discount_band, SUM(sales) AS sales, SUM(profit) AS profit, COUNT(DISTINCT CAST(order_id AS VARCHAR)) AS orders,
              AVG(discount_pct) AS average_discount, SUM(CASE WHEN profit < 0 THEN profit ELSE 0.0 END) AS loss_amount FROM sf GROUP BY 1)
 SELECT discount_band, ROUND(sales, 4) AS sales, ROUND(profit, 4) AS profit, orders, ROUND(average_discount, 4) AS average_discount,
        ROUND(loss_amount, 4) AS loss_amount,
@@ -121,7 +134,27 @@ SELECT COUNT(*) AS rows, FALSE AS cleaned_data_used, CAST(SUM(CASE WHEN sales IS
 
 add("recommendations", _op(I.recommendations), None)
 add("executive_summary", _op(I.executive_summary), None)
-add("analyst_bundle", lambda spark, d: I.bundle_summary(I.analyst_bundle(*prepared_fact(spark, d))), None)
+
+def table_digest_sql(name: str, sql: str) -> str:
+    """The digest of a query's result: cells as text, rows by md5, summed."""
+    cell = ("CASE WHEN abs(TRY_CAST(value AS DOUBLE)) < 1e14 THEN CAST(CAST(FLOOR(TRY_CAST(value AS DOUBLE) * 10000 + 0.5) AS BIGINT) AS VARCHAR) ELSE value END")
+    return f"""SELECT '{name}' AS "table", COUNT(*) AS rows, CAST(COALESCE(SUM(CAST('0x' || substr(md5(line), 1, 13) AS HUGEINT)), 0) AS VARCHAR) AS digest FROM (
+SELECT rid, string_agg(name || '=' || COALESCE({cell}, ''), '|' ORDER BY name) AS line
+FROM (SELECT ROW_NUMBER() OVER () AS rid, CAST(COLUMNS(*) AS VARCHAR) FROM ({sql})) UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(* EXCLUDE (rid)))) GROUP BY rid)"""
+
+
+# Every measure table of the bundle that has SQL of its own; the advice that is drawn from them has queries of its own.
+_TABLES = ["kpis", "profit_summary", "leakage_points", *(f"loss_by_{d}" for d in I.LOSS_DIMS), "relationship_summary", "loss_concentration", "monthly_profit", "metric_drop", "customer_loyalty",
+           "product_portfolio", "weak_regions", "performance_over_time_month", "forecast", "anomaly_outliers", "anomaly_periods", "anomaly_low_margin", "hidden_insights"]
+
+
+def _bundle_sql() -> str:
+    """The digests of the tables' own SQL."""
+    from ledgerlens.plans import q_core, q_customer, q_forecast, q_profit, q_time  # noqa: F401  their SQL is read here
+    return "\nUNION ALL\n".join(table_digest_sql(t, ORACLE[t]) for t in _TABLES)
+
+
+add("analyst_bundle", lambda spark, d: I.bundle_digest(I.analyst_bundle(*prepared_fact(spark, d)), _TABLES), _bundle_sql())
 
 
 def _of_bundle(table, entities):
@@ -134,7 +167,7 @@ _ASIA = [("region", "asia"), ("state", "no such state")]
 add("analyst_leakage_of_entity", _of_bundle("leakage_points", _ASIA), with_fact(
     "sfe AS (SELECT * FROM sf WHERE lower(region) = 'asia')," + dim_perf_sql(PR.LEAKAGE_DIMS, source="sfe") + f"""
 SELECT {dp_select()} FROM dp WHERE profit < 0 OR profit_margin_percent < 5"""))
-add("analyst_root_cause_of_entity", _of_bundle("root_cause_region", _ASIA), with_fact("""
+add("analyst_root_cause_of_entity", _of_bundle("entity_root_causes", _ASIA), with_fact("""
 SELECT 'region' AS target_dimension, 'asia' AS target_value, ROUND(SUM(sales), 4) AS sales, ROUND(SUM(profit), 4) AS profit,
        ROUND(COALESCE(SUM(CASE WHEN profit < 0 THEN profit END), 0), 4) AS loss_amount, COUNT(*) AS order_count,
        ROUND(AVG(discount_pct), 4) AS average_discount,

@@ -232,4 +232,5 @@ l AS (
          FROM n0 WHERE n0.order_date > 0)
 SELECT "column", role, CAST(missing_before AS BIGINT) AS missing_before, treatment, CAST(values_fixed AS BIGINT) AS values_fixed,
        CAST(values_derived AS BIGINT) AS values_derived, CAST(values_filled AS BIGINT) AS values_filled,
-       CAST(values_still_missing AS BIGINT) AS values_still_missing, ROUND(method_value, 4) AS method_value FROM l ORDER BY o"""))
+       CAST(values_still_missing AS BIGINT) AS values_excluded, CAST(values_still_missing AS BIGINT) AS values_still_missing, ROUND(method_value, 4) AS method_value,
+       CASE role """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CL.IMPACT.items()) + """ END AS impact FROM l ORDER BY o"""))

@@ -24,6 +24,14 @@ fact0 AS (
 sf AS (SELECT *, sales - cost AS profit FROM fact0)"""
 
 
+#: The fact's columns and their kinds.
+STAR_COLUMNS = {c: "double" if c in ("quantity", "unit_price", "discount_pct", "sales", "cost", "profit") else "time" if c.endswith("_date") else "text" for c in (
+    "order_id", "line_no", "order_date", "ship_date", "ship_mode", "customer_id", "customer", "segment", "region", "state",
+    "category", "subcategory", "product", "quantity", "unit_price", "discount_pct", "sales", "cost", "return_flag", "profit")}
+BI_BAND = ("CASE WHEN discount_pct IS NULL THEN 'Unknown' WHEN discount_pct <= 0 THEN '0%' WHEN discount_pct <= 10 THEN '0-10%' WHEN discount_pct <= 20 THEN '10-20%' "
+           "WHEN discount_pct <= 30 THEN '20-30%' WHEN discount_pct <= 40 THEN '30-40%' ELSE '40%+' END")
+
+
 def double_code_sql(x: str) -> str:
     """The 64-bit code of a double (exponent and fraction as an integer, with its sign)."""
     a = f"abs({x})"
