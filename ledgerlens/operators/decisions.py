@@ -69,15 +69,23 @@ def ship_mode_comparison(df: DataFrame, roles: Roles) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).orderBy("rank")
 
 
+def _moments(x: Column, y: Column, tag: str) -> list[Column]:
+    """Aggregates over the complete pairs of two columns: count, bounds, co-moment and spreads (all combined before any shuffle)."""
+    x, y = x.cast("double"), y.cast("double")
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return [F.count(a).alias(f"n{tag}"), (F.min(a) < F.max(a)).alias(f"u{tag}"), (F.min(b) < F.max(b)).alias(f"v{tag}"),
+            F.covar_pop(a, b).alias(f"c{tag}"), F.stddev_pop(a).alias(f"a{tag}"), F.stddev_pop(b).alias(f"b{tag}")]
+
+
+def _correlation(tag: str, least: int = 3) -> Column:
+    """E27 guard: >= 3 complete pairs and both sides non-constant, else NULL."""
+    ok = (F.col(f"n{tag}") >= least) & F.col(f"u{tag}") & F.col(f"v{tag}")
+    return F.when(ok, F.try_divide(F.col(f"c{tag}"), F.col(f"a{tag}") * F.col(f"b{tag}")))
+
+
 def _guarded_corr(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """E27 guard: >= 3 complete pairs and both sides non-constant, else NULL.
-    Guarded before the aggregate, so ANSI mode never divides by a zero variance."""
-    pairs = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    st = pairs.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-                   F.min("y").alias("y0"), F.max("y").alias("y1"))
-    ok = (F.col("n") >= 3) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
-    t = pairs.crossJoin(F.broadcast(st)).select(F.when(ok, F.col("x")).alias("x"), F.when(ok, F.col("y")).alias("y"), "n")
-    return t.agg(F.corr("x", "y").alias("correlation"), F.first("n").alias("valid_rows"))
+    """One row: correlation and valid_rows, from one scan."""
+    return df.agg(*_moments(x, y, "0")).select(_correlation("0").alias("correlation"), F.col("n0").alias("valid_rows"))
 
 
 def metric_correlation(df: DataFrame, roles: Roles, driver: str = "discount", target: str = "profit") -> DataFrame:
@@ -101,26 +109,25 @@ def profit_correlations(df: DataFrame, roles: Roles) -> DataFrame:
         c = _col(df, roles, r)
         if c and c in numeric and c not in cols:
             cols.append(c)
-    parts = [_guarded_corr(df, F.col(c), F.col(p)).select(F.lit(c).alias("metric"), F.col("correlation").alias("correlation_with_profit"))
-             for c in cols]
-    u = parts[0]
-    for x in parts[1:]:
-        u = u.unionByName(x)
+    one = df.agg(*[m for i, c in enumerate(cols) for m in _moments(F.col(c), F.col(p), str(i))])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), _correlation(str(i)).alias("correlation_with_profit")) for i, c in enumerate(cols)])
+    u = one.select(F.explode(rows).alias("r")).select("r.*")
     return u.where(F.col("correlation_with_profit").isNotNull()).orderBy("correlation_with_profit", "metric")
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Pearson correlation over numeric columns that have >= 2 distinct values, long format."""
     numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer", "short")]
-    mm = df.agg(*[x for c in numeric for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
-    usable = [c for c in numeric if mm[f"lo_{c}"] is not None and mm[f"lo_{c}"] != mm[f"hi_{c}"]]   # plan-deciding scalars
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}")
-            for i, a in enumerate(usable) for j, b in enumerate(usable) if i < j]
-    one = df.agg(*aggs) if aggs else df.sparkSession.range(1)
-    rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                     (F.lit(1.0) if i == j else F.col(f"{min(i, j)}_{max(i, j)}")).alias("correlation"))
-            for i, a in enumerate(usable) for j, b in enumerate(usable)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*") if rows else one.limit(0)
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    pairs = [(i, j) for i in range(len(numeric)) for j in range(len(numeric)) if i < j]
+    # all pairs and every column's own bounds from one scan; constant columns go afterwards
+    one = df.agg(*[(F.min(c) < F.max(c)).alias(f"use{i}") for i, c in enumerate(numeric)],
+                 *[m for i, j in pairs for m in _moments(F.col(numeric[i]), F.col(numeric[j]), f"{i}_{j}")])
+    rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), (F.col(f"use{i}") & F.col(f"use{j}")).alias("use"),
+                     (F.lit(1.0) if i == j else _correlation(f"{min(i, j)}_{max(i, j)}", 2)).alias("correlation"))
+            for i, a in enumerate(numeric) for j, b in enumerate(numeric)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("use").drop("use")
 
 
 def discount_summary(df: DataFrame, roles: Roles) -> DataFrame:
