@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import safe_numeric, to_double
-from ledgerlens.operators.quantiles import exact_quantiles, with_quantiles
+from ledgerlens.functions.scalars import to_double
+from ledgerlens.operators.quantiles import with_quantiles
 from ledgerlens.roles import Roles
 
 # --- fixed values --------------------------------------------------------
@@ -127,10 +127,6 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return {c: int(row[f"n{i}"] or 0) for i, c in enumerate(cols)}
 
 
-def _median(df: DataFrame, c: str):
-    return exact_quantiles(df, {"m": (F.col(c), 0.5)}).first()["m"]
-
-
 def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = None) -> tuple[DataFrame, list[dict]]:
     """I2-I9 on a frame whose percent roles are already normalised.
 
@@ -157,58 +153,60 @@ def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = No
 
     s, p, c, q, up, m, d = (r[k] for k in ("sales", "profit", "cost", "quantity", "unit_price", "margin_percent", "discount"))
 
-    # I2 sales = quantity * unit_price (never mean-filled)
+    # What formulas give comes first, for all columns: none of them needs a statistic.
+    if s and nulls[s] and q and up:                                 # I2 sales = quantity * unit_price (never mean-filled)
+        df = df.withColumn(s, F.coalesce(F.col(s), F.col(q) * F.col(up)))
+    if p and nulls[p]:                                              # I3 profit = sales - cost, then sales * margin% / 100
+        ways = [F.col(s) - F.col(c)] if s and c else []
+        ways += [F.col(s) * (F.col(m) / F.lit(100.0))] if s and m else []
+        df = df.withColumn(p, F.coalesce(F.col(p), *ways))
+    if c and nulls[c] and s and p:                                  # I4 cost = sales - profit
+        df = df.withColumn(c, F.coalesce(F.col(c), F.col(s) - F.col(p)))
+    if q and nulls[q] and s and up:                                 # I5 quantity = sales / unit_price (price 0 -> none)
+        df = df.withColumn(q, F.coalesce(F.col(q), F.try_divide(F.col(s), F.nullif(F.col(up), F.lit(0.0)))))
+    others = [x for x in cols if x not in protected and nulls.get(x) and _dtype(df, x) != "string" and not _dtype(df, x).startswith(("timestamp", "date", "bool"))]
+    # Then every count and statistic of every column from one aggregate and one quantile pass.
+    left = [x for x in (s, p, c, q) if x and nulls[x]]
+    aggs = [F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(x).isNull().cast("long")).alias(f"left_{i}") for i, x in enumerate(left)]]
+    wanted = {f"med_{x}": (F.col(x), 0.5) for x in (c, q, d) if x and nulls[x]}
+    if d and nulls[d]:
+        aggs += [F.avg(F.when(F.col(d).isNotNull(), (F.col(d) == 0).cast("double"))).alias("zero"), F.count(F.col(d)).alias("n_discount")]
+    for i, x in enumerate(others):
+        v = F.col(x).cast("double")
+        aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"sd{i}"), F.count(v).alias(f"n{i}")]
+        wanted |= {f"m{i}": (v, 0.5), f"q1_{i}": (v, 0.25), f"q3_{i}": (v, 0.75)}
+    st = with_quantiles(df.agg(*aggs), df, wanted).first()
+    still = {x: int(st[f"left_{i}"] or 0) for i, x in enumerate(left)}
+
     if s and nulls[s]:
-        if q and up:
-            df = df.withColumn(s, F.coalesce(F.col(s), F.col(q) * F.col(up)))
-        still = _null_counts(df, [s])[s]
-        entry(s, "sales", nulls[s], "derived from quantity x unit price" if nulls[s] - still else "left missing",
-              fixed=nulls[s] - still, derived=nulls[s] - still, still=still)
-    # I3 profit = sales - cost, then sales * margin% / 100
+        got = nulls[s] - still[s]
+        entry(s, "sales", nulls[s], "derived from quantity x unit price" if got else "left missing", fixed=got, derived=got, still=still[s])
     if p and nulls[p]:
-        exprs = [F.col(p)]
-        if s and c:
-            exprs.append(F.col(s) - F.col(c))
-        if s and m:
-            exprs.append(F.col(s) * (F.col(m) / F.lit(100.0)))
-        df = df.withColumn(p, F.coalesce(*exprs))
-        still = _null_counts(df, [p])[p]
-        entry(p, "profit", nulls[p], "derived from sales - cost / sales x margin %",
-              fixed=nulls[p] - still, derived=nulls[p] - still, still=still)
-    # I4 cost = sales - profit, then median when the remaining gap is small
+        got = nulls[p] - still[p]
+        entry(p, "profit", nulls[p], "derived from sales - cost / sales x margin %", fixed=got, derived=got, still=still[p])
+    # I4 then median when the remaining gap is small
     if c and nulls[c]:
-        if s and p:
-            df = df.withColumn(c, F.coalesce(F.col(c), F.col(s) - F.col(p)))
-        agg = with_quantiles(df.agg(F.sum(F.col(c).isNull().cast("long")).alias("n"), F.count(F.lit(1)).alias("rows")),
-                             df, {"med": (F.col(c), 0.5)}).first()
-        total_rows = agg["rows"]
-        still, filled = int(agg["n"] or 0), 0
-        if still and still / max(total_rows, 1) <= COST_MEDIAN_MAX_GAP and agg["med"] is not None:
-            df = df.withColumn(c, F.coalesce(F.col(c), F.lit(float(agg["med"]))))
-            filled, still = still, 0
-        entry(c, "cost", nulls[c], "derived from sales - profit; small gap median", fixed=nulls[c] - still,
-              derived=nulls[c] - still - filled, filled=filled, still=still)
-    # I5 quantity = sales / unit_price (price 0 -> none), then median
+        gap, med = still[c], st[f"med_{c}"]
+        filled = gap if gap and gap / max(st["rows"], 1) <= COST_MEDIAN_MAX_GAP and med is not None else 0
+        if filled:
+            df = df.withColumn(c, F.coalesce(F.col(c), F.lit(float(med))))
+        entry(c, "cost", nulls[c], "derived from sales - profit; small gap median", fixed=nulls[c] - gap + filled,
+              derived=nulls[c] - gap, filled=filled, still=gap - filled)
+    # I5 then median
     if q and nulls[q]:
-        if s and up:
-            df = df.withColumn(q, F.coalesce(F.col(q), F.try_divide(F.col(s), F.nullif(F.col(up), F.lit(0.0)))))
-        derived = nulls[q] - _null_counts(df, [q])[q]
-        med = _median(df, q)
-        filled = 0
+        gap, med = still[q], st[f"med_{q}"]
+        filled = gap if med is not None else 0
         if med is not None:
-            filled = nulls[q] - derived
             df = df.withColumn(q, F.coalesce(F.col(q), F.lit(float(med))))
-        still = nulls[q] - derived - filled
-        entry(q, "quantity", nulls[q], "derived from sales / unit price, then median", fixed=derived + filled,
-              derived=derived, filled=filled, still=still, value=med)
+        entry(q, "quantity", nulls[q], "derived from sales / unit price, then median", fixed=nulls[q] - gap + filled,
+              derived=nulls[q] - gap, filled=filled, still=gap - filled, value=med)
     # I6 discount: 0 when blanks likely mean "no discount", else median
     if d and nulls[d]:
-        st = with_quantiles(df.agg(F.avg(F.when(F.col(d).isNotNull(), (F.col(d) == 0).cast("double"))).alias("zero"),
-                                   F.count(F.col(d)).alias("n")), df, {"med": (F.col(d), 0.5)}).first()
-        if st["n"] and (st["zero"] >= DISCOUNT_ZERO_SHARE or st["med"] <= DISCOUNT_SMALL_MEDIAN):
+        med = st[f"med_{d}"]
+        if st["n_discount"] and (st["zero"] >= DISCOUNT_ZERO_SHARE or med <= DISCOUNT_SMALL_MEDIAN):
             fill, how = 0.0, "filled with 0 (blank means no discount)"
-        elif st["n"]:
-            fill, how = float(st["med"]), "filled with median"
+        elif st["n_discount"]:
+            fill, how = float(med), "filled with median"
         else:
             fill, how = None, "left missing"
         if fill is not None:
@@ -227,26 +225,26 @@ def treat_missing(df: DataFrame, roles: Roles, nulls: dict[str, int] | None = No
         if nulls.get(col):
             entry(col, "date", nulls[col], "not filled; excluded from time analysis", still=nulls[col])
     # I9 other numeric columns with gaps: median if skewed else mean
-    for col in cols:
-        if col in protected or not nulls.get(col):
+    bounds = {}
+    for i, x in enumerate(others):
+        iqr = st[f"q3_{i}"] - st[f"q1_{i}"] if st[f"n{i}"] else 0
+        if st[f"n{i}"] >= 4 and iqr:
+            bounds[i] = (st[f"q1_{i}"] - 1.5 * iqr, st[f"q3_{i}"] + 1.5 * iqr)
+    beyond = {}
+    if bounds:
+        outside = [F.max((F.col(others[i]).cast("double") < lo) | (F.col(others[i]).cast("double") > hi)).alias(f"o{i}") for i, (lo, hi) in bounds.items()]
+        found = df.agg(*outside).first()
+        beyond = {i: bool(found[f"o{i}"]) for i in bounds}
+    for i, x in enumerate(others):
+        if not st[f"n{i}"]:
+            entry(x, "other", nulls[x], "left missing", still=nulls[x])
             continue
-        if _dtype(df, col) not in ("string",) and not _dtype(df, col).startswith(("timestamp", "date", "bool")):
-            v = F.col(col).cast("double")
-            st = with_quantiles(df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")), df,
-                                {"med": (v, 0.5), "q1": (v, 0.25), "q3": (v, 0.75)}).first()
-            if not st["n"]:
-                entry(col, "other", nulls[col], "left missing", still=nulls[col])
-                continue
-            iqr = (st["q3"] - st["q1"])
-            outliers = 0
-            if st["n"] >= 4 and iqr:
-                lo, hi = st["q1"] - 1.5 * iqr, st["q3"] + 1.5 * iqr
-                outliers = df.filter((v < lo) | (v > hi)).limit(1).count()
-            skewed = st["n"] < 6 or (st["sd"] and abs(st["mean"] - st["med"]) > 0.5 * st["sd"]) or outliers > 0
-            fill = float(st["med"] if skewed else st["mean"])
-            df = df.withColumn(col, F.coalesce(v, F.lit(fill)))
-            entry(col, "other", nulls[col], f"filled with {'median' if skewed else 'mean'}", fixed=nulls[col],
-                  filled=nulls[col], value=round(fill, 4))
+        sd = st[f"sd{i}"]
+        skewed = st[f"n{i}"] < 6 or (sd and abs(st[f"mean{i}"] - st[f"m{i}"]) > 0.5 * sd) or beyond.get(i, False)
+        fill = float(st[f"m{i}"] if skewed else st[f"mean{i}"])
+        df = df.withColumn(x, F.coalesce(F.col(x).cast("double"), F.lit(fill)))
+        entry(x, "other", nulls[x], f"filled with {'median' if skewed else 'mean'}", fixed=nulls[x],
+              filled=nulls[x], value=round(fill, 4))
     return df, log
 
 
@@ -278,7 +276,3 @@ def treatment_log(spark, df: DataFrame, roles: Roles) -> DataFrame:
     # one row per treated column: bounded by the number of columns, never by the data
     return spark.createDataFrame([tuple(float(e[k]) if k == "method_value" and e[k] is not None else e[k] for k in keys)
                                   for e in log], schema)
-
-
-def safe_numeric_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select([safe_numeric(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -183,12 +183,16 @@ def non_unique_profile(df: DataFrame, roles: Roles) -> DataFrame:
     return dup.crossJoin(orders).withColumn("rows_beyond_distinct_orders", F.col("row_count") - F.col("distinct_orders"))
 
 
-def _value_list(df: DataFrame, col: str | None, alias: str) -> DataFrame:
+LISTED = 50   # values that a profile names; how many there are stands beside them
+
+
+def _value_list(df: DataFrame, col: str | None, role: str) -> DataFrame:
+    """One row: the first LISTED values in order, and the number of all."""
     if not col:
-        return df.sparkSession.range(1).select(F.lit(None).cast("string").alias(alias))
-    # distinct first: the list is bounded by the dimension's cardinality
+        return df.sparkSession.range(1).select(F.lit(None).cast("string").alias(f"{role}_list"), F.lit(0).cast("long").alias(f"{role}_values"))
     d = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-    return d.agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias(alias))
+    named = d.orderBy("v").limit(LISTED).agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias(f"{role}_list"))
+    return named.crossJoin(d.agg(F.count("v").alias(f"{role}_values")))
 
 
 def dataset_profile(df: DataFrame, roles: Roles) -> DataFrame:
@@ -202,7 +206,7 @@ def dataset_profile(df: DataFrame, roles: Roles) -> DataFrame:
                   F.count_distinct(o).alias("unique_orders"), F.count_distinct(F.col(cust)).alias("unique_customers"))
     out = base.crossJoin(duplicate_rows(df).select("duplicate_rows"))
     for role in ("category", "region", "segment"):
-        out = out.crossJoin(_value_list(df, roles.present(role, df.columns), f"{role}_list"))
+        out = out.crossJoin(_value_list(df, roles.present(role, df.columns), role))
     return out
 
 

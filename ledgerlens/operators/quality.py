@@ -15,6 +15,7 @@ from ledgerlens.functions.dates import date_columns, ensure_datetime, invalid_da
 from ledgerlens.operators.digests import row_counts
 from ledgerlens.operators.quantiles import iqr_bounds, outside, with_quantiles
 from ledgerlens.roles import Roles
+from ledgerlens.session import materialise
 
 # --- fixed values --------------------------------------------------------
 BUSINESS_METRIC_ROLES = ("sales", "revenue", "profit", "cost", "quantity", "discount")
@@ -71,9 +72,14 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return one.select("rows", F.explode(F.array(*cells)).alias("r")).select("r.*", "rows")
 
 
-def column_stats(df: DataFrame) -> DataFrame:
+def distinct_values(df: DataFrame) -> DataFrame:
+    """(column, value): the distinct values of all columns, written once (both the counts and the samples read them)."""
+    return materialise(_pairs(df, df.columns).where(F.col("value").isNotNull()).distinct(), "values")
+
+
+def column_stats(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Per column: missing and exact distinct counts."""
-    uniq = _pairs(df, df.columns).where(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.count("value").alias("unique_count"))
+    uniq = (distinct_values(df) if values is None else values).groupBy("column").agg(F.count("value").alias("unique_count"))
     return missing_counts(df).join(uniq, "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long")))
 
 
@@ -88,11 +94,11 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame) -> DataFrame:
     """Dtype, missing and unique counts and %, IQR outliers (numeric), issues."""
     dtypes = df.sparkSession.createDataFrame(list(df.dtypes), "column string, dtype string")
-    st = column_stats(df).join(F.broadcast(dtypes), "column")
+    vals = distinct_values(df)
+    st = column_stats(df, vals).join(F.broadcast(dtypes), "column")
     oc = outlier_counts(df, numeric_columns(df))
     t = st.join(oc, "column", "left")
     # five smallest distinct values, taken per column by rank before anything is gathered
-    vals = _pairs(df, df.columns).where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column").orderBy("value")
     samples = vals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= SAMPLE_VALUES).groupBy("column") \
                   .agg(F.array_join(F.sort_array(F.collect_list("value")), " | ").alias("sample_values"))

@@ -145,9 +145,9 @@ SELECT COUNT(*) AS rows, 20 AS columns, CAST(0 AS BIGINT) AS missing_cells, MIN(
        ROUND(COALESCE(SUM(sales), 0), 4) AS total_sales, ROUND(COALESCE(SUM(profit), 0), 4) AS total_profit,
        COUNT(DISTINCT order_id) AS unique_orders, COUNT(DISTINCT customer_id) AS unique_customers,
        (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM g) AS duplicate_rows,
-       (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(category AS VARCHAR) AS v FROM sf)) AS category_list,
-       (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(region AS VARCHAR) AS v FROM sf)) AS region_list,
-       (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(segment AS VARCHAR) AS v FROM sf)) AS segment_list
+       (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(category AS VARCHAR) AS v FROM sf WHERE category IS NOT NULL ORDER BY v LIMIT 50)) AS category_list, (SELECT COUNT(DISTINCT category) FROM sf) AS category_values,
+       (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(region AS VARCHAR) AS v FROM sf WHERE region IS NOT NULL ORDER BY v LIMIT 50)) AS region_list, (SELECT COUNT(DISTINCT region) FROM sf) AS region_values,
+       (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(segment AS VARCHAR) AS v FROM sf WHERE segment IS NOT NULL ORDER BY v LIMIT 50)) AS segment_list, (SELECT COUNT(DISTINCT segment) FROM sf) AS segment_values
 FROM sf"""))
 
 add("health_metrics", _fact_op(K.health_metrics), with_fact("""

@@ -120,3 +120,36 @@ def test_shuffle_partitions_do_not_change_answers(spark, core):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert before == after
+
+
+def test_gaps_in_other_numeric_columns(spark):
+    """The mean for an even column, the median for a skewed one, for one with an outlier and for a short one."""
+    rows = [(f"o{i}", 100.0 + i, 10.0, float(i % 10) if i % 7 else None, float(2 ** i) if i < 14 and i % 5 else None, 1000.0 if i == 3 else float(i % 4) if i % 6 else None, None, float(i) if i < 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "`Order ID` string, Sales double, Profit double, even double, skewed double, outlier double, hollow double, short double")
+    roles = Roles(order_id="Order ID", sales="Sales", profit="Profit")
+    out, roles = clean.prepare_sales(df, roles)
+    log = {r["column"]: r for r in clean.treatment_log(spark, df, Roles(order_id="Order ID", sales="Sales", profit="Profit")).collect()}
+    even = [r[3] for r in rows if r[3] is not None]
+    assert log["even"]["treatment"] == "filled with mean" and log["even"]["method_value"] == pytest.approx(sum(even) / len(even), abs=1e-4)
+    for c, k in (("skewed", 4), ("outlier", 5), ("short", 7)):
+        import statistics
+        assert log[c]["treatment"] == "filled with median" and log[c]["method_value"] == pytest.approx(statistics.median(r[k] for r in rows if r[k] is not None), abs=1e-4), c
+    assert (log["hollow"]["treatment"], log["hollow"]["values_excluded"], log["hollow"]["values_still_missing"]) == ("left missing", 40, 40)
+    left = out.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in ("even", "skewed", "outlier", "hollow", "short")]).first().asDict()
+    assert left == {"even": 0, "skewed": 0, "outlier": 0, "hollow": 40, "short": 0}
+    assert all(r["impact"] for r in log.values())
+
+
+def test_aggregate_grain_is_a_limitation(spark):
+    from ledgerlens.sources.roles_detect import limitations
+    df = spark.createDataFrame([("2024-01", "A", 5.0)], "Month string, Category string, Sales double")
+    roles = Roles(date="Month", category="Category", sales="Sales")
+    assert "grain" in {r["topic"] for r in limitations(df, roles).collect()}
+    core = spark.createDataFrame([("1", "2024-01", 5.0)], "`Order ID` string, Month string, Sales double")
+    assert "grain" not in {r["topic"] for r in limitations(core, Roles(order_id="Order ID", date="Month", sales="Sales")).collect()}
+
+
+def test_profile_names_a_bounded_list(spark):
+    df = spark.createDataFrame([(f"c{i:03d}", "r", None, 1.0, 1.0, "o", "x", "2024-01-01") for i in range(120)], "category string, region string, segment string, sales double, profit double, order_id string, customer string, d string")
+    r = kpis.dataset_profile(df, Roles(category="category", region="region", segment="segment", sales="sales", profit="profit", order_id="order_id", customer="customer", date="d")).first()
+    assert (r["category_values"], len(r["category_list"].split(", ")), r["region_list"], r["segment_values"]) == (120, 50, "r", 0)
