@@ -132,8 +132,37 @@ SELECT COUNT(*) AS rows, FALSE AS cleaned_data_used, CAST(SUM(CASE WHEN sales IS
        SUM(CASE WHEN profit < 0 THEN 1 ELSE 0 END) > 0 AS losses_present, CAST(SUM(CASE WHEN profit < 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_rows,
        COUNT(DISTINCT product) AS products, COUNT(DISTINCT customer) AS customers FROM sf"""))
 
-add("recommendations", _op(I.recommendations), None)
-add("executive_summary", _op(I.executive_summary), None)
+
+def _advice_sql() -> tuple[str, str]:
+    """Recommendations and the executive summary, drawn from the SQL of the tables they rest on."""
+    from ledgerlens.plans import q_customer, q_profit  # noqa: F401  their SQL is read here
+
+    parts = ",\n".join(f"{name} AS ({ORACLE[key]})" for name, key in (
+        ("tl", "top_leakage"), ("dr", "leakage_drivers"), ("pp", "product_portfolio"), ("cs", "customer_segments"), ("wr", "weak_regions")))
+    advice = f"""WITH {parts},
+u AS (SELECT 'High' AS priority, 'Profit' AS area, 'Fix profit leakage in ' || dimension || ' ' || dimension_value AS action, profit AS impact, 1 AS o FROM tl
+  UNION ALL SELECT 'Medium', 'Profit', 'Inside ' || context_value || ': review ' || driver_dimension || ' ' || driver_value, profit, 2 FROM dr
+  UNION ALL SELECT 'High', 'Product', 'Reprice or retire ' || COUNT(*) || ' problem products', FLOOR(SUM(profit) * 100 + 0.5) / 100, 3 FROM pp WHERE portfolio_class = 'Problem Products' HAVING COUNT(*) > 0
+  UNION ALL SELECT 'Medium', 'Customer', 'Act on ' || COUNT(*) || ' ' || lower(customer_segment) || 's', FLOOR(SUM(total_profit) * 100 + 0.5) / 100, CASE customer_segment WHEN 'Unprofitable Customer' THEN 4 ELSE 5 END
+    FROM cs WHERE customer_segment IN ('Unprofitable Customer', 'At-Risk Loyal Customer') GROUP BY customer_segment
+  UNION ALL SELECT CASE WHEN profit < 0 THEN 'Medium' ELSE 'Low' END, 'Region', 'Audit discounts and mix in ' || dimension_value, profit, 6
+    FROM (SELECT * FROM wr ORDER BY profit, profit_margin_percent, dimension_value LIMIT 1))
+SELECT priority, area, action, impact, CAST(ROW_NUMBER() OVER (ORDER BY CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, o, action) AS INTEGER) AS position FROM u ORDER BY position"""
+    inner = with_fact("""
+SELECT ROUND(SUM(sales), 4) AS total_sales, ROUND(SUM(profit), 4) AS total_profit, ROUND(SUM(CASE WHEN profit < 0 THEN profit END), 4) AS loss_amount FROM sf""")
+    summary = f"""WITH {parts}, b AS ({inner}),
+m AS (SELECT *, CASE WHEN total_sales = 0 THEN 0.0 ELSE total_profit / total_sales * 100 END AS margin FROM b),
+d1 AS (SELECT first(driver_dimension) AS cause_dimension, first(driver_value) AS cause_value FROM (SELECT * FROM dr LIMIT 1)),
+t1 AS (SELECT first(dimension) AS problem_dimension, first(dimension_value) AS problem_value, first(profit) AS problem_profit FROM tl)
+SELECT total_sales, total_profit, loss_amount, FLOOR(margin * 10000 + 0.5) / 10000 AS profit_margin_percent, problem_dimension, problem_value, problem_profit, cause_dimension, cause_value,
+       printf('Sales %.2f, profit %.2f, margin %.2f%%', total_sales, total_profit, margin) AS performance,
+       CASE WHEN problem_value IS NOT NULL THEN 'Fix ' || problem_dimension || ' ' || problem_value || ' first' END AS action FROM m, t1, d1"""
+    return advice, summary
+
+
+_ADVICE, _SUMMARY = _advice_sql()
+add("recommendations", _op(I.recommendations), _ADVICE)
+add("executive_summary", _op(I.executive_summary), _SUMMARY)
 
 def table_digest_sql(name: str, sql: str) -> str:
     """The digest of a query's result: cells as text, rows by md5, summed."""
