@@ -321,7 +321,8 @@ def table_digest(name: str, table: DataFrame) -> DataFrame:
 
 
 def bundle_digest(bundle: Mapping, names: list[str]) -> DataFrame:
-    parts = [table_digest(n, bundle[n]) for n in names]
+    # one row a table, written table by table: a single plan over all of them would be planned anew after each of its stages
+    parts = [materialise(table_digest(n, bundle[n]), f"digest-{n}") for n in names]
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
