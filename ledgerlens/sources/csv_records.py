@@ -14,6 +14,8 @@ for one; after a closing quote everything up to the next comma belongs to the fi
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,12 +184,13 @@ def _cut(batches):
         yield rows(flush(whole=state == 0))
 
 
-def header(rows: DataFrame) -> str:
-    """The first record of the first file."""
-    start = rows.where(F.col("block") == 0)
-    first = start.agg(F.min("file").alias("file")).first()["file"]
-    cut = start.where(F.col("file") == first).select("value", "file", "block", "fn", F.lit(False).alias("inside")).mapInArrow(_cut, KINDS)
-    row = cut.where(F.col("kind") == HEADER).select("record").first() if first is not None else None
+def header(spark: SparkSession, path: str, latin1: bool = False) -> str:
+    """The first record of the first file; only the start of that file is read."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return ""
+    start = lines(spark, unquote(files[0]), latin1).where(F.col("block") == 0)
+    row = start.select("value", "file", "block", "fn", F.lit(False).alias("inside")).mapInArrow(_cut, KINDS).where(F.col("kind") == HEADER).select("record").first()
     return row["record"] if row else ""
 
 

@@ -65,7 +65,8 @@ def test_an_unclosed_field_ends_with_its_file(spark, tmp_path, small_splits):
 
 
 def test_header_with_a_line_break_latin1_and_empty(spark, tmp_path):
-    p = tmp_path / "h.csv"
+    p = tmp_path / "a folder" / "h 1%.csv"
+    p.parent.mkdir()
     p.write_bytes('id,"two\nlines",Café\n1,"é\nü",x\n\n'.encode("latin1"))
     df, names, enc = IN.read_csv(spark, str(p))
     assert names == ["id", "two\nlines", "Café"] and enc == "ISO-8859-1" and [tuple(r) for r in df.collect()] == [("1", "é\nü", "x")]
