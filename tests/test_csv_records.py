@@ -97,3 +97,11 @@ def test_shapes_decide_like_values(spark):
     for rule in RULES:  # a rule alone gives what all of them give for its shapes
         some = rows.where(date_rule(F.col("shape")) == rule).select("date", parse_date(F.col("s"), rules=[rule]).alias("alone")).collect()
         assert some and all(r.date == r.alone for r in some)
+
+
+def test_blocks_are_read_once_for_marks_and_functions(spark, tmp_path, small_splits):
+    (tmp_path / "s.csv").write_text("id,name\n" + "".join(f'{i},"a\nb"\n' if i % 7 == 3 else f"{i},c\n" for i in range(200)))
+    blocks = IN._blocks(spark, str(tmp_path))
+    assert blocks.columns == ["file", "block", "fn", "bad", "open"] and IN._lines_evidence(spark, str(tmp_path), blocks) == (False, True)
+    df, names, _ = IN.read_csv(spark, str(tmp_path))
+    assert names == ["id", "name"] and sorted((int(a), b) for a, b in df.collect()) == [(i, "a\nb" if i % 7 == 3 else "c") for i in range(200)]
