@@ -103,3 +103,15 @@ def test_query_on_the_given_tables_against_difflib(spark):
         want |= {(tid, dim, value, conf, kind, k) for k, ((dim, value), (conf, kind, _)) in enumerate(ranked, 1)}
     got = {(r.text_id, r.dimension, r.value, r.confidence, r.match_type, r["rank"]) for r in registry.QUERIES["dimension_value_match_fuzzy"](spark, SMALL).collect()}
     assert got == want and any(g[4] == "fuzzy" for g in got)
+
+
+def test_texts_go_with_their_pieces(spark):
+    from ledgerlens.operators import match as M
+
+    df = spark.createDataFrame([("North", "Consumer"), ("South", None)], "region string, segment string")
+    from ledgerlens.roles import Roles
+    texts = spark.createDataFrame([("1", "the north and north of consumr consumr"), ("1", "south"), (None, "north")], "text_id string, text string")
+    values = M.dimension_values(df, Roles(region="region", segment="segment"))
+    assert M.text_pieces(texts.withColumnRenamed("text", "q"), M.anchored(values)).columns == ["text_id", "q", "gram"]
+    got = {(r["text_id"], r["value"], r["match_type"]) for r in M.match_values(texts, df, Roles(region="region", segment="segment")).collect()}
+    assert {("1", "North", "exact"), ("1", "South", "exact"), ("1", "Consumer", "fuzzy")} <= got and (None, "North", "exact") not in got
