@@ -15,9 +15,10 @@ An Elias-Fano list of n values up to u takes about 2 + log2(u / n) bits per valu
 gaps, and every 64th one's place as a hint for select. A document's offset, in lookups (``ids_of``) and in full scans alike, is
 a select in its segment plus the ids of the segments before, which are summed by partition first (one row per range partition), so no table of 64-bit offsets exists.
 
-Words are encoded by the tokenizers library, new ones many at a time, and kept in a bounded cache; a tokenizer for which texts can't
-be cut at blanks (found out by trial and by the file's rules) gets whole texts. A text of any length is encoded whole: its ids (2 or 4 bytes
-each) and its words are in one worker's memory while it is, some 20 bytes per character.
+Words are told apart by Arrow, some 4 MB of text at a time; only the different ones among them are looked up in a bounded cache or,
+new ones many at a time, encoded by the tokenizers library. A tokenizer for which texts can't be cut at blanks (found out by trial and by
+the file's rules) gets whole texts. A text of any length is encoded whole: its ids (2 or 4 bytes each) and its words are in one worker's
+memory while it is (measured: 7 to 12 bytes per character, 30 where every word is a new one).
 
 Defined results: a null or empty text has the end id only; rows that share a doc_id are ordered by a hash of the text;
 rows without an id come first; an empty table gives no rows and an empty file. Only ``doc_id`` and ``text`` are read.
@@ -105,7 +106,9 @@ class WordEncoder:
     CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     #: Letters and the marks after them are words of their own and case is folded, so such a word is asked for in two parts.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+    LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+    PLAIN = f"^[{LETTERS}]+[{re.escape(MARKS)}]*$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,8 +128,6 @@ class WordEncoder:
         self.ends_word[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.older_parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -154,43 +155,47 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.packed(texts)]
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, ``width`` bytes each."""
-        if not self.by_word:
-            return [np.array(x, self.kind).tobytes() for x in self._ids(texts)]
-        if len(self.cache) > CACHE:  # the generation before serves words that come again
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of different parts: the library is asked for those that the cache doesn't have."""
+        if len(self.cache) > CACHE:  # the generation before serves parts that come again
             self.cache, self.older = {"": b""}, self.cache
-        if len(self.parts) > CACHE:
-            self.parts, self.older_parts = {"": b""}, self.parts
-        cache, older, parts, older_parts = self.cache, self.older, self.parts, self.older_parts
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set(chain.from_iterable(words)).difference(cache)
-        ask, plain, other = {}, set(), set()
-        for w in missing:
-            if (known := older.get(w)) is not None:
-                cache[w] = known
-                continue
-            m = self.PLAIN.fullmatch(w)
-            ask[w] = pair = (m[1].lower(), m[2]) if m else (w, "")
-            for p, new in zip(pair, (plain if m else other, other)):
-                if p not in parts:
-                    if (known := older_parts.get(p)) is not None:
-                        parts[p] = known
-                    else:
-                        new.add(p)
-        asked = list(other)
-        for p, ids in zip(asked, self._ids(asked)):
-            parts[p] = np.array(ids, self.kind).tobytes()
-        asked = list(plain)
-        parts.update(zip(asked, self._word_ids(asked)))
-        for w, (p, q) in ask.items():
-            cache[w] = parts[p] + parts[q]
-        out = [b"".join(map(cache.__getitem__, ws)) for ws in words]
-        for w in [w for w in missing if len(w) > 64]:
-            cache.pop(w)
-            parts.pop(w, None)
+        out = list(map(self.cache.get, parts))
+        plain, other = [], []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            p = parts[i]
+            if (known := self.older.get(p)) is not None:
+                self.cache[p] = out[i] = known
+            else:
+                (other if p.strip(self.LETTERS) else plain).append(i)
+        new = [np.array(x, self.kind).tobytes() for x in self._ids([parts[i] for i in other])] + self._word_ids([parts[i] for i in plain])
+        for i, ids in zip(other + plain, new):
+            out[i] = ids
+            if len(parts[i]) <= 64:
+                self.cache[parts[i]] = ids
         return out
 
+    def packed(self, texts) -> list[bytes]:
+        """Ids of each text (a list or an Arrow array), ``width`` bytes each.
+
+        Words are told apart, cut in two and put together over Arrow arrays; only different parts become Python objects."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_word:
+            return [np.array(x, self.kind).tobytes() for x in self._ids(texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        words = pc.split_pattern(pc.replace_substring(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = words.values.dictionary_encode()
+        word = coded.dictionary
+        plain = pc.match_substring_regex(word, self.PLAIN)
+        heads = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(word, self.MARKS)), word)
+        tails = pc.if_else(plain, pc.utf8_ltrim(word, self.LETTERS), "")
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        ids = pa.array(self._part_ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        ids = pc.binary_join_element_wise(ids[:len(word)], ids[len(word):], pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        edges = np.frombuffer(ids.buffers()[1], np.int64)[words.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[x:y].tobytes() for x, y in zip(edges, edges[1:])]
+
 
 _LOADED: dict = {}
 
@@ -238,8 +243,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(segment.row(part, seq, before), kinds)], names=names)
 
-        for b in slices(batches, "text", 1 << 20):
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.packed(b.column(1).to_pylist())):
+        for b in slices(batches, "text"):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.packed(b.column(1))):
                 segment.add(doc_id, ids + end)
                 if segment.full():
                     yield flush()

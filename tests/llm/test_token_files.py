@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -41,6 +42,35 @@ def test_words_equal_whole_texts():
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_arrow_slices_and_full_caches_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(T, "CACHE", 20)
+    t = Tokenizer.from_file(T.vocabulary())
+    enc = T.WordEncoder(T.vocabulary())
+    odd = ["ÀÖØöøÿß.", "ª", "µm", "xº,", "×", "a÷b", "a.̸", "word<|endoftext|>", "<|ENDOFTEXT|>", "it's!", "''", "a\tb", "B" * 70 + "!" * 70, "日本 Ωa, a字"]
+    batch = pa.array(["not in the slice", *odd, "", "\n \n", *texts(200, 7)])[1:]
+    for _ in range(2):
+        for at in range(0, len(batch), 30):
+            part = batch[at:at + 30]
+            want = [np.array(t.encode(x, add_special_tokens=False).ids, enc.kind).tobytes() for x in part.to_pylist()]
+            assert enc.packed(part) == want
+    assert enc.packed(batch[:0]) == []
+    assert max(map(len, enc.cache)) <= 64
+
+
+def test_known_words_are_looked_up_once_a_slice(monkeypatch):
+    """A word that comes again in a slice, with other marks or in capitals, costs no lookup and no question of its own."""
+    enc = T.WordEncoder(T.vocabulary())
+    asked, words = [], []
+    ids, part_ids = enc._ids, enc._part_ids
+    monkeypatch.setattr(enc, "_ids", lambda x: asked.extend(x) or ids(x))
+    monkeypatch.setattr(enc, "_part_ids", lambda x: words.extend(x) or part_ids(x))
+    enc.packed(pa.array(["alpha Alpha, ALPHA! beta.\n" * 1000] * 3))
+    assert sorted(words) == ["", "!", ",", ".", "alpha", "beta"]
+    assert sorted(asked) == ["!", ",", ".", "alpha beta"]
+    enc.packed(pa.array(["beta, alpha."]))
+    assert len(asked) == 4
+
+
 def test_files_hold_all_documents_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "SEGMENT_IDS", 200)
     t = Tokenizer.from_file(T.vocabulary())
